@@ -26,10 +26,10 @@ RULES: tuple[tuple[str, str, float], ...] = (
     ("mean_word_length", ">=", 2.0),
     ("mean_word_length", "<=", 20.0),
     ("symbol_word_ratio", "<=", 0.10),
-    ("dup_line_ratio", "<=", 0.30),
+    ("dup_line_ratio", "<=", 0.50),
     ("ellipsis_line_ratio", "<=", 0.30),
     ("stop_word_ratio", ">=", 0.02),
-    ("bang_word_ratio", "<=", 0.30),
+    ("adjacent_word_ratio", "<=", 0.30),
 )
 
 
@@ -71,7 +71,7 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
             "n_repeat_words": _repeat_words(words),
             "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(*dict.fromkeys(STOP_WORDS)))).cast("long"),
             "n_ellipsis_lines": F.size(F.filter(lines, lambda x: x.endswith("...") | x.endswith("…"))).cast("long"),
-            "n_bang_words": F.size(F.filter(words, lambda w: w.endswith("!!"))).cast("long"),
+            "n_adjacent_words": F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1))).cast("long"),
         }
     ).drop("_words", "_lines")
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
@@ -82,7 +82,7 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
             "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
             "ellipsis_line_ratio": ratio("n_ellipsis_lines", "n_lines"),
             "stop_word_ratio": ratio("n_stop_words", "n_words"),
-            "bang_word_ratio": ratio("n_bang_words", "n_words"),
+            "adjacent_word_ratio": ratio("n_adjacent_words", "n_words"),
         }
     )
 
@@ -130,11 +130,11 @@ f AS (
     CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
     len(list_filter(words, lambda x: lower(x) IN ({_STOPS}))) AS n_stop,
     len(list_filter(lines, lambda x: x LIKE '%...' OR x LIKE '%…')) AS n_ell,
-    len(list_filter(words, lambda x: x LIKE '%!!')) AS n_bang
+    len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS n_adj
   FROM g LEFT JOIN cov ON cov.doc_id IS NOT DISTINCT FROM g.doc_id AND cov.t = g.t),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND word_chars >= 2.0 * n_words AND word_chars <= 20.0 * n_words AND n_symbols <= 0.10 * n_words
-  AND n_dup_lines <= 0.30 * n_lines AND n_ell <= 0.30 * n_lines AND n_stop >= 0.02 * n_words AND n_bang <= 0.30 * n_words AS kept
+  AND n_dup_lines <= 0.50 * n_lines AND n_ell <= 0.30 * n_lines AND n_stop >= 0.02 * n_words AND n_adj <= 0.30 * n_words AS kept
 FROM b
 """

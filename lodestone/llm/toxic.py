@@ -1,9 +1,9 @@
 """Toxic spans by a linear-chain conditional random field; document scores from its marginals.
 
-Learning. A sample of labelled rows (at most SAMPLE per class, by hash of doc_id, so it does not depend on row
+Learning. A sample of labelled rows (at most SAMPLE of each class, by hash of doc_id, so it does not depend on row
 order) goes to the driver. Documents are labelled, tokens are not, so token labels are derived first: features
-(a word, its first four or five letters) are chosen greedily, each time the one that explains most of the toxic documents
-not explained yet and hardly occurs in clean ones. Tokens of toxic documents with a chosen feature are labelled toxic, all
+(a word, its first four or five letters) are chosen greedily, each time the one that explains most word uses
+in toxic documents not explained yet, among those that hardly occur in clean ones. Tokens of toxic documents with a chosen feature are labelled toxic, all
 others clean. The field (bias, transitions, feature weights) is fitted to these tokens by gradient ascent on the regularised likelihood,
 with expectations from forward-backward.
 
@@ -18,6 +18,7 @@ row by row, other columns are ignored; only the text is an input of a score.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -31,12 +32,14 @@ from pyspark.sql import types as T
 
 from .common import documents
 
-#: Labelled rows of each class that are learnt from.
-SAMPLE = 2000
-#: Features that may be chosen, and how many toxic documents each must explain.
+#: Labelled rows that are learnt from: of the toxic ones, and of the others.
+SAMPLE = (2000, 4000)
+#: Features that may be chosen, and how many uses each must explain.
 FEATURES, LEAST = 256, 3
+#: How many times as frequent in toxic documents a feature must be.
+RARE = 50
 THRESHOLD = 0.7
-SEGMENT = 64
+SEGMENT = 32
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -131,38 +134,54 @@ class Field:
 
 
 def choose_features(texts: list[list[str]], toxic: list[bool]) -> list[str]:
-    """Greedy cover of the toxic documents by features that clean documents hardly have."""
-    clean: Counter[str] = Counter()
-    holders: dict[str, list[int]] = defaultdict(list)
-    n_toxic = sum(toxic)
-    n_clean = max(1, len(toxic) - n_toxic)
-    for i, (words, bad) in enumerate(zip(texts, toxic, strict=True)):
-        own = {f for w in set(words) for f in word_features(w)}
-        if bad:
-            for f in own:
-                holders[f].append(i)
-        else:
-            clean.update(own)
-    least = max(LEAST, n_toxic // 400)
-    ok = {f: h for f, h in holders.items() if len(h) >= least and clean[f] / n_clean <= 0.05 * len(h) / max(1, n_toxic)}
-    left = {i for i, bad in enumerate(toxic) if bad}
-    gain = {f: len(h) for f, h in ok.items()}
+    """Features that mark toxic documents, chosen greedily by the word uses that they explain.
+
+    A use is a word with the word before it, counted once, so copies of a document add nothing. A feature
+    qualifies if its uses fall in toxic documents far beyond chance (log likelihood ratio, against all features
+    tried) and are at least RARE times as frequent there as in clean ones.
+    """
+    uses: dict[bool, set[tuple[str, str]]] = {True: set(), False: set()}
+    for words, bad in zip(texts, toxic, strict=True):
+        uses[bad].update(zip(words, ["", *words], strict=False))
+    counts = {}
+    for bad, pairs in uses.items():
+        counts[bad] = Counter()
+        for word, n in Counter(w for w, _ in pairs).items():
+            for f in word_features(word):
+                counts[bad][f] += n
+    share = len(uses[True]) / max(1, len(uses[True]) + len(uses[False]))
+    if not 0 < share < 1:
+        return []
+    needed = math.log(len(counts[True])) + 5
+    gain: dict[str, int] = {}
+    for f, n in counts[True].items():
+        k = counts[False][f]
+        q = n / (n + k)
+        ratio = n * math.log(q / share) + (k * math.log((1 - q) / (1 - share)) if k else 0.0)
+        if n >= LEAST and ratio >= needed and q / (1 - q + 1e-12) >= RARE * share / (1 - share):
+            gain[f] = n
+    own: dict[str, Counter[str]] = defaultdict(Counter)
+    for word, _ in uses[True]:
+        for f in word_features(word):
+            if f in gain:
+                own[f][word] += 1
     chosen: list[str] = []
-    while left and gain and len(chosen) < FEATURES:
-        f = max(gain, key=lambda x: (gain[x], -clean[x], x[0] == "=", x))
-        if gain[f] < least:
-            break
-        live = sum(i in left for i in ok[f])
+    done: set[str] = set()
+    while gain and len(chosen) < FEATURES:
+        f = max(gain, key=lambda x: (gain[x] - 10 * counts[False][x] * share / (1 - share), x[0] == "=", x))
+        live = sum(n for w, n in own[f].items() if w not in done)
         if live < gain[f]:
             gain[f] = live  # stale: look again
+            if live < LEAST:
+                del gain[f]
             continue
         chosen.append(f)
         del gain[f]
-        left -= set(ok[f])
+        done.update(own[f])
     return chosen
 
 
-def fit(sample: list[tuple[str, bool]], steps: int = 200, ridge: float = 1e-3) -> Field:
+def fit(sample: list[tuple[str, bool]], steps: int = 100, ridge: float = 1e-3) -> Field:
     """The field fitted to (text, toxic) rows."""
     texts = [_WORD.findall(lowered(t)) for t, _ in sample]
     toxic = [bad for _, bad in sample]
@@ -223,7 +242,7 @@ def fit(sample: list[tuple[str, bool]], steps: int = 200, ridge: float = 1e-3) -
                 b = b / b.sum(0)
         grad = np.concatenate([(seen - expected) @ design, (pair - exp_pair).ravel()[1:]]) - ridge * theta
         m, v = 0.9 * m + 0.1 * grad / total, 0.99 * v + 0.01 * (grad / total) ** 2
-        theta = theta + 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
+        theta = theta + 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
     weights = theta[: len(chosen)]
     return Field(model.words, model.four, model.five, weights, float(theta[len(chosen)]), np.array([[0.0, theta[-3]], [theta[-2], theta[-1]]]))
 
@@ -232,11 +251,11 @@ def held_out(doc_id: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == fold, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """Fits the field to at most `sample` labelled rows of each class, held-out rows left aside."""
+def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Field:
+    """Fits the field to at most `sample` toxic and other labelled rows, held-out rows left aside."""
     known = labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out())
     known = known.groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
-    ids = [known.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (F.col("toxic"), ~F.col("toxic"))]
+    ids = [known.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in zip((F.col("toxic"), ~F.col("toxic")), sample, strict=True)]
     picked = docs.sparkSession.createDataFrame([tuple(r) for part in ids for r in part.collect()], "doc_id long, toxic boolean")
     got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")).select("text", "toxic").distinct()
     return fit(sorted((r["text"] or "", r["toxic"]) for r in got.toLocalIterator()))
