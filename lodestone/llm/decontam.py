@@ -28,7 +28,8 @@ WINDOW = 10
 MAX_BYTES = 4 << 20
 #: Bytes of a normalised text: a word's bytes, everything else a space.
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The same words in a text that has not been lower-cased.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def words_of(text: str) -> list[bytes]:
