@@ -132,6 +132,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     return got.withColumnRenamed("key", key)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
+    """docs, all columns, without the rows that have a hit word."""
+    spark = docs.sparkSession
+    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, "item_id", "text")]
+    at = docs.columns.index(text)
+    made: dict[int, object] = {}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for b, block in enumerate(blocks):
+                if len(blocks) > 1:
+                    made.clear()
+                if b not in made:
+                    made[b] = build(block.value, window)
+                for i, body in enumerate(batch.column(at)):
+                    keep[i] &= not scan(made[b], body.as_py() or "")[2]
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_aho_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     items = F.col("items")

@@ -106,18 +106,18 @@ def _prints(values: np.ndarray, starts: np.ndarray) -> list[bytes]:
 
 
 def sketch_documents(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, fp, n, sketch."""
+    """doc_id, th (the text's hash), fp, n, sketch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, values, starts in _sets(batch, k):
                 rows = registers(values, starts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(_prints(values, starts), pa.binary()), pa.array(np.diff(starts), pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())],
-                    names=["doc_id", "fp", "n", "sketch"],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(_prints(values, starts), pa.binary()), pa.array(np.diff(starts), pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())],
+                    names=["doc_id", "th", "fp", "n", "sketch"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp binary, n long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, fp binary, n long, sketch binary")
 
 
 def band_keys(vertices: DataFrame) -> DataFrame:
@@ -273,18 +273,31 @@ def near_links(docs: DataFrame, vertices: DataFrame, percent: int, k: int) -> Da
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and fp (the set's fingerprint) for each row of docs."""
+    """doc_id, th (hash of the text), n_shingles, component_id, kept and group (the component's fingerprint, null for
+    the empty set) for each row of docs."""
     slim = materialize(sketch_documents(docs, k))
     vertices = slim.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.first("sketch").alias("sketch"))
     links = near_links(docs, vertices, percent, k)
     label = components(links)
     named = vertices.join(label, vertices.fp == label.v, "left").select("fp", "least", F.coalesce("c", "fp").alias("c"))
     least = named.groupBy("c").agg(F.min("least").alias("component"))
-    named = named.join(least, "c").select("fp", "component")
+    named = named.join(least, "c").select("fp", "component", F.col("c").alias("group"))
     out = slim.join(named, "fp", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "fp")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "th", "group")
+
+
+def keep_one(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
+    """docs, all columns, with one row of each group: the smallest doc_id's, then the smallest text hash's; empty sets all stay."""
+    found = near_duplicates(docs, percent, k)
+    best = found.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("m")).select("m.doc_id", "m.th")
+    best = best.unionByName(found.where("group is null").select("doc_id", "th")).distinct()
+    best = best.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), F.col("th").alias("_th"))
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_th": F.xxhash64("text")})
+    own = F.when(F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) == "", F.monotonically_increasing_id()).otherwise(-1)
+    out = keyed.withColumn("_own", own).join(best, ["_id", "_th"], "left_semi")
+    return out.dropDuplicates(["_id", "_th", "_own"]).select(*docs.columns)
 
 
 def op1_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir), percent=85, k=3).drop("fp")
+    return near_duplicates(documents(spark, sf_dir), percent=85, k=3).drop("th", "group")

@@ -279,6 +279,19 @@ def toxic_scores(docs: DataFrame, model: Field, columns: tuple[str, ...] = ("doc
     return slim.mapInArrow(run, shape)
 
 
+def drop_toxic(docs: DataFrame, model: Field, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """docs, all columns, without the rows that score threshold or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [sent.value.score(x.as_py() or "", False)[0] < threshold for x in batch.column(at)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
