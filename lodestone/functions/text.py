@@ -208,3 +208,21 @@ def valid_identifier(name: Column, namespaced: bool = False) -> Column:
 def literal_kind(text: Column) -> Column:
     """The type a literal is read as: int, double, bool or string."""
     return F.when(text.try_cast("bigint").isNotNull(), "int").when(text.try_cast("double").isNotNull(), "double").when(F.lower(text).isin("true", "false"), "bool").otherwise("string")
+
+
+def metadata_of(json: Column) -> Column:
+    """A JSON object of scalars as a string map; null where it is none."""
+    return F.from_json(json, "map<string,string>")
+
+
+def wants_full_text(query: Column, preview: Column, full: Column, most_bytes: int = 4096) -> Column:
+    """The full text instead of a preview for queries about a date, place or owner, if it is short enough."""
+    pointed = F.size(F.array_intersect(intents(query), F.array(F.lit("date"), F.lit("location"), F.lit("ownership")))) > 0
+    return F.when(pointed & (F.octet_length(full) <= most_bytes), full).otherwise(preview)
+
+
+def cue_tags(text: Column, limit: int = 8) -> Column:
+    """The most frequent longer terms of a text, by count then spelling: plain tags where no model gives any."""
+    known = F.filter(terms(text), lambda t: F.length(t) > 3)
+    counted = let(known, lambda k: F.transform(F.array_distinct(k), lambda t: F.struct((-F.size(F.filter(k, lambda x: x == t))).alias("n"), t.alias("t"))))
+    return F.transform(F.slice(F.array_sort(counted), 1, limit), lambda x: x["t"])

@@ -128,3 +128,20 @@ def code_facts(chunks: DataFrame, key: str = "chunk_id", text: str = "text") ->
 def useless_chunk() -> Column:
     """Chunks of generated ids and nothing else."""
     return F.trim(F.coalesce("text", F.lit(""))).rlike(r"^[0-9A-Fa-f-]{32,36}$") | (F.length(F.trim(F.coalesce("text", F.lit("")))) < 3)
+
+
+def parsed_triples(answers: DataFrame, key: str = "chunk_id", text: str = "answer") -> DataFrame:
+    """key, subject, predicate, object of answers that hold a JSON array of triples; ids and bare numbers as subjects are refused."""
+    body = F.regexp_extract(F.col(text), r"(?s)(\[.*\])", 1)
+    rows = F.from_json(body, "array<struct<subject: string, predicate: string, object: string>>")
+    got = answers.select(key, F.inline(F.coalesce(rows, F.array().cast("array<struct<subject: string, predicate: string, object: string>>"))))
+    good = F.lit(True)
+    for part in ("subject", "predicate", "object"):
+        good = good & (F.trim(F.coalesce(F.col(part), F.lit(""))) != "")
+    return got.where(good & ~F.col("subject").rlike(r"^([0-9A-Fa-f]{32}|[0-9A-Fa-f-]{36}|[0-9]+)$")).distinct()
+
+
+def regions(boxes: DataFrame, least: float = 0.02, limit: int = 8) -> DataFrame:
+    """photo_id, x, y, w, h, position of boxes (photo_id, x, y, w, h, confidence) that are large enough, surest first, limit per photo."""
+    w = Window.partitionBy("photo_id").orderBy(F.desc("confidence"), F.desc(F.col("w") * F.col("h")), "x", "y")
+    return boxes.where(F.col("w") * F.col("h") >= least).withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit)

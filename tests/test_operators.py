@@ -260,3 +260,13 @@ def test_streaming_access(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("stats").collect()} == {(1, 2, 10, 30), (2, 1, 20, 20)}
+
+
+def test_small_functions(spark):
+    assert one(spark, tx.metadata_of(F.col("j")), j='{"a": 1, "b": "x"}') == {"a": "1", "b": "x"}
+    assert one(spark, tx.wants_full_text(F.col("q"), F.lit("p"), F.lit("full")), q="where is it") == "full"
+    assert one(spark, tx.cue_tags(F.col("t"), 2), t="river river stone stone stone boat") == ["stone", "river"]
+    df = spark.createDataFrame([("1", 'Sure: [{"subject": "A", "predicate": "is", "object": "B"}, {"subject": "12", "predicate": "p", "object": "o"}]'), ("2", "none")], "chunk_id string, answer string")
+    assert [tuple(r) for r in chunking.parsed_triples(df).collect()] == [("1", "A", "is", "B")]
+    boxes = spark.createDataFrame([(1, 0.0, 0.0, 0.5, 0.5, 0.9), (1, 0.0, 0.0, 0.1, 0.1, 0.99)], "photo_id long, x double, y double, w double, h double, confidence double")
+    assert chunking.regions(boxes).count() == 1
