@@ -181,3 +181,13 @@ def bit_filter(keys: DataFrame, column: str, bits: int):
     got = words.toArrow()
     out[got.column("w").to_numpy()] = got.column("b").to_numpy()
     return keys.sparkSession.sparkContext.broadcast(out)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of x, first all lowest, then all next ...: sorted or small numbers pack well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def unplanes(raw: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).ravel()

@@ -33,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, documents, materialize, mix, texts, word_hashes
+from .common import LOWER, documents, materialize, mix, planes, texts, unplanes, word_hashes
 
 DEPTH = 6
 BUCKETS = 1024
 #: Most frequent keys of each kind that are broadcast.
 HOT = (1 << 18, 1 << 20)
 #: Keys that a task gathers before it merges or passes them on.
-GATHER = 3_000_000
+GATHER = 1_000_000
 #: Text bytes for which lookups need one more power of two of buckets.
 FINE_BYTES = 1 << 37
 TOKEN, GRAM = 0, 1
@@ -141,7 +141,7 @@ def count_keys(docs: DataFrame) -> DataFrame:
             if held[kind]:
                 merge(kind)
                 key, c, n = held[kind][0]
-                yield from _packed(((kind, b, k, x.astype(np.int64), y.astype(np.int64)) for b, k, x, y in _dealt(kind, 1, key, c, n)), _COUNTS)
+                yield from _packed(((kind, b, planes(np.diff(k, prepend=np.uint64(0))), planes(x), planes(y)) for b, k, x, y in _dealt(kind, 1, key, c, n)), _COUNTS)
                 held[kind] = []
 
         for batch in batches:
@@ -158,7 +158,8 @@ def count_keys(docs: DataFrame) -> DataFrame:
             yield from out(kind)
 
     def join(table: pa.Table) -> pa.Table:
-        key, c, n = ([np.frombuffer(x, t) for x in table.column(name).to_pylist()] for name, t in (("key", np.uint64), ("c", np.int64), ("n", np.int64)))
+        key, c, n = ([unplanes(x, t) for x in table.column(name).to_pylist()] for name, t in (("key", np.uint64), ("c", np.int64), ("n", np.int64)))
+        key = [np.cumsum(k, dtype=np.uint64) for k in key]
         key, c, n = _merged(np.concatenate(key), np.concatenate(c), np.concatenate(n))
         return pa.table([pa.array([table.column("kind")[0].as_py()], pa.int32()), pa.array([table.column("bucket")[0].as_py()], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (key, c, n))], schema=_COUNTS)
 
