@@ -29,7 +29,7 @@ from .common import documents, materialize
 
 THRESHOLD = 1
 LEAST = 30
-FILTER_BITS = 26
+FILTER_BITS = 25
 
 
 def _segment(i: int, length: Column, t: int) -> tuple[Column, Column]:
@@ -57,30 +57,42 @@ def _lines(docs: DataFrame) -> DataFrame:
     return slim.withColumn("size", F.length("line")).where(F.col("size") >= LEAST)
 
 
-def _marked(values: DataFrame) -> DataFrame:
-    """w, bits: a bitmap of 2**FILTER_BITS bits over keys whose value is not the same everywhere; at most 2**(FILTER_BITS-6) rows."""
+def _marked(values: DataFrame) -> Column:
+    """A bitmap of 2**FILTER_BITS bits over keys whose value is not the same everywhere: one array of 64-bit words, as a scalar subquery."""
+    spark = values.sparkSession
     shared = values.groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a <> b")
-    bit = F.expr("shiftleft(1L, cast(key & 63 as int))")
-    return shared.select(_word("key").alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("bits"))
+    words = shared.select(_word(F.col("key")).cast("long").alias("w"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("bits"))
+    every = spark.range(1 << (FILTER_BITS - 6)).withColumnRenamed("id", "w").join(words, "w", "left").select("w", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    packed = every.agg(F.array_sort(F.collect_list(F.struct("w", "bits"))).alias("l"))  # as many rows as the bitmap has words
+    return materialize(packed.select(F.transform("l", lambda x: x["bits"]).alias("words"))).scalar()
 
 
-def _word(key: str) -> Column:
-    return F.shiftrightunsigned(F.col(key), 64 - FILTER_BITS + 6)
+def _word(key: Column) -> Column:
+    return F.shiftrightunsigned(key, 64 - FILTER_BITS + 6).cast("int")
+
+
+def _hit(bitmap: Column, key: str) -> Column:
+    bit = F.call_function("shiftrightunsigned", F.get(bitmap, _word(F.col(key))), F.col(key).bitwiseAND(63).cast("int"))
+    return F.col(key).isNotNull() & (bit.bitwiseAND(1) == 1)
 
 
 def repeated_lines(docs: DataFrame, t: int = THRESHOLD) -> DataFrame:
     """dk, th, pos of the lines that go."""
     line, size = F.col("line"), F.col("size")
-    keyed = _lines(docs).withColumns({"h": F.xxhash64("line", F.lit(1)), "own": F.hash("dk", "th", "pos")})
-    segments = F.transform(F.filter(F.array(*_keys(line, size, t)), lambda k: k.isNotNull()), lambda k: F.struct(k.alias("key"), F.shiftright("h", 32).cast("int").alias("v")))
-    whole = F.array(F.struct(F.col("h").alias("key"), F.col("own").alias("v")))
-    values = keyed.select(F.inline(F.concat(segments, whole)))
-    marks = materialize(_marked(values))
-    # The lines that may repeat: broadcast size is bounded by FILTER_BITS.
-    tagged = keyed.withColumn("keys", F.filter(F.array(F.col("h"), *_keys(line, size, t)), lambda k: k.isNotNull()))
-    asked = tagged.select("dk", "th", "pos", "line", "size", F.explode("keys").alias("key"))
-    hit = asked.join(F.broadcast(marks), _word("key") == F.col("w")).where("(shiftrightunsigned(bits, cast(key & 63 as int)) & 1) = 1")
-    found = materialize(hit.select("dk", "th", "pos", "line", "size", "key"))
+    keyed = _lines(docs).withColumn("h", F.xxhash64("line", F.lit(1)))
+    keys = _keys(line, size, t)
+    half = F.shiftright("h", 32).cast("int")
+    pairs = [F.struct(k.alias("key"), half.alias("v")) for k in keys] + [F.struct(F.col("h").alias("key"), F.hash("dk", "th", "pos").alias("v"))]
+    bitmap = _marked(keyed.select(F.inline(F.array(*pairs))).where("key is not null"))
+    # The lines that may repeat: all keys are looked up before a line is copied for any of them.
+    names = [f"k{i}" for i in range(len(keys))]
+    tagged = keyed.withColumns(dict(zip(names, keys, strict=True)))
+    names.append("h")
+    anything = F.lit(False)
+    for name in names:
+        anything = anything | _hit(bitmap, name)
+    asked = tagged.where(anything).select("dk", "th", "pos", "line", "size", F.explode(F.array(*[F.when(_hit(bitmap, name), F.col(name)) for name in names])).alias("key"))
+    found = materialize(asked.where("key is not null"))
     at = F.struct("dk", "th", "pos")
     occurrences = found.select("dk", "th", "pos", "line").distinct()
     members = materialize(found.groupBy("key", "line", "size").agg(F.min(at).alias("at")))
