@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,6 +20,19 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 CHUNK = 1 << 20
 
 _own_root: list[str] = []
+_steady: list[bool] = []
+
+
+def steady_heap() -> None:
+    """Makes a worker's C library give large arrays back to the system at once; without one that can, nothing happens."""
+    if not _steady:
+        _steady.append(True)
+        try:
+            libc = ctypes.CDLL(None)
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+            libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+        except (AttributeError, OSError):
+            pass
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -44,7 +58,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+def texts(batch: pa.RecordBatch, name: str = "text", chunk: int = CHUNK) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
     """Slices a batch's string column: (first row, last row + 1, bytes, offsets of rows in them); null is empty."""
     col = batch.column(batch.schema.get_field_index(name))
     if not pa.types.is_large_string(col.type) and not pa.types.is_large_binary(col.type):
@@ -58,7 +72,7 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[tuple[int, int,
     data = memoryview(col.buffers()[2] or b"")
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + chunk, "right")) - 1)
         hi = min(hi, n)
         yield lo, hi, bytes(data[offsets[lo] : offsets[hi]]), offsets[lo : hi + 1] - offsets[lo]
         lo = hi
@@ -155,8 +169,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round is written to the shared folder. Labels are aggregated with map-side combining, and
     a hub's many edges only meet in sort-merge joins, whose large partitions Spark splits.
     """
-    pairs = edges.select(F.col(a).alias("s"), F.col(b).alias("t")).where("s <> t").distinct()
-    pairs = materialize(pairs)
+    pairs = materialize(edges.select(F.col(a).alias("s"), F.col(b).alias("t")).where("s <> t").distinct())
     both = pairs.unionByName(pairs.select(F.col("t").alias("s"), F.col("s").alias("t")))
     labels = materialize(both.groupBy(F.col("s").alias("v")).agg(F.min("t").alias("m")).select("v", F.least("v", "m").alias("c")))
     while True:
@@ -173,14 +186,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 # ---- a filter of fixed size ----
 
 
-def bit_filter(keys: DataFrame, column: str, bits: int):
-    """A bitmap of 2**bits bits over a column of longs, gathered as 64-bit words: its size never depends on the data."""
-    h = F.xxhash64(column).bitwiseAND((1 << bits) - 1)
-    words = keys.select(F.shiftright(h, 6).alias("w"), F.expr(f"shiftleft(1L, cast(xxhash64({column}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+def bit_map(places: DataFrame, bits: int):
+    """A broadcast bitmap of 2**bits bits (64-bit words) over a column place: its size never depends on the data."""
+    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    words = places.select(F.shiftright("place", 6).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     out = np.zeros(1 << (bits - 6), np.int64)
     got = words.toArrow()
     out[got.column("w").to_numpy()] = got.column("b").to_numpy()
-    return keys.sparkSession.sparkContext.broadcast(out)
+    return places.sparkSession.sparkContext.broadcast(out)
 
 
 def planes(x: np.ndarray) -> bytes:

@@ -14,7 +14,7 @@ probability of nearly their Jaccard similarity, so equal bands of ROWS registers
    near the threshold are verified on full sets, best estimate first, until no untested pair could join components.
 4. In families of several blocks, members outside the family's largest component are a query set that meets
    all blocks. So a group of a third of all rows costs its size times its few stragglers, in bounded blocks.
-5. Components over all verified links.
+5. Links between blocks are closed by components over the blocks' own components.
 
 Nulls: a null or wordless text has the empty set and is linked with nothing. A null doc_id takes part as text; it is
 the component's id only if no member has one. Rows with one doc_id are separate documents. Empty tables give
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_filter, components, distinct_sorted, documents, materialize, mix, shingle_hashes, texts, word_hashes
+from .common import bit_map, components, distinct_sorted, documents, materialize, mix, shingle_hashes, texts, word_hashes
 
 REGISTERS, BANDS, ROWS = 128, 32, 4
 BASE = 1.001
@@ -105,64 +105,42 @@ def _prints(values: np.ndarray, starts: np.ndarray) -> list[bytes]:
     return [raw[16 * i : 16 * i + 16] for i in range(len(starts) - 1)]
 
 
-def sketch_documents(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, th (the text's hash), fp, n, sketch."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, values, starts in _sets(batch, k):
-                rows = registers(values, starts)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(_prints(values, starts), pa.binary()), pa.array(np.diff(starts), pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())],
-                    names=["doc_id", "th", "fp", "n", "sketch"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, fp binary, n long, sketch binary")
+def band_keys(rows: np.ndarray) -> np.ndarray:
+    """A key for each band of register rows: (rows, BANDS)."""
+    packed = rows[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).copy().view(np.uint64)[:, :, 0]
+    return mix(packed + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def band_keys(vertices: DataFrame) -> DataFrame:
-    """fp, key: a row for each band."""
+def sketch_documents(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, th (the text's hash), fp, n, bands."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            packed = rows[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).copy().view(np.uint64)[:, :, 0]
-            keys = mix(packed + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(rows)), BANDS))), pa.array(keys.ravel())], names=["fp", "key"])
+            for lo, hi, values, starts in _sets(batch, k):
+                keys = band_keys(registers(values, starts))
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(_prints(values, starts), pa.binary()), pa.array(np.diff(starts), pa.int64()), bands], names=["doc_id", "th", "fp", "n", "bands"])
 
-    return vertices.select("fp", "sketch").mapInArrow(run, "fp binary, key long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, fp binary, n long, bands array<long>")
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """fp, set, sketch of the vertices in wanted (fp): one scan that keeps what a fixed-size filter lets through, then a join."""
+    """fp, set of the vertices in wanted (fp): one scan that keeps what a bitmap of fixed size lets through, then a join."""
     bits = 24
-    sent = bit_filter(wanted.select(F.expr("conv(hex(substring(fp, 1, 7)), 16, 10)").cast("long").alias("h")), "h", bits)
+    place = F.conv(F.hex(F.substring("fp", 1, 4)), 16, 10).cast("long")  # a fingerprint's bytes are uniform
+    sent = bit_map(wanted.select(F.shiftright(place, 32 - bits).alias("place")), bits)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, values, starts in _sets(batch, k):
-                fps = _prints(values, starts)
-                seen, out = set(), []
-                for i, fp in enumerate(fps):
-                    if fp not in seen and starts[i + 1] > starts[i]:
-                        seen.add(fp)
-                        out.append((fp, i))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([f for f, _ in out], pa.binary()), pa.array([int.from_bytes(f[:7], "big") for f, _ in out], pa.int64()), pa.array([values[starts[i] : starts[i + 1]].tobytes() for _, i in out], pa.binary())], names=["fp", "h", "set"]
-                )
-
-    got = docs.select("doc_id", "text").mapInArrow(run, "fp binary, h long, set binary")
-
-    @F.pandas_udf("boolean")
-    def maybe(h):
-        import pandas as pd
-
-        x = h.to_numpy()
-        return pd.Series((sent.value[x >> 6] >> (x & 63)) & 1 == 1)
-
-    got = got.where(maybe(F.xxhash64("h").bitwiseAND((1 << bits) - 1)))
+                found: dict[bytes, int] = {}
+                for i, fp in enumerate(_prints(values, starts)):
+                    at = int.from_bytes(fp[:4], "big") >> (32 - bits)
+                    if (int(sent.value[at >> 6]) >> (at & 63)) & 1 and starts[i + 1] > starts[i]:
+                        found.setdefault(fp, i)
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([values[starts[i] : starts[i + 1]].tobytes() for i in found.values()], pa.binary())], names=["fp", "set"])
+
+    got = docs.select("doc_id", "text").mapInArrow(run, "fp binary, set binary")
     return got.join(wanted.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("set").alias("set"))
 
 
@@ -223,63 +201,78 @@ def _links(fps: list, sets: list[np.ndarray], labels: list[int], left: Iterable[
 
 def _solve(percent: int, shape: pa.Schema):
     def block(table: pa.Table) -> pa.Table:
-        """A block's members, its queries, or its hub: part 0 rows are members, part 1 rows queries of other blocks or the hub."""
-        fps, part = table.column("fp").to_pylist(), table.column("part").to_pylist()
+        """One block. inner: every member with its component's least vertex, found among members (part 0) and the hub (part 1).
+        Otherwise: links between members and queries of the whole family (part 1), as pairs of their labels.
+        """
+        fps, part, names = (table.column(x).to_pylist() for x in ("fp", "part", "label"))
         sets = [np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]
-        names = table.column("label").to_pylist()
         ids: dict = {}
         labels = [ids.setdefault(x, len(ids)) for x in names]
-        members = [i for i, p in enumerate(part) if p == 0]
-        queries = [i for i, p in enumerate(part) if p == 1]
-        inner = table.column("inner").to_pylist()[0] if fps else True
-        left = list(range(len(fps))) if inner else queries
-        out = _links(fps, sets, labels, left, left if inner else members, percent)
-        return pa.Table.from_pylist([{"a": x, "b": y} for x, y in out], schema=shape)
+        everyone = list(range(len(fps)))
+        if table.column("inner")[0].as_py():
+            union = _Union(len(fps))
+            index = {fp: i for i, fp in enumerate(fps)}
+            for a, b in _links(fps, sets, labels, everyone, everyone, percent):
+                union.up[union.find(index[a])] = union.find(index[b])
+            least: dict[int, bytes] = {}
+            for i in everyone:
+                root = union.find(i)
+                least[root] = min(least.get(root, fps[i]), fps[i])
+            out = [{"a": fps[i], "b": least[union.find(i)]} for i in everyone if part[i] == 0]
+        else:
+            name = dict(zip(fps, names, strict=True))
+            found = _links(fps, sets, labels, [i for i in everyone if part[i] == 1], [i for i in everyone if part[i] == 0], percent)
+            out = [{"a": name[a], "b": name[b]} for a, b in found]
+        return pa.Table.from_pylist(out, schema=shape)
 
     return block
 
 
-def near_links(docs: DataFrame, vertices: DataFrame, percent: int, k: int) -> DataFrame:
-    """a, b: verified links that connect every component of vertices (fp, n, sketch)."""
-    bands = band_keys(vertices)
+def near_groups(docs: DataFrame, vertices: DataFrame, percent: int, k: int) -> DataFrame:
+    """fp, c: the least vertex reachable by verified links, for each vertex (fp, bands) that shares a band."""
+    bands = vertices.select("fp", F.explode("bands").alias("key"))
     stars = materialize(bands.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("most")).where("hub < most").select("key", "hub"))
-    ties = bands.join(stars, "key").select("hub", "fp").where("hub <> fp").distinct()
+    ties = bands.join(stars, "key").select("hub", "fp").where("hub <> fp")
     family = components(ties, "hub", "fp").select(F.col("v").alias("fp"), F.col("c").alias("family"))
     sized = family.join(family.groupBy("family").agg(F.count("*").alias("size")), "family")
     sized = sized.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     sized = sized.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    members = materialize(sized.join(fetch_sets(docs, sized.select("fp"), k), "fp").select("family", "block", "blocks", "fp", "set"))
+    members = materialize(sized.join(fetch_sets(docs, family, k), "fp").select("family", "block", "blocks", "fp", "set"))
     shape = pa.schema([("a", pa.binary()), ("b", pa.binary())])
     solve = _solve(percent, shape)
     columns = ["family", "block", "fp", "set"]
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     one = members.select(*columns, F.lit(0).alias("part"), F.col("fp").alias("label"), F.lit(True).alias("inner"))
-    hubs = members.where("blocks > 1 and fp = family").select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "fp", "set", F.lit(1).alias("part"), F.col("fp").alias("label"), F.lit(True).alias("inner"), F.col("block").alias("own"))
+    hubs = members.where("blocks > 1 and fp = family").select("family", F.col("block").alias("own"), every.alias("block"), "fp", "set", F.lit(1).alias("part"), F.col("fp").alias("label"), F.lit(True).alias("inner"))
     one = one.unionByName(hubs.where("own <> block").drop("own"))
     first = materialize(one.groupBy("family", "block").applyInArrow(solve, "a binary, b binary"))
+    label = first.select(F.col("a").alias("fp"), F.col("b").alias("c"))
     # Families of several blocks: whoever is not in the largest component asks all blocks.
     large = members.where("blocks > 1")
     if not large.limit(1).count():
-        return first
-    got = components(first)
-    large = materialize(large.join(got, large.fp == got.v, "left").select(*columns, "blocks", F.coalesce("c", "fp").alias("label")))
+        return label
+    joined = large.join(label, "fp")
+    across = components(joined.select("fp", "c"), "fp", "c").select(F.col("v").alias("c"), F.col("c").alias("label"))
+    large = materialize(joined.join(across, "c", "left").select(*columns, "blocks", F.coalesce("label", "c").alias("label")))
     counts = large.groupBy("family", "label").agg(F.count("*").alias("n"))
     main = counts.groupBy("family").agg(F.max(F.struct("n", "label")).alias("m")).select("family", F.col("m.label").alias("main"))
     asks = large.join(main, "family").where("label <> main").withColumn("slot", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")))
-    asks = asks.select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "fp", "set", F.lit(1).alias("part"), "label", F.lit(False).alias("inner"), "slot")
+    asks = asks.select("family", every.alias("block"), "fp", "set", F.lit(1).alias("part"), "label", F.lit(False).alias("inner"), "slot")
     slots = asks.select("family", "block", "slot").distinct()
     two = large.select(*columns, F.lit(0).alias("part"), "label", F.lit(False).alias("inner")).join(slots, ["family", "block"])
-    two = two.unionByName(asks).groupBy("family", "block", "slot").applyInArrow(solve, "a binary, b binary")
-    return first.unionByName(materialize(two))
+    two = materialize(two.unionByName(asks).groupBy("family", "block", "slot").applyInArrow(solve, "a binary, b binary"))
+    last = components(two, "a", "b").select(F.col("v").alias("label"), F.col("c").alias("joined"))
+    late = large.join(last, "label", "left").select("fp", F.coalesce("joined", "label").alias("late"))
+    return label.join(late, "fp", "left").select("fp", F.coalesce("late", "c").alias("c"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, component_id, kept and group (the component's fingerprint, null for
     the empty set) for each row of docs."""
     slim = materialize(sketch_documents(docs, k))
-    vertices = slim.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.first("sketch").alias("sketch"))
-    links = near_links(docs, vertices, percent, k)
-    label = components(links)
-    named = vertices.join(label, vertices.fp == label.v, "left").select("fp", "least", F.coalesce("c", "fp").alias("c"))
+    vertices = slim.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
+    label = near_groups(docs, vertices, percent, k)
+    named = vertices.select("fp", "least").join(label, "fp", "left").select("fp", "least", F.coalesce("c", "fp").alias("c"))
     least = named.groupBy("c").agg(F.min("least").alias("component"))
     named = named.join(least, "c").select("fp", "component", F.col("c").alias("group"))
     out = slim.join(named, "fp", "left")
