@@ -31,6 +31,7 @@ import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,9 @@ class TokenAutomaton:
             self.rule[a, b] = rank
             if w not in self.left:
                 self.left[w], self.right[w], self.born[w] = a, b, rank
+        for (a, b), rank in self.rule.items():
+            if max(self.born[a], self.born[b]) >= rank:
+                raise ValueError(f"merge {rank} uses a token that is not there yet")
         # Tokens by their spelling in bytes: what may end at a place, longest first.
         back = {s: b for b, s in enumerate(symbols)}
         self.inner: dict[bytes, int] = {}
@@ -85,7 +89,9 @@ class TokenAutomaton:
                 continue
             if all(c in back for c in body):
                 (self.last if end else self.inner)[bytes(back[c] for c in body)] = i
-        self.longest = max(map(len, [*self.inner, *self.last]))
+        self.reach: dict[bytes, int] = {}  # the longest spelling with these first bytes
+        for body in (*self.inner, *self.last):
+            self.reach[body[:2]] = max(len(body), self.reach.get(body[:2], 1))
         self.arcs: dict[tuple[int, int], bool] = {}
         self.known: dict[bytes, tuple[int, ...]] = {}
 
@@ -112,37 +118,37 @@ class TokenAutomaton:
         return on
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
-        """The one path that spells the word."""
+        """The one path that spells the word: longest arcs first, back from places where no arc fits.
+
+        Each prefix has one path, so a place that leads nowhere is dead for good.
+        """
         n = len(word)
-        if (whole := self.last.get(word)) is not None and self._is_whole(whole):
-            return (whole,)
-        state: list[int] = [-1] * (n + 1)  # of each prefix: its last token
-        come: list[int] = [0] * (n + 1)
-        inner, arcs = self.inner, self.arcs
-        for end in range(1, n + 1):
-            table = self.last if end == n else inner
-            for start in range(max(0, end - self.longest), end):
-                x = table.get(word[start:end])
-                if x is None:
-                    continue
-                if start == 0:
-                    if self._is_whole(x):
-                        state[end], come[end] = x, 0
-                        break
-                    continue
-                t = state[start]
-                if t < 0:
-                    continue
-                on = arcs.get((t, x))
-                if on or (on is None and self.arc(t, x)):
-                    if self._is_whole(x):
-                        state[end], come[end] = x, start
+        inner, last, arcs, reach = self.inner, self.last, self.arcs, self.reach
+        path: list[int] = []
+        ends = [0]
+        dead: set[int] = set()
+        at, size = 0, min(n, reach.get(word[:2], 1))
+        while at < n:
+            t = path[-1] if path else -1
+            while size:
+                end = at + size
+                x = last.get(word[at:]) if end == n else inner.get(word[at:end])
+                if x is not None and end not in dead and self._is_whole(x):
+                    if t < 0 or (on := arcs.get((t, x))) or (on is None and self.arc(t, x)):
                         break
-        path, at = [], n
-        while at:
-            path.append(state[at])
-            at = come[at]
-        return tuple(reversed(path))
+                size -= 1
+            if size:
+                path.append(x)
+                ends.append(end)
+                at = end
+                size = min(n - at, reach.get(word[at : at + 2], 1))
+            else:
+                dead.add(at)
+                path.pop()
+                ends.pop()
+                size = at - ends[-1] - 1
+                at = ends[-1]
+        return tuple(path)
 
     def _is_whole(self, x: int) -> bool:
         """Whether x is reached at all: its parts must form a path of the automaton when it is born."""
@@ -237,9 +243,7 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     spec = df.sparkSession.sparkContext.broadcast(read_spec(path))
 
     @F.pandas_udf("array<int>")
-    def ids(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokenizer = load(spec.value)
         for batch in batches:
             yield pd.Series([tokenizer.encode(t or "") for t in batch])
@@ -252,9 +256,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     spec = df.sparkSession.sparkContext.broadcast(read_spec(path))
 
     @F.pandas_udf("string")
-    def back(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def back(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokenizer = load(spec.value)
         for batch in batches:
             yield pd.Series([tokenizer.decode(x if x is not None else ()) for x in batch])
