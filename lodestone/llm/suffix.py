@@ -33,16 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, mix, texts
+from .common import documents, materialize, mix, planes, steady_heap, texts, unplanes
 
 SPAN, GRAM = 50, 24
 WINDOW = SPAN - GRAM + 1
 PIECE = 2 * SPAN - GRAM
 FILTER_BITS = 27
+#: Text bytes that are searched for anchors at once.
+CHUNK = 1 << 19
 #: Text bytes for each bucket.
-BUCKET_BYTES = 1 << 20
-#: Pieces that a task gathers before it passes them on.
-GATHER = 400_000
+BUCKET_BYTES = 1 << 19
+#: Pieces that a task gathers before it passes them on, and anchors.
+GATHER, GATHER_ANCHORS = 200_000, 1_500_000
 _NONE = np.uint64(2**64 - 1)
 
 
@@ -61,6 +63,16 @@ def _least(x: np.ndarray, width: int, f=np.minimum) -> np.ndarray:
     return f(x[: len(x) - rest], x[rest:]) if rest else x
 
 
+def gram_hash(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The hash of GRAM = 24 bytes, given as three words."""
+    g = a * np.uint64(0x9E3779B97F4A7C15)
+    g ^= b * np.uint64(0xD1342543DE82EF95) + (g >> np.uint64(29))
+    g ^= c * np.uint64(0xAF251AF3B0F025B5) + (g >> np.uint64(31))
+    g *= np.uint64(0x94D049BB133111EB)
+    g ^= g >> np.uint64(32)
+    return g
+
+
 class Anchors:
     """The anchors of some documents' bytes: place at, hash, and the windows that picked each."""
 
@@ -68,11 +80,7 @@ class Anchors:
         n = len(data)
         self.raw = np.frombuffer(data + bytes(PIECE + 8), np.uint8)
         w = _words(self.raw)
-        g = w[:n] * np.uint64(0x9E3779B97F4A7C15)
-        g ^= w[8 : n + 8] * np.uint64(0xD1342543DE82EF95) + (g >> np.uint64(29))
-        g ^= w[16 : n + 16] * np.uint64(0xAF251AF3B0F025B5) + (g >> np.uint64(31))
-        g *= np.uint64(0x94D049BB133111EB)
-        g ^= g >> np.uint64(32)
+        g = gram_hash(w[:n], w[8 : n + 8], w[16 : n + 16])
         ends = offsets[1:]
         inside = np.zeros(n + 1, np.int32)  # places whose window does not fit its document
         np.add.at(inside, np.maximum(ends - SPAN + 1, offsets[:-1]), 1)
@@ -100,16 +108,6 @@ class Anchors:
         return first, which - same[:, ::-1].argmax(1)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """The bytes of x, first all lowest, then all next ...: sorted or small numbers pack well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
-
-
-def _unplanes(raw: bytes, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).ravel()
-
-
 def _groups(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(bucket, kind="stable")
     edges = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1], [True]])) if len(bucket) else []
@@ -137,6 +135,7 @@ def shared_anchors(docs: DataFrame, bits: int) -> np.ndarray:
     shape = pa.schema([("bucket", pa.int64()), ("key", pa.binary()), ("doc", pa.binary()), ("many", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_heap()
         keys: list[np.ndarray] = []
         owners: list[np.ndarray] = []
 
@@ -149,26 +148,26 @@ def shared_anchors(docs: DataFrame, bits: int) -> np.ndarray:
             key, doc = key[first], doc[first]
             where = _bucket(key, bits)
             edges = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1], [True]]))
-            made = ((int(where[lo]), _planes(np.diff(key[lo:hi], prepend=np.uint64(0))), _planes(doc[lo:hi]), np.packbits(many[lo:hi]).tobytes()) for lo, hi in zip(edges[:-1], edges[1:], strict=True))
+            made = ((int(where[lo]), planes(np.diff(key[lo:hi], prepend=np.uint64(0))), planes(doc[lo:hi]), np.packbits(many[lo:hi]).tobytes()) for lo, hi in zip(edges[:-1], edges[1:], strict=True))
             yield from _batches(made, shape)
             keys.clear()
             owners.clear()
 
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for lo, _, data, offsets in texts(batch):
+            for lo, _, data, offsets in texts(batch, chunk=CHUNK):
                 found = Anchors(data, offsets)
                 if len(found.at):
                     keys.append(found.g[found.at])
                     owners.append(ids[lo + np.searchsorted(offsets, found.at, "right") - 1])
-                if sum(map(len, keys)) > 10 * GATHER:
+                if sum(map(len, keys)) > GATHER_ANCHORS:
                     yield from out()
         if keys:
             yield from out()
 
     def marks(table: pa.Table) -> pa.Table:
-        key = np.concatenate([np.cumsum(_unplanes(k, np.uint64), dtype=np.uint64) for k in table.column("key").to_pylist()])
-        doc = np.concatenate([_unplanes(d, np.int64) for d in table.column("doc").to_pylist()])
+        key = np.concatenate([np.cumsum(unplanes(k, np.uint64), dtype=np.uint64) for k in table.column("key").to_pylist()])
+        doc = np.concatenate([unplanes(d, np.int64) for d in table.column("doc").to_pylist()])
         many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8))[: len(d) // 8] for m, d in zip(table.column("many").to_pylist(), table.column("doc").to_pylist(), strict=True)]).astype(bool)
         order = np.argsort(key)
         key, doc, many = key[order], doc[order], many[order]
@@ -286,8 +285,9 @@ def least_documents(text: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.n
 
 # ---- pieces and spans ----
 
-_PIECES = pa.schema([("bucket", pa.int64()), ("key", pa.binary()), ("size", pa.binary()), ("text", pa.binary()), ("doc", pa.binary()), ("row", pa.binary()), ("start", pa.binary())])
-_PIECES_SQL = "bucket long, key binary, size binary, text binary, doc binary, row binary, start binary"
+_PIECES = pa.schema([("bucket", pa.int64()), ("size", pa.binary()), ("off", pa.binary()), ("text", pa.binary()), ("doc", pa.binary()), ("row", pa.binary()), ("start", pa.binary())])
+#: size and place of the anchor are bytes, texts are packed end to end, numbers are differences by byte planes.
+_PIECES_SQL = "bucket long, size binary, off binary, text binary, doc binary, row binary, start binary"
 
 
 def _row_bucket(row: np.ndarray, bits: int) -> np.ndarray:
@@ -300,17 +300,19 @@ def repeated_spans(docs: DataFrame, bits: int) -> DataFrame:
     bitmap = spark.sparkContext.broadcast(shared_anchors(docs, bits))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_heap()
         held: list[tuple] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            key, size, text, doc, row, start = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, off, size, text, doc, row, start = (np.concatenate(x) for x in zip(*held, strict=True))
             ends = np.cumsum(size.astype(np.int64))
 
             def made() -> Iterator[tuple]:
                 for b, at in _groups(_bucket(key, bits)):
                     at = at[np.argsort(row[at], kind="stable")]
                     body = b"".join([flat[e - s : e] for e, s in zip(ends[at].tolist(), size[at].tolist(), strict=True)])
-                    yield b, key[at].tobytes(), size[at].tobytes(), body, _planes(doc[at]), _planes(row[at]), _planes(start[at])
+                    packed = pa.compress(body, codec="zstd", asbytes=True)
+                    yield b, size[at].tobytes(), off[at].tobytes(), packed, planes(np.diff(doc[at], prepend=0)), planes(np.diff(row[at], prepend=0)), planes(start[at])
 
             flat = text.tobytes()
             yield from _batches(made(), _PIECES)
@@ -318,7 +320,7 @@ def repeated_spans(docs: DataFrame, bits: int) -> DataFrame:
 
         for batch in batches:
             ids, rows = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            for lo, _, data, offsets in texts(batch):
+            for lo, _, data, offsets in texts(batch, chunk=CHUNK):
                 found = Anchors(data, offsets)
                 if not len(found.at):
                     continue
@@ -332,7 +334,7 @@ def repeated_spans(docs: DataFrame, bits: int) -> DataFrame:
                 size = (last - first + SPAN).astype(np.uint8)
                 flat = np.repeat(first - (np.cumsum(size.astype(np.int64)) - size), size) + np.arange(int(size.sum(dtype=np.int64)))
                 inside = np.searchsorted(offsets, first, "right") - 1
-                held.append((key, size, found.raw[flat], ids[lo + inside], rows[lo + inside], (first - offsets[inside]).astype(np.int32)))
+                held.append((key, (at - first).astype(np.uint8), size, found.raw[flat], ids[lo + inside], rows[lo + inside], (first - offsets[inside]).astype(np.int32)))
                 if sum(len(h[0]) for h in held) > GATHER:
                     yield from out()
         if held:
@@ -342,14 +344,18 @@ def repeated_spans(docs: DataFrame, bits: int) -> DataFrame:
     shape = pa.schema([("bucket", pa.int64()), ("row", pa.binary()), ("start", pa.binary()), ("end", pa.binary())])
 
     def judge(table: pa.Table) -> pa.Table:
+        steady_heap()
         col = lambda name: table.column(name).to_pylist()
-        key = np.concatenate([np.frombuffer(x, np.uint64) for x in col("key")])
-        size = np.concatenate([np.frombuffer(x, np.uint8) for x in col("size")]).astype(np.int64)
-        text = np.frombuffer(b"".join(col("text")), np.uint8)
-        doc, row, start = (np.concatenate([_unplanes(x, t) for x in col(name)]) for name, t in (("doc", np.int64), ("row", np.int64), ("start", np.int32)))
+        sizes = [np.frombuffer(x, np.uint8).astype(np.int64) for x in col("size")]
+        size = np.concatenate(sizes)
+        text = np.frombuffer(b"".join(pa.decompress(x, int(n.sum()), codec="zstd", asbytes=True) for x, n in zip(col("text"), sizes, strict=True)), np.uint8)
+        doc, row = (np.concatenate([np.cumsum(unplanes(x, np.int64)) for x in col(name)]) for name in ("doc", "row"))
+        start = np.concatenate([unplanes(x, np.int32) for x in col("start")])
         # Distinct pieces of each anchor: 128-bit sums over their eight-byte words.
         begin = np.cumsum(size) - size
         word = _words(np.concatenate([text, np.zeros(PIECE + 16, np.uint8)]))
+        anchor = begin + np.concatenate([np.frombuffer(x, np.uint8) for x in col("off")])
+        key = gram_hash(word[anchor], word[anchor + 8], word[anchor + 16])
         one, two = mix(key ^ size.astype(np.uint64)), mix(key + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         for step in range(0, PIECE, 8):
             left = np.clip(size - step, 0, 8)
@@ -386,7 +392,7 @@ def repeated_spans(docs: DataFrame, bits: int) -> DataFrame:
             o, e = np.flatnonzero(open_), np.flatnonzero(shut)
             out.append((row[which[o]], (start[which[o]] + step[o]).astype(np.int32), (start[which[e]] + step[e] + SPAN).astype(np.int32)))
         r, s, e = (np.concatenate(x) for x in zip(*out, strict=True))
-        made = [(where, _planes(r[at]), _planes(s[at]), _planes(e[at])) for where, at in _groups(_row_bucket(r, bits >> 1))]
+        made = [(where, planes(r[at]), planes(s[at]), planes(e[at])) for where, at in _groups(_row_bucket(r, bits >> 1))]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*made, strict=True) if made else ([],) * 4, shape.types, strict=True)], schema=shape)
 
     return pieces.groupBy("bucket").applyInArrow(judge, "bucket long, row binary, start binary, end binary")
@@ -412,7 +418,7 @@ def dedup_passages(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r, s, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(_unplanes(r, np.int64)), pa.array(_unplanes(s, np.int32)), pa.array(_unplanes(e, np.int32))], names=["row", "start", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(unplanes(r, np.int64)), pa.array(unplanes(s, np.int32)), pa.array(unplanes(e, np.int32))], names=["row", "start", "end"])
 
     flat = spans.select("row", "start", "end").mapInArrow(unpack, "row long, start int, end int")
     per_row = flat.groupBy("row").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
