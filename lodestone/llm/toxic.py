@@ -133,23 +133,44 @@ class Field:
         return best, spans
 
 
-def choose_features(texts: list[list[str]], toxic: list[bool]) -> list[str]:
+class Corpus:
+    """Sampled documents as arrays of word numbers: a word's text is held once, however often it occurs."""
+
+    def __init__(self, sample: list[tuple[str, bool]]) -> None:
+        number: dict[str, int] = {}
+        self.docs: list[np.ndarray] = []
+        for text, _ in sample:
+            words = _WORD.findall(lowered(text))
+            self.docs.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+        self.words = list(number)
+        self.toxic = [bad for _, bad in sample]
+
+    def uses(self, bad: bool) -> np.ndarray:
+        """Of each word, how many different words it follows in documents of a class (the start of a text is one)."""
+        codes = [np.zeros(0, np.int64)]
+        for doc, mark in zip(self.docs, self.toxic, strict=True):
+            if mark == bad and len(doc):
+                codes.append(doc.astype(np.int64) << 32 | np.concatenate([[len(self.words)], doc[:-1]]))
+        distinct = np.unique(np.concatenate(codes))
+        return np.bincount(distinct >> 32, minlength=len(self.words))
+
+
+def choose_features(corpus: Corpus) -> list[str]:
     """Features that mark toxic documents, chosen greedily by the word uses that they explain.
 
     A use is a word with the word before it, counted once, so copies of a document add nothing. A feature
     qualifies if its uses fall in toxic documents far beyond chance (log likelihood ratio, against all features
     tried) and are at least RARE times as frequent there as in clean ones.
     """
-    uses: dict[bool, set[tuple[str, str]]] = {True: set(), False: set()}
-    for words, bad in zip(texts, toxic, strict=True):
-        uses[bad].update(zip(words, ["", *words], strict=False))
-    counts = {}
-    for bad, pairs in uses.items():
-        counts[bad] = Counter()
-        for word, n in Counter(w for w, _ in pairs).items():
-            for f in word_features(word):
-                counts[bad][f] += n
-    share = len(uses[True]) / max(1, len(uses[True]) + len(uses[False]))
+    used = {bad: corpus.uses(bad) for bad in (True, False)}
+    counts: dict[bool, Counter[str]] = {True: Counter(), False: Counter()}
+    for bad in (True, False):
+        for i in np.flatnonzero(used[bad]).tolist():
+            for f in word_features(corpus.words[i]):
+                if bad or f in counts[True]:
+                    counts[bad][f] += int(used[bad][i])
+    total = int(used[True].sum()) + int(used[False].sum())
+    share = int(used[True].sum()) / max(1, total)
     if not 0 < share < 1:
         return []
     needed = math.log(len(counts[True])) + 5
@@ -161,10 +182,10 @@ def choose_features(texts: list[list[str]], toxic: list[bool]) -> list[str]:
         if n >= LEAST and ratio >= needed and q / (1 - q + 1e-12) >= RARE * share / (1 - share):
             gain[f] = n
     own: dict[str, Counter[str]] = defaultdict(Counter)
-    for word, _ in uses[True]:
-        for f in word_features(word):
+    for i in np.flatnonzero(used[True]).tolist():
+        for f in word_features(corpus.words[i]):
             if f in gain:
-                own[f][word] += 1
+                own[f][corpus.words[i]] += int(used[True][i])
     chosen: list[str] = []
     done: set[str] = set()
     while gain and len(chosen) < FEATURES:
@@ -183,22 +204,21 @@ def choose_features(texts: list[list[str]], toxic: list[bool]) -> list[str]:
 
 def fit(sample: list[tuple[str, bool]], steps: int = 100, ridge: float = 1e-3) -> Field:
     """The field fitted to (text, toxic) rows."""
-    texts = [_WORD.findall(lowered(t)) for t, _ in sample]
-    toxic = [bad for _, bad in sample]
-    chosen = choose_features(texts, toxic)
-    if not chosen or all(toxic):
+    corpus = Corpus(sample)
+    chosen = choose_features(corpus)
+    if not chosen or all(corpus.toxic):
         return Field()
     model = Field(*({f[1:]: i for i, f in enumerate(chosen) if f[0] == kind} for kind in "=45"), weights=np.zeros(len(chosen)))
-    # Segments of tokens: which feature sets they have and their labels, padded; padding is masked.
+    # Segments of tokens: which feature sets they have and their labels, padded; padding is masked. Equal segments are counted.
     sets: dict[tuple[int, ...], int] = {(): 0}
-    rows, tags = [], []
-    for words, bad in zip(texts, toxic, strict=True):
-        ids = [sets.setdefault(tuple(t[k] for t, k in ((model.words, w), (model.four, w[:4]), (model.five, w[:5])) if k in t), len(sets)) for w in words]
-        for lo in range(0, len(ids), SEGMENT):
-            part = ids[lo : lo + SEGMENT]
-            rows.append(part + [-1] * (SEGMENT - len(part)))
-            tags.append([int(bad and i > 0) for i in part] + [0] * (SEGMENT - len(part)))
-    grid, counts = np.unique(np.concatenate([np.array(rows), np.array(tags)], 1), axis=0, return_counts=True)
+    set_of = np.array([sets.setdefault(tuple(t[k] for t, k in ((model.words, w), (model.four, w[:4]), (model.five, w[:5])) if k in t), len(sets)) for w in corpus.words], np.int32)
+    parts = []
+    for doc, bad in zip(corpus.docs, corpus.toxic, strict=True):
+        ids = np.full(-(-len(doc) // SEGMENT) * SEGMENT, -1, np.int32)
+        ids[: len(doc)] = set_of[doc]
+        tags = (ids > 0).astype(np.int32) * bad
+        parts.append(np.concatenate([ids.reshape(-1, SEGMENT), tags.reshape(-1, SEGMENT)], 1))
+    grid, counts = np.unique(np.concatenate(parts), axis=0, return_counts=True)
     x, y = grid[:, :SEGMENT].T, grid[:, SEGMENT:].T
     c = counts.astype(float)
     design = np.zeros((len(sets), len(chosen) + 1))
