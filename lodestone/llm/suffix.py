@@ -44,7 +44,7 @@ CHUNK = 1 << 19
 #: Text bytes for each bucket.
 BUCKET_BYTES = 1 << 19
 #: Pieces that a task gathers before it passes them on, and anchors.
-GATHER, GATHER_ANCHORS = 200_000, 1_500_000
+GATHER, GATHER_ANCHORS = 400_000, 1_500_000
 _NONE = np.uint64(2**64 - 1)
 
 
@@ -422,14 +422,22 @@ def dedup_passages(docs: DataFrame, keep_text: bool = True) -> DataFrame:
 
     flat = spans.select("row", "start", "end").mapInArrow(unpack, "row long, start int, end int")
     per_row = flat.groupBy("row").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
-    joined = slim.join(per_row, "row", "left").select("doc_id", "text", "start", "end")
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [x.as_py().encode("utf-8", "surrogatepass") for x in batch.column(1)]
+            packed = pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in raw], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed, pa.array([len(x) for x in raw], pa.int64()), batch.column(2)], names=["doc_id", "packed", "n_bytes", "row"])
+
+    packed = slim.select("doc_id", "text", "row").mapInArrow(pack, "doc_id long, packed binary, n_bytes long, row long")
+    joined = packed.join(per_row, "row", "left").select("doc_id", "packed", "start", "end", "n_bytes")
     shape = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, s, e in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-                data = text.as_py().encode("utf-8", "surrogatepass")
+            for text, s, e, size in zip(*batch.columns[1:], strict=True):
+                data = pa.decompress(text.as_py(), size.as_py(), codec="zstd", asbytes=True)
                 removed, runs, kept = (0, 0, data) if not s.is_valid else cut_spans(data, s.values.to_numpy(), e.values.to_numpy())
                 out.append((len(data), removed, runs, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([],) * 5, shape.types[1:], strict=True))], schema=shape)
