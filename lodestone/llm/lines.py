@@ -1,7 +1,7 @@
 r"""Line dedup: lines that repeat an earlier line, or differ from one by at most THRESHOLD edits, are dropped.
 
-Lines are cut at \n; those of LEAST code points or more take part, shorter ones always stay. The order of lines is
-doc_id, text hash, place in the text. A line goes if an earlier line of the input equals it or lies within
+Lines are cut at \n; all but blank ones (nothing but ASCII white space) take part, blank ones always stay. Lines under
+NEAR_LEAST code points are compared for equality only. The order of lines is doc_id, text hash, place in the text. A line goes if an earlier line of the input equals it or lies within
 the edit distance, whether or not that earlier line stays.
 
 A segment-partition join finds near lines. Two lines within t edits, cut into t + 1 segments, share a segment: the
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import documents, materialize
 
 THRESHOLD = 1
-LEAST = 30
+LEAST = 1
+NEAR_LEAST = 30
 FILTER_BITS = 25
 
 
@@ -47,14 +48,14 @@ def _keys(line: Column, length: Column, t: int) -> list[Column]:
             low, high = max(-i, delta - (t - i)), min(i, delta + (t - i))
             for shift in range(low, high + 1):
                 key = F.xxhash64(F.lit(i), length - delta, F.substring(line, start + shift + 1, size))
-                out.append(F.when((start + shift >= 0) & (start + shift + size <= length), key))
+                out.append(F.when((length - delta >= NEAR_LEAST) & (start + shift >= 0) & (start + shift + size <= length), key))
     return out
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """dk, th, pos, line of the lines that take part."""
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("dk"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return slim.withColumn("size", F.length("line")).where(F.col("size") >= LEAST)
+    return slim.withColumn("size", F.length("line")).where((F.col("size") >= LEAST) & (F.ltrim("line", F.lit(" \t\n\x0b\x0c\r")) != ""))
 
 
 def _marked(values: DataFrame) -> Column:

@@ -236,6 +236,14 @@ def test_lines(spark, docs, nothing):
     assert lines.dedup_lines(nothing).count() == 0 and lines.dedup_lines(docs).count() == docs.count()
 
 
+def test_lines_short_repeats(spark):
+    """Exact repeats go at any length; short lines that differ, and blank lines, stay."""
+    note = "All rights reserved."
+    rows = [(1, f"{note}\n\nab\n \t"), (2, f"ab\n{note}\n\n \t"), (3, f"ac\n{note[:-1]}\n{note}\n{note}")]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 4, 0), 2: ("\n \t", 4, 2), 3: (f"ac\n{note[:-1]}", 4, 2)}
+
+
 def test_sharding(docs, texts, nothing):
     n = 1000
     x = shard.permute(np.arange(n), n, 7)
