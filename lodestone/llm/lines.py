@@ -1,8 +1,9 @@
-r"""Line dedup: lines that repeat an earlier line, or differ from one by at most THRESHOLD edits, are dropped.
+r"""Line dedup: lines that repeat an earlier line, or differ from one by a few edits, are dropped.
 
 Lines are cut at \n; all but blank ones (nothing but ASCII white space) take part, blank ones always stay. Lines under
 NEAR_LEAST code points are compared for equality only. The order of lines is doc_id, text hash, place in the text. A line goes if an earlier line of the input equals it or lies within
-the edit distance, whether or not that earlier line stays.
+the edit distance, whether or not that earlier line stays. The distance grows with the shorter line's length: one edit
+for each STEP code points, 1 at least and THRESHOLD at most.
 
 A segment-partition join finds near lines. Two lines within t edits, cut into t + 1 segments, share a segment: the
 shorter line's segments are indexed under (segment number, length, segment), and a line probes for
@@ -27,29 +28,42 @@ from pyspark.sql import functions as F
 
 from .common import documents, materialize
 
-THRESHOLD = 1
+THRESHOLD = 5
+STEP = 32
 LEAST = 1
 NEAR_LEAST = 30
 FILTER_BITS = 25
 
 
-def _segment(i: int, length: Column, t: int) -> tuple[Column, Column]:
-    """Start (from 0) and size of segment i of t + 1; the later ones are the longer ones."""
-    base, rest = F.floor(length / (t + 1)).cast("int"), (length % (t + 1)).cast("int")
-    return (base * i + F.greatest(F.lit(0), rest - (t + 1 - i))).cast("int"), base + F.when(rest >= t + 1 - i, 1).otherwise(0)
+def _edits(length: Column, t: int) -> Column:
+    """Edits that two lines may differ by, the shorter of which has length code points; t at most."""
+    return F.when(length < NEAR_LEAST, 0).otherwise(F.least(F.lit(t), F.greatest(F.lit(1), F.floor(length / STEP).cast("int"))))
 
 
-def _keys(line: Column, length: Column, t: int) -> list[Column]:
-    """Index keys of a line, then its probe keys that are not among them."""
+def _places(t: int, delta: int) -> list[int]:
+    """Segment and shift, as one number, of the substrings that a line shares with one shorter by delta."""
+    return [i * 64 + 32 + shift for i in range(t + 1) for shift in range(max(-i, delta - (t - i)), min(i, delta + (t - i)) + 1)]
+
+
+def _keys(line: Column, length: Column, t: int) -> Column:
+    """Index keys of a line and its probe keys, as one array; what does not fit the line is null."""
     out = []
     for delta in range(t + 1):
-        for i in range(t + 1):
-            start, size = _segment(i, length - delta, t)
-            low, high = max(-i, delta - (t - i)), min(i, delta + (t - i))
-            for shift in range(low, high + 1):
-                key = F.xxhash64(F.lit(i), length - delta, F.substring(line, start + shift + 1, size))
-                out.append(F.when((length - delta >= NEAR_LEAST) & (start + shift >= 0) & (start + shift + size <= length), key))
-    return out
+        size = length - delta
+        edits = _edits(size, t)
+        places = F.array().cast("array<int>")
+        for k in range(max(1, delta), t + 1):
+            places = F.when(edits == k, F.array(*[F.lit(x) for x in _places(k, delta)])).otherwise(places)
+
+        def key(x: Column) -> Column:
+            parts, i, shift = edits + 1, F.shiftright(x, 6), x.bitwiseAND(63) - 32
+            base, rest = F.floor(size / parts).cast("int"), size % parts  # the later segments are the longer ones
+            start = base * i + F.greatest(F.lit(0), rest - (parts - i)) + shift
+            long = base + F.when(rest >= parts - i, 1).otherwise(0)
+            return F.when((start >= 0) & (start + long <= length), F.xxhash64(i, size, F.substring(line, start + 1, long)))
+
+        out.append(F.transform(places, key))
+    return F.concat(*out)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -72,9 +86,9 @@ def _word(key: Column) -> Column:
     return F.shiftrightunsigned(key, 64 - FILTER_BITS + 6).cast("int")
 
 
-def _hit(bitmap: Column, key: str) -> Column:
-    bit = F.call_function("shiftrightunsigned", F.get(bitmap, _word(F.col(key))), F.col(key).bitwiseAND(63).cast("int"))
-    return F.col(key).isNotNull() & (bit.bitwiseAND(1) == 1)
+def _hit(bitmap: Column, key: Column) -> Column:
+    bit = F.call_function("shiftrightunsigned", F.get(bitmap, _word(key)), key.bitwiseAND(63).cast("int"))
+    return key.isNotNull() & (bit.bitwiseAND(1) == 1)
 
 
 def repeated_lines(docs: DataFrame, t: int = THRESHOLD) -> DataFrame:
@@ -83,32 +97,27 @@ def repeated_lines(docs: DataFrame, t: int = THRESHOLD) -> DataFrame:
     keyed = _lines(docs).withColumn("h", F.xxhash64("line", F.lit(1)))
     keys = _keys(line, size, t)
     half = F.shiftright("h", 32).cast("int")
-    pairs = [F.struct(k.alias("key"), half.alias("v")) for k in keys] + [F.struct(F.col("h").alias("key"), F.hash("dk", "th", "pos").alias("v"))]
-    bitmap = _marked(keyed.select(F.inline(F.array(*pairs))).where("key is not null"))
-    # The lines that may repeat: all keys are looked up before a line is copied for any of them.
-    names = [f"k{i}" for i in range(len(keys))]
-    tagged = keyed.withColumns(dict(zip(names, keys, strict=True)))
-    names.append("h")
-    anything = F.lit(False)
-    for name in names:
-        anything = anything | _hit(bitmap, name)
-    asked = tagged.where(anything).select("dk", "th", "pos", "line", "size", F.explode(F.array(*[F.when(_hit(bitmap, name), F.col(name)) for name in names])).alias("key"))
-    found = materialize(asked.where("key is not null"))
+    pairs = F.concat(F.transform(keys, lambda k: F.struct(k.alias("key"), half.alias("v"))), F.array(F.struct(F.col("h").alias("key"), F.hash("dk", "th", "pos").alias("v"))))
+    bitmap = _marked(keyed.select(F.inline(pairs)).where("key is not null"))
+    # The lines that may repeat, once for each marked key. A lambda cannot hold the bitmap's subquery.
+    every = keyed.select("dk", "th", "pos", "line", "size", F.explode(F.concat(keys, F.array("h"))).alias("key"))
+    asked = every.where(_hit(bitmap, F.col("key")))
+    found = materialize(asked)
     at = F.struct("dk", "th", "pos")
     occurrences = found.select("dk", "th", "pos", "line").distinct()
     members = materialize(found.groupBy("key", "line", "size").agg(F.min(at).alias("at")))
     # The earliest line of each key, and whoever is close to it.
     leaders = members.groupBy("key").agg(F.min(F.struct("at", "line")).alias("m")).select("key", F.col("m.at").alias("lead_at"), F.col("m.line").alias("lead"))
     led = members.join(leaders, "key")
-    near = lambda a, b, d: F.levenshtein(a, b, d) >= 0
+    near = lambda a, b: F.levenshtein(a, b, t).between(0, _edits(F.least(F.length(a), F.length(b)), t))
     close = F.col("line") != F.col("lead")
-    led = led.withColumn("dup", close & near(F.col("line"), F.col("lead"), t))
-    led = materialize(led.withColumn("far", close & ~F.col("dup") & ~near(F.col("line"), F.col("lead"), 2 * t)).drop("lead", "lead_at"))
+    led = led.withColumn("dup", close & near(F.col("line"), F.col("lead")))
+    led = materialize(led.withColumn("far", close & ~F.col("dup") & (F.levenshtein(F.col("line"), F.col("lead"), 2 * t) < 0)).drop("lead", "lead_at"))
     done = led.where("dup").select("line").distinct()
     open_ = led.where("not dup").join(done, "line", "left_anti")
     a, b = open_.alias("a"), led.select("key", "line", "size", "at", "dup").alias("b")
     meets = (F.col("a.key") == F.col("b.key")) & (F.col("b.at") < F.col("a.at")) & (F.abs(F.col("a.size") - F.col("b.size")) <= t)
-    meets = meets & ~(F.col("a.far") & F.col("b.dup")) & near(F.col("a.line"), F.col("b.line"), t)
+    meets = meets & ~(F.col("a.far") & F.col("b.dup")) & near(F.col("a.line"), F.col("b.line"))
     late = a.join(b, meets, "left_semi").select("line").distinct()
     gone = done.unionByName(late).distinct().withColumn("near", F.lit(True))
     first = occurrences.groupBy("line").agg(F.min(at).alias("first")).join(gone, "line", "left")

@@ -244,6 +244,44 @@ def test_lines_short_repeats(spark):
     assert got == {1: (rows[0][1], 4, 0), 2: ("\n \t", 4, 2), 3: (f"ac\n{note[:-1]}", 4, 2)}
 
 
+def test_lines_of_several_edits(spark):
+    """A replaced word or a few changed letters do not keep a long line; every pair is judged as by brute force."""
+    rng = random.Random(23)
+    pool = [prose(n, rng) for n in (7, 8, 12, 16, 17, 24, 25, 33, 41, 60, 90)]
+
+    def edited(x):
+        w = list(x)
+        for _ in range(rng.randint(0, 7)):
+            i = rng.randrange(len(w))
+            w[i : i + 1] = rng.choice([[], ["é", w[i]], ["Z"], [w[i], "Q"]])
+        return "".join(w)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def repeats(a, b):
+        n = min(len(a), len(b))
+        return a == b or (n >= 30 and abs(len(a) - len(b)) <= 5 and distance(a, b) <= min(5, max(1, n // 32)))
+
+    rows = [(i, "\n".join(edited(rng.choice(pool)) for _ in range(4))) for i in range(45)]
+    rows.append((45, pool[9] + "\n" + pool[9].replace(pool[9].split()[5], "xyz", 1)))
+    seen, wanted = [], {}
+    for d, t in rows:
+        kept = []
+        for x in t.split("\n"):
+            if not any(repeats(x, y) for y in seen):
+                kept.append(x)
+            seen.append(x)
+        wanted[d] = "\n".join(kept)
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == wanted and 20 < sum(len(t.split("\n")) for t in wanted.values()) < 160
+
+
 def test_sharding(docs, texts, nothing):
     n = 1000
     x = shard.permute(np.arange(n), n, 7)
