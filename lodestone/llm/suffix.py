@@ -13,7 +13,8 @@ A suffix array of a whole corpus does not fit one task, so candidate text is cut
 3. Suffix arrays. A bucket's distinct pieces are sorted in two stages: suffixes smaller than their
    successors are sorted directly, all others are induced by one scan over the first-byte buckets. Neighbours
    with a common prefix of SPAN bytes are equal windows; the least doc_id of each run decides. An anchor with one distinct piece needs no sorting.
-4. Spans go back to their rows, are united and cut out.
+4. Spans go back to their rows, are united and cut out. A row is known by its doc_id and the hash of its text, which no
+   split of a scan changes; rows that are equal in both have the same spans.
 
 The bitmap and the shuffle of anchors see every document. Bucket counts grow with the text, so a bucket's
 pieces stay near a fixed size; a passage that a third of all documents share is one distinct piece with many rows, which
@@ -295,7 +296,7 @@ def _row_bucket(row: np.ndarray, bits: int) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame, bits: int) -> DataFrame:
-    """bucket (of rows), row, start, end (packed): windows' spans that are to go. docs: row, doc, text."""
+    """bucket (of rows), doc, row, start, end (packed): windows' spans that are to go. docs: row (the text's hash), doc, text."""
     spark = docs.sparkSession
     bitmap = spark.sparkContext.broadcast(shared_anchors(docs, bits))
 
@@ -309,7 +310,7 @@ def repeated_spans(docs: DataFrame, bits: int) -> DataFrame:
 
             def made() -> Iterator[tuple]:
                 for b, at in _groups(_bucket(key, bits)):
-                    at = at[np.argsort(row[at], kind="stable")]
+                    at = at[np.lexsort((row[at], doc[at]))]
                     body = b"".join([flat[e - s : e] for e, s in zip(ends[at].tolist(), size[at].tolist(), strict=True)])
                     packed = pa.compress(body, codec="zstd", asbytes=True)
                     yield b, size[at].tobytes(), off[at].tobytes(), packed, planes(np.diff(doc[at], prepend=0)), planes(np.diff(row[at], prepend=0)), planes(start[at])
@@ -341,7 +342,7 @@ def repeated_spans(docs: DataFrame, bits: int) -> DataFrame:
             yield from out()
 
     pieces = docs.select("doc", "text", "row").mapInArrow(run, _PIECES_SQL)
-    shape = pa.schema([("bucket", pa.int64()), ("row", pa.binary()), ("start", pa.binary()), ("end", pa.binary())])
+    shape = pa.schema([("bucket", pa.int64()), ("doc", pa.binary()), ("row", pa.binary()), ("start", pa.binary()), ("end", pa.binary())])
 
     def judge(table: pa.Table) -> pa.Table:
         steady_heap()
@@ -390,12 +391,12 @@ def repeated_spans(docs: DataFrame, bits: int) -> DataFrame:
             open_ = dup & (fresh | ~np.concatenate([[False], dup[:-1]]))
             shut = dup & np.concatenate([fresh[1:] | ~dup[1:], [True]]) if len(which) else dup
             o, e = np.flatnonzero(open_), np.flatnonzero(shut)
-            out.append((row[which[o]], (start[which[o]] + step[o]).astype(np.int32), (start[which[e]] + step[e] + SPAN).astype(np.int32)))
-        r, s, e = (np.concatenate(x) for x in zip(*out, strict=True))
-        made = [(where, planes(r[at]), planes(s[at]), planes(e[at])) for where, at in _groups(_row_bucket(r, bits >> 1))]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*made, strict=True) if made else ([],) * 4, shape.types, strict=True)], schema=shape)
+            out.append((doc[which[o]], row[which[o]], (start[which[o]] + step[o]).astype(np.int32), (start[which[e]] + step[e] + SPAN).astype(np.int32)))
+        d, r, s, e = (np.concatenate(x) for x in zip(*out, strict=True))
+        made = [(where, planes(d[at]), planes(r[at]), planes(s[at]), planes(e[at])) for where, at in _groups(_row_bucket(r, bits >> 1))]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*made, strict=True) if made else ([],) * 5, shape.types, strict=True)], schema=shape)
 
-    return pieces.groupBy("bucket").applyInArrow(judge, "bucket long, row binary, start binary, end binary")
+    return pieces.groupBy("bucket").applyInArrow(judge, "bucket long, doc binary, row binary, start binary, end binary")
 
 
 def cut_spans(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[int, int, bytes]:
@@ -412,25 +413,25 @@ def dedup_passages(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, kept (the remaining bytes) for each row of docs."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(8, int(total // BUCKET_BYTES).bit_length())
-    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
     spans = materialize(repeated_spans(slim.select("doc", "text", "row"), bits))
 
     def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r, s, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(unplanes(r, np.int64)), pa.array(unplanes(s, np.int32)), pa.array(unplanes(e, np.int32))], names=["row", "start", "end"])
+            for d, r, s, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(unplanes(d, np.int64)), pa.array(unplanes(r, np.int64)), pa.array(unplanes(s, np.int32)), pa.array(unplanes(e, np.int32))], names=["doc", "row", "start", "end"])
 
-    flat = spans.select("row", "start", "end").mapInArrow(unpack, "row long, start int, end int")
-    per_row = flat.groupBy("row").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
+    flat = spans.select("doc", "row", "start", "end").mapInArrow(unpack, "doc long, row long, start int, end int")
+    per_row = flat.groupBy("doc", "row").agg(F.collect_set(F.struct("start", "end")).alias("s")).select("doc", "row", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [x.as_py().encode("utf-8", "surrogatepass") for x in batch.column(1)]
             packed = pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in raw], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), packed, pa.array([len(x) for x in raw], pa.int64()), batch.column(2)], names=["doc_id", "packed", "n_bytes", "row"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed, pa.array([len(x) for x in raw], pa.int64()), batch.column(2), batch.column(3)], names=["doc_id", "packed", "n_bytes", "row", "doc"])
 
-    packed = slim.select("doc_id", "text", "row").mapInArrow(pack, "doc_id long, packed binary, n_bytes long, row long")
-    joined = packed.join(per_row, "row", "left").select("doc_id", "packed", "start", "end", "n_bytes")
+    packed = slim.select("doc_id", "text", "row", "doc").mapInArrow(pack, "doc_id long, packed binary, n_bytes long, row long, doc long")
+    joined = packed.join(per_row, ["doc", "row"], "left").select("doc_id", "packed", "start", "end", "n_bytes")
     shape = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -203,6 +203,32 @@ def test_passages(docs, texts, nothing):
     assert suffix.dedup_passages(nothing).count() == 0
 
 
+def test_passages_when_the_split_of_the_scan_changes(spark, tmp_path, monkeypatch):
+    """Executors come and go: jobs over the same files may cut them differently."""
+    rng = random.Random(31)
+    shared = prose(25, rng)
+    rows = [(i // 2 if i < 8 else i, f"{prose(rng.randint(1, 40), rng)} {shared if i % 3 else ''} {prose(rng.randint(1, 40), rng)}") for i in range(48)] + [(50, shared)] * 3
+    path = str(tmp_path / "documents")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(path)
+    d = spark.read.parquet(path)
+    key = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    result = lambda: sorted(tuple(r[k] for k in key) for r in suffix.dedup_passages(d).collect())
+    wanted, write, name = result(), suffix.materialize, "spark.sql.files.maxPartitionBytes"
+    assert len(wanted) == len(rows) and sum(w[2] > 0 for w in wanted) > 20
+    before = spark.conf.get(name)
+
+    def write_and_split(df):
+        out = write(df)
+        spark.conf.set(name, "1k")
+        return out
+
+    monkeypatch.setattr(suffix, "materialize", write_and_split)
+    try:
+        assert result() == wanted
+    finally:
+        spark.conf.set(name, before)
+
+
 def distance_at_most_one(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
