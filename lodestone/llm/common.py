@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -40,11 +42,22 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all its machines share")
     if not _own_root:
         _own_root.append(tempfile.mkdtemp(prefix="lodestone-"))
+        atexit.register(shutil.rmtree, _own_root[0], True)
     return _own_root[0]
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with as many trailing underscores as it takes to be none of taken (Spark's names have no case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession

@@ -5,20 +5,25 @@ NEAR_LEAST code points are compared for equality only. The order of lines is doc
 the edit distance, whether or not that earlier line stays. The distance grows with the shorter line's length: one edit
 for each STEP code points, 1 at least and THRESHOLD at most.
 
-A segment-partition join finds near lines. Two lines within t edits, cut into t + 1 segments, share a segment: the
-shorter line's segments are indexed under (segment number, length, segment), and a line probes for
-each length up to t below its own the substrings whose start fits both sides' shifts. Keys are 64-bit hashes.
-
-1. Keys that two different lines share, and whole lines that occur twice, are found by one aggregation of (key, least and
-   largest value), without texts, and marked in a bitmap of fixed size (a false positive only costs time).
-2. A second scan keeps the lines with a marked key. Distinct ones meet the earliest line of each key, once per
-   line and key, and are verified by banded edit distance (levenshtein with a limit).
-3. Lines not yet found to repeat, and only those, are compared with all earlier lines of their keys, inside a join
+A segment-partition join finds near lines. Lines within t edits are cut into t + 1 segments of the width of their length
+class, half of them counted from the line's start and half from its end. Of two lines within t edits, either the starts
+differ by fewer edits than they have segments or the ends do, so some segment i (from 0) of the shorter line is whole in
+the longer one and shifted by i places at most: the longer line probes the substrings with these shifts, whatever its own
+length, m * m of them for m segments. A line within THRESHOLD of a shorter class probes that class too.
+
+1. Keys (64-bit hashes of segments) that two different lines share, and whole lines that occur twice, are found by one
+   aggregation of (key, least and largest value), without texts, and marked in a bitmap of fixed size (a false positive only costs time).
+2. A second scan lists the lines with a marked key, still without texts: lines are known by 128 bits of hash, and by
+   the place of their first occurrence. A third one fetches the text of each line that shares a key, once.
+3. Each line is compared with the earliest line of each of its keys, once per pair of lines: by counts of some characters, of
+   which an edit changes two at most, then by banded edit distance (levenshtein with a limit).
+4. Lines not yet found to repeat, and only those, are compared with all earlier lines of their keys, inside a join
    condition. Members of a key that lie within t of its leader are left out for lines beyond 2 t of it (triangle
    inequality), so a family of variants of one line is not compared pair by pair.
 
-Built-in functions only. Nulls: a null text has no lines and stays null; a null doc_id sorts first. Rows with equal doc_id
-and text are one document in the order of lines, and get the same result. Other columns are passed through by dedup_lines.
+Built-in functions only. Nulls: a null text has no lines and stays null; an empty one has one blank line; a null doc_id sorts
+first. Texts and lines may be of any length. Rows with equal doc_id and text are one document in the order of lines, and get the same result. An
+empty table gives an empty one. Other columns are passed through untouched; an added column whose name is taken gets a trailing underscore.
 """
 
 from __future__ import annotations
@@ -26,13 +31,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, free_name, materialize
 
 THRESHOLD = 5
 STEP = 32
-LEAST = 1
 NEAR_LEAST = 30
 FILTER_BITS = 25
+#: Characters whose counts are compared before an edit distance is worked out.
+COUNTED = " etaoinshrdlucm."
 
 
 def _edits(length: Column, t: int) -> Column:
@@ -40,43 +46,52 @@ def _edits(length: Column, t: int) -> Column:
     return F.when(length < NEAR_LEAST, 0).otherwise(F.least(F.lit(t), F.greatest(F.lit(1), F.floor(length / STEP).cast("int"))))
 
 
-def _places(t: int, delta: int) -> list[int]:
-    """Segment and shift, as one number, of the substrings that a line shares with one shorter by delta."""
-    return [i * 64 + 32 + shift for i in range(t + 1) for shift in range(max(-i, delta - (t - i)), min(i, delta + (t - i)) + 1)]
-
-
-def _keys(line: Column, length: Column, t: int) -> Column:
-    """Index keys of a line and its probe keys, as one array; what does not fit the line is null."""
-    out = []
-    for delta in range(t + 1):
-        size = length - delta
-        edits = _edits(size, t)
-        places = F.array().cast("array<int>")
-        for k in range(max(1, delta), t + 1):
-            places = F.when(edits == k, F.array(*[F.lit(x) for x in _places(k, delta)])).otherwise(places)
-
-        def key(x: Column) -> Column:
-            parts, i, shift = edits + 1, F.shiftright(x, 6), x.bitwiseAND(63) - 32
-            base, rest = F.floor(size / parts).cast("int"), size % parts  # the later segments are the longer ones
-            start = base * i + F.greatest(F.lit(0), rest - (parts - i)) + shift
-            long = base + F.when(rest >= parts - i, 1).otherwise(0)
-            return F.when((start >= 0) & (start + long <= length), F.xxhash64(i, size, F.substring(line, start + 1, long)))
-
-        out.append(F.transform(places, key))
-    return F.concat(*out)
+def _base(length: Column, t: int) -> Column:
+    """The least length of a line's class: a class for each distance, and beyond the last one for each doubling."""
+    top, edits = max(NEAR_LEAST, STEP * t), _edits(length, t)
+    doubled = F.call_function("shiftleft", F.lit(top), F.floor(F.log2(F.floor(length / top).cast("double"))).cast("int"))
+    return F.when(length >= top, doubled).otherwise(F.greatest(F.lit(NEAR_LEAST), edits * STEP)).cast("int")
+
+
+def _places(t: int) -> list[int]:
+    """Side, segment and shift, as one number, of the substrings that a line probes: segments from the start, then from the end."""
+    left = (t + 2) // 2
+    return [(side * 64 + i) * 64 + 32 + shift for side, m in ((0, left), (1, t + 1 - left)) for i in range(m) for shift in range(-i, i + 1)]
+
+
+def _keyed(lines: DataFrame, t: int) -> DataFrame:
+    """lines, a row for each index and probe key: an index key is a probe without shift. The line's own hash h is a key, too, with place -1."""
+    size, base, width, edits = F.col("size"), F.col("base"), F.col("width"), F.col("edits")
+    own, shorter = _base(size, t), _base(size - t, t)
+    none = F.lit(0)
+    bases = F.when(size < NEAR_LEAST, F.array(none)).when((size - t < NEAR_LEAST) | (own == shorter), F.array(own, none)).otherwise(F.array(own, shorter, none))
+    out = lines.withColumn("base", F.explode(bases))
+    out = out.withColumn("edits", _edits(base, t)).withColumn("width", F.floor(base / (edits + 1)).cast("int"))
+    # The line's start and end, as far as its segments reach (a built-in that cuts goes through the whole string each time).
+    reach = F.least(size, (width + 1) * F.shiftright(edits + 2, 1))
+    out = out.withColumn("head", F.when(base > 0, F.substring("line", F.lit(1), reach))).withColumn("tail", F.when(base > 0, F.substring("line", size - reach + 1, reach)))
+    places = F.array(F.lit(-1))
+    for k in range(1, t + 1):
+        places = F.when(edits == k, F.array(*[F.lit(x) for x in _places(k)])).otherwise(places)
+    x = F.col("place")
+    out = out.withColumn("place", F.explode(places))
+    i, shift, rest = F.shiftright(x, 6).bitwiseAND(63), x.bitwiseAND(63) - 32, F.length("tail")
+    segment = F.when(x < 4096, F.substring("head", width * i + shift + 1, width)).otherwise(F.substring("tail", rest - width * (i + 1) + shift + 1, width))
+    fits = F.when(x < 4096, (width * i + shift >= 0) & (width * (i + 1) + shift <= size)).otherwise((rest - width * (i + 1) + shift >= 0) & (shift <= width * i))
+    return out.where((x < 0) | fits).withColumn("key", F.when(x < 0, F.col("h")).otherwise(F.xxhash64(F.shiftright(x, 6), base, segment)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """dk, th, pos, line of the lines that take part."""
+    """dk, th, pos, line, size and the two halves h, g of its hash, of the lines that take part."""
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("dk"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return slim.withColumn("size", F.length("line")).where((F.col("size") >= LEAST) & (F.ltrim("line", F.lit(" \t\n\x0b\x0c\r")) != ""))
+    slim = slim.where(F.ltrim("line", F.lit(" \t\n\x0b\x0c\r")) != "")
+    return slim.withColumns({"size": F.length("line"), "h": F.xxhash64(F.lit(1), "line"), "g": F.xxhash64(F.lit(2), "line")})
 
 
-def _marked(values: DataFrame) -> Column:
-    """A bitmap of 2**FILTER_BITS bits over keys whose value is not the same everywhere: one array of 64-bit words, as a scalar subquery."""
-    spark = values.sparkSession
-    shared = values.groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a <> b")
-    words = shared.select(_word(F.col("key")).cast("long").alias("w"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("bits"))
+def _bitmap(keys: DataFrame) -> Column:
+    """A bitmap of 2**FILTER_BITS bits over a column key: one array of 64-bit words, as a scalar subquery."""
+    spark = keys.sparkSession
+    words = keys.select(_word(F.col("key")).cast("long").alias("w"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("bits"))
     every = spark.range(1 << (FILTER_BITS - 6)).withColumnRenamed("id", "w").join(words, "w", "left").select("w", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
     packed = every.agg(F.array_sort(F.collect_list(F.struct("w", "bits"))).alias("l"))  # as many rows as the bitmap has words
     return materialize(packed.select(F.transform("l", lambda x: x["bits"]).alias("words"))).scalar()
@@ -91,50 +106,86 @@ def _hit(bitmap: Column, key: Column) -> Column:
     return key.isNotNull() & (bit.bitwiseAND(1) == 1)
 
 
+def _counts(line: Column) -> Column:
+    """How often a line has each of COUNTED."""
+    return F.array(*[F.octet_length(line) - F.octet_length(F.call_function("replace", line, F.lit(c), F.lit(""))) for c in COUNTED])
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """The sum of differences of two lines' counts: an edit changes it by two at most."""
+    return sum((F.abs(F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in range(1, len(COUNTED))), F.abs(F.get(a, F.lit(0)) - F.get(b, F.lit(0))))
+
+
 def repeated_lines(docs: DataFrame, t: int = THRESHOLD) -> DataFrame:
     """dk, th, pos of the lines that go."""
-    line, size = F.col("line"), F.col("size")
-    keyed = _lines(docs).withColumn("h", F.xxhash64("line", F.lit(1)))
-    keys = _keys(line, size, t)
-    half = F.shiftright("h", 32).cast("int")
-    pairs = F.concat(F.transform(keys, lambda k: F.struct(k.alias("key"), half.alias("v"))), F.array(F.struct(F.col("h").alias("key"), F.hash("dk", "th", "pos").alias("v"))))
-    bitmap = _marked(keyed.select(F.inline(pairs)).where("key is not null"))
-    # The lines that may repeat, once for each marked key. A lambda cannot hold the bitmap's subquery.
-    every = keyed.select("dk", "th", "pos", "line", "size", F.explode(F.concat(keys, F.array("h"))).alias("key"))
-    asked = every.where(_hit(bitmap, F.col("key")))
-    found = materialize(asked)
-    at = F.struct("dk", "th", "pos")
-    occurrences = found.select("dk", "th", "pos", "line").distinct()
-    members = materialize(found.groupBy("key", "line", "size").agg(F.min(at).alias("at")))
-    # The earliest line of each key, and whoever is close to it.
-    leaders = members.groupBy("key").agg(F.min(F.struct("at", "line")).alias("m")).select("key", F.col("m.at").alias("lead_at"), F.col("m.line").alias("lead"))
-    led = members.join(leaders, "key")
-    near = lambda a, b: F.levenshtein(a, b, t).between(0, _edits(F.least(F.length(a), F.length(b)), t))
-    close = F.col("line") != F.col("lead")
-    led = led.withColumn("dup", close & near(F.col("line"), F.col("lead")))
-    led = materialize(led.withColumn("far", close & ~F.col("dup") & (F.levenshtein(F.col("line"), F.col("lead"), 2 * t) < 0)).drop("lead", "lead_at"))
-    done = led.where("dup").select("line").distinct()
-    open_ = led.where("not dup").join(done, "line", "left_anti")
-    a, b = open_.alias("a"), led.select("key", "line", "size", "at", "dup").alias("b")
+    at, who = F.struct("dk", "th", "pos"), ["h", "g"]
+    keyed = _keyed(_lines(docs), t)
+    value = F.when(F.col("place") < 0, F.hash("dk", "th", "pos")).otherwise(F.shiftright("g", 32).cast("int"))
+    shared = keyed.select("key", value.alias("v")).groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a <> b")
+    marked = _bitmap(shared)
+    found = materialize(keyed.where(_hit(marked, F.col("key"))).select("dk", "th", "pos", "size", "h", "g", "key"))
+    # Exact repeats.
+    same = found.where("key = h")
+    firsts = same.groupBy(*who).agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    exact = same.join(firsts, who).where("struct(dk, th, pos) <> first").select("dk", "th", "pos")
+    # Distinct lines of each key, and the earliest of them.
+    members = found.where("key <> h").groupBy("key", "size", *who).agg(F.min(at).alias("at"))
+    members = materialize(members)
+    leaders = members.groupBy("key").agg(F.min(F.struct("at", "h", "g", "size")).alias("lead"), F.count("*").alias("n")).where("n > 1")
+    led = materialize(members.join(leaders, "key").select("key", "size", "at", "n", *who, F.col("lead.h").alias("lh"), F.col("lead.g").alias("lg"), (F.abs(F.col("size") - F.col("lead.size")) <= 2 * t).alias("close")))
+    # The text of each of these lines, from its first occurrence.
+    wanted = led.select("at.*", *who).distinct()
+    places = _bitmap(wanted.select(F.xxhash64("dk", "th", "pos").alias("key")))
+    texts = _lines(docs).where((F.col("size") >= NEAR_LEAST) & _hit(places, F.xxhash64("dk", "th", "pos"))).select("dk", "th", "pos", "line")
+    texts = materialize(texts.join(wanted, ["dk", "th", "pos"]).groupBy(*who).agg(F.first("line").alias("line")).withColumn("counts", _counts(F.col("line"))))
+    # Lines against their leaders.
+    limit = lambda a, b: _edits(F.least(F.length(a), F.length(b)), t)
+    asked = led.where("close and (h <> lh or g <> lg)").select(*who, "lh", "lg").distinct()
+    lead_texts = texts.select(F.col("h").alias("lh"), F.col("g").alias("lg"), F.col("line").alias("lead"), F.col("counts").alias("lead_counts"))
+    judged = asked.join(texts, who).join(lead_texts, ["lh", "lg"])
+    apart = _apart(F.col("counts"), F.col("lead_counts"))
+    edits = F.when(apart <= 2 * limit(F.col("line"), F.col("lead")), F.levenshtein("line", "lead", t)).otherwise(-1)
+    judged = judged.select(*who, "lh", "lg", edits.alias("edits"), limit(F.col("line"), F.col("lead")).alias("limit"), (apart > 4 * t).alias("far"))
+    judged = materialize(judged).select(*who, "lh", "lg", F.col("edits").between(0, F.col("limit")).alias("dup"), "far")
+    done = judged.where("dup").select(*who).distinct()
+    # The others against all earlier lines of keys with three members or more.
+    rest = led.where("n > 2 and (h <> lh or g <> lg)")
+    open_ = rest.join(done, who, "left_anti")
+    asking = open_.select("key").distinct()
+    flags = rest.join(asking, "key", "left_semi").join(judged, [*who, "lh", "lg"], "left").select("key", "size", "at", *who, F.coalesce("dup", F.lit(False)).alias("dup"), F.coalesce("far", F.lit(True)).alias("far"))
+    flags = materialize(flags.join(texts, who))
+    a, b = flags.join(done, who, "left_anti").alias("a"), flags.alias("b")
     meets = (F.col("a.key") == F.col("b.key")) & (F.col("b.at") < F.col("a.at")) & (F.abs(F.col("a.size") - F.col("b.size")) <= t)
-    meets = meets & ~(F.col("a.far") & F.col("b.dup")) & near(F.col("a.line"), F.col("b.line"))
-    late = a.join(b, meets, "left_semi").select("line").distinct()
-    gone = done.unionByName(late).distinct().withColumn("near", F.lit(True))
-    first = occurrences.groupBy("line").agg(F.min(at).alias("first")).join(gone, "line", "left")
-    out = occurrences.join(first, "line").where("near or struct(dk, th, pos) <> first")
-    return out.select("dk", "th", "pos")
+    one, two = F.col("a.line"), F.col("b.line")
+    meets = meets & ~(F.col("a.far") & F.col("b.dup")) & (_apart(F.col("a.counts"), F.col("b.counts")) <= 2 * limit(one, two))
+    meets = meets & (F.levenshtein(one, two, t).bitwiseAND(255) <= limit(one, two))  # beyond t it is -1
+    late = a.join(b, meets, "left_semi").select(*who).distinct()
+    gone = done.unionByName(late).distinct()
+    out = found.select("dk", "th", "pos", *who).join(gone, who, "left_semi").select("dk", "th", "pos")
+    return out.unionByName(exact).distinct()
+
+
+def without_repeats(docs: DataFrame, t: int = THRESHOLD) -> DataFrame:
+    """row (all columns of docs), kept (the text that stays), n_lines and n_dropped for each row of docs."""
+    drops = repeated_lines(docs, t).groupBy("dk", "th").agg(F.collect_set("pos").alias("drop"))
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("dk"), F.xxhash64("text").alias("th"))
+    out = keyed.join(drops, ["dk", "th"], "left")
+    text = F.col("row.text")
+    lines = F.split(text, "\n")
+    kept = F.filter(lines, lambda x, i: ~F.array_contains("drop", i))
+    n = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")
+    return out.select("row", F.when(F.col("drop").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("kept"), n.alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
+
+
+def with_text(columns: list[str], text: Column) -> list[Column]:
+    """The fields of row, with another text."""
+    return [text.alias(c) if c.lower() == "text" else F.col("row").getField(c).alias(c) for c in columns]
 
 
 def dedup_lines(docs: DataFrame, t: int = THRESHOLD) -> DataFrame:
-    """docs with text replaced by what stays, and n_lines, n_dropped (columns of these names in docs are replaced)."""
-    drops = repeated_lines(docs, t).groupBy("dk", "th").agg(F.collect_set("pos").alias("_drop"))
-    keyed = docs.withColumns({"_dk": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_th": F.xxhash64("text")})
-    out = keyed.join(drops, (F.col("_dk") == F.col("dk")) & (F.col("_th") == F.col("th")), "left").drop("dk", "th", "_dk", "_th")
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("_drop", i))
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    return out.withColumns({"n_lines": n, "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"), "text": text}).drop("_drop")
+    """docs with text replaced by what stays, and n_lines, n_dropped."""
+    out = without_repeats(docs, t)
+    return out.select(*with_text(docs.columns, F.col("kept")), F.col("n_lines").alias(free_name("n_lines", docs.columns)), F.col("n_dropped").alias(free_name("n_dropped", docs.columns)))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -251,8 +251,8 @@ def test_lines(spark, docs, nothing):
     for d, t in rows:
         kept = []
         for x in (t or "").split("\n"):
-            dup = len(x) >= lines.LEAST and any(distance_at_most_one(x, y) for y in seen)
-            if len(x) >= lines.LEAST:
+            dup = bool(x) and any(x == y or (min(len(x), len(y)) >= 30 and distance_at_most_one(x, y)) for y in seen)
+            if x:
                 seen.append(x)
             if not dup:
                 kept.append(x)
