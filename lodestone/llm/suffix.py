@@ -8,19 +8,19 @@ A suffix array of a whole corpus does not fit one task, so candidate text is cut
 1. Anchors. Each SPAN-byte window picks the GRAM-byte substrings in it whose hash is least (ties: all). Equal windows pick
    equal anchors at equal places, wherever they occur. One scan sends each anchor's hash with its document, packed, to
    buckets by hash. Hashes seen in two documents are marked in a bitmap of fixed size.
-2. Pieces. A second scan sends, for each marked anchor, the text of the windows that picked it (under 2 SPAN bytes) to
-   the anchor's bucket. False positives of the bitmap cost time, nothing else.
+2. Pieces. A second scan takes, for each marked anchor, the text of the windows that picked it (under 2 SPAN bytes). A task
+   sends each distinct piece of a lot once to the anchor's bucket, with its occurrences; of a piece with more than LOCAL of them only
+   the least doc_id goes there, and the occurrences to buckets of their own. False positives of the bitmap cost time, nothing else.
 3. Suffix arrays. A bucket's distinct pieces are sorted in two stages: suffixes smaller than their
    successors are sorted directly, all others are induced by one scan over the first-byte buckets. Neighbours
-   with a common prefix of SPAN bytes are equal windows; the least doc_id of each run decides. An anchor with one distinct piece needs no sorting.
-4. Spans go back to their rows, are united and cut out. A row is known by its doc_id and the hash of its text, which no
-   split of a scan changes; rows that are equal in both have the same spans.
+   with a common prefix of SPAN bytes are equal windows; the least doc_id of each run decides.
+4. Verdicts on pieces with many occurrences are joined to these, which Spark can split. All spans go back to their rows, are united and cut out. A row is known by its doc_id and the hash of its text, which no
+   split of a scan changes; rows that are equal in both have the same spans. Rows without a span are told by a bitmap of fixed size and do not travel.
 
 The bitmap and the shuffle of anchors see every document. Bucket counts grow with the text, so a bucket's
-pieces stay near a fixed size; a passage that a third of all documents share is one distinct piece with many rows, which
-are compared with its least doc_id one batch after another.
+pieces stay near a fixed size, whatever a passage's share of the rows.
 
-Nulls: a null text is empty; a null doc_id sorts before all others. Rows with one doc_id do not remove
+Nulls: a null or empty text has no bytes and nothing removed; a null doc_id sorts before all others. Texts may be of any length. Rows with one doc_id do not remove
 each other's text. Empty tables give empty results; other columns are ignored.
 """
 
@@ -31,22 +31,28 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, mix, planes, steady_heap, texts, unplanes
+from .common import bit_map, documents, materialize, mix, planes, steady_heap, texts, unplanes
 
-SPAN, GRAM = 50, 24
+SPAN, GRAM = 50, 32
 WINDOW = SPAN - GRAM + 1
 PIECE = 2 * SPAN - GRAM
 FILTER_BITS = 27
+#: Bits of the map of rows that lose something.
+ROW_BITS = 24
 #: Text bytes that are searched for anchors at once.
 CHUNK = 1 << 19
 #: Text bytes for each bucket.
 BUCKET_BYTES = 1 << 19
 #: Pieces that a task gathers before it passes them on, and anchors.
 GATHER, GATHER_ANCHORS = 400_000, 1_500_000
+#: Occurrences of one distinct piece that a task sends along with it; beyond, they travel apart.
+LOCAL = 64
 _NONE = np.uint64(2**64 - 1)
+_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0xD6E8FEB86659FD93)
 
 
 def _words(raw: np.ndarray) -> np.ndarray:
@@ -64,14 +70,14 @@ def _least(x: np.ndarray, width: int, f=np.minimum) -> np.ndarray:
     return f(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def gram_hash(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """The hash of GRAM = 24 bytes, given as three words."""
-    g = a * np.uint64(0x9E3779B97F4A7C15)
-    g ^= b * np.uint64(0xD1342543DE82EF95) + (g >> np.uint64(29))
-    g ^= c * np.uint64(0xAF251AF3B0F025B5) + (g >> np.uint64(31))
+def gram_hash(*words: np.ndarray) -> np.ndarray:
+    """The hash of GRAM bytes, given as words of eight; odd and below _NONE, so neither mark for places without one can be a hash."""
+    g = words[0] * np.uint64(_MULTIPLIERS[0])
+    for word, by in zip(words[1:], _MULTIPLIERS[1:], strict=False):
+        g ^= word * np.uint64(by) + (g >> np.uint64(29))
     g *= np.uint64(0x94D049BB133111EB)
     g ^= g >> np.uint64(32)
-    return g
+    return np.minimum(g | np.uint64(1), _NONE - np.uint64(2))
 
 
 class Anchors:
@@ -81,7 +87,7 @@ class Anchors:
         n = len(data)
         self.raw = np.frombuffer(data + bytes(PIECE + 8), np.uint8)
         w = _words(self.raw)
-        g = gram_hash(w[:n], w[8 : n + 8], w[16 : n + 16])
+        g = gram_hash(*(w[i : n + i] for i in range(0, GRAM, 8)))
         ends = offsets[1:]
         inside = np.zeros(n + 1, np.int32)  # places whose window does not fit its document
         np.add.at(inside, np.maximum(ends - SPAN + 1, offsets[:-1]), 1)
@@ -99,7 +105,7 @@ class Anchors:
         low[: n - WINDOW + 1] = _least(g, WINDOW)
         low[off] = 0
         padded = np.concatenate([np.zeros(WINDOW - 1, np.uint64), low])
-        self.at = np.flatnonzero((_least(padded, WINDOW, np.maximum) == g) & (g != _NONE) & (g != 0))
+        self.at = np.flatnonzero((_least(padded, WINDOW, np.maximum) == g) & (g != _NONE))
         self.low = padded
 
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -286,17 +292,63 @@ def least_documents(text: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.n
 
 # ---- pieces and spans ----
 
-_PIECES = pa.schema([("bucket", pa.int64()), ("size", pa.binary()), ("off", pa.binary()), ("text", pa.binary()), ("doc", pa.binary()), ("row", pa.binary()), ("start", pa.binary())])
-#: size and place of the anchor are bytes, texts are packed end to end, numbers are differences by byte planes.
-_PIECES_SQL = "bucket long, size binary, off binary, text binary, doc binary, row binary, start binary"
+_PIECES = pa.schema([("bucket", pa.int64()), ("size", pa.binary()), ("off", pa.binary()), ("text", pa.binary()), ("n", pa.binary()), ("doc", pa.binary()), ("row", pa.binary()), ("start", pa.binary())])
+#: size and place of the anchor are bytes, texts are packed end to end, numbers are differences by byte planes. From bucket
+#: _APART on a row has the occurrences of one piece, and text its print.
+_PIECES_SQL = "bucket long, size binary, off binary, text binary, n binary, doc binary, row binary, start binary"
+_APART = 1 << 40
+_SPANS, _VERDICT, _OCCURRENCES = range(3)
+_JUDGED = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("print", pa.binary()), ("doc", pa.binary()), ("row", pa.binary()), ("start", pa.binary()), ("end", pa.binary())])
+_JUDGED_SQL = "kind int, bucket long, print binary, doc binary, row binary, start binary, end binary"
 
 
 def _row_bucket(row: np.ndarray, bits: int) -> np.ndarray:
     return (mix(row.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _table(rows: list[tuple], shape: pa.Schema) -> pa.Table:
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([],) * len(shape), shape.types, strict=True)], schema=shape)
+
+
+def _gather(text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The given stretches of text, end to end."""
+    return text[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+
+class Prints:
+    """128-bit prints of pieces (begin, size) of text, and their words, for the comparison of pieces of one print."""
+
+    def __init__(self, text: np.ndarray, begin: np.ndarray, size: np.ndarray, off: np.ndarray) -> None:
+        self.word = _words(np.concatenate([text, np.zeros(PIECE + 16, np.uint8)]))
+        self.begin, self.size = begin, size
+        anchor = begin + off
+        self.key = gram_hash(*(self.word[anchor + i] for i in range(0, GRAM, 8)))
+        self.one, self.two = mix(self.key ^ size.astype(np.uint64)), mix(self.key + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        for step in range(0, PIECE, 8):
+            w = self.words(np.arange(len(size)), step)
+            self.one, self.two = mix(self.one ^ w), mix(self.two + w * np.uint64(0x9E3779B97F4A7C15))
+
+    def words(self, which: np.ndarray, step: int) -> np.ndarray:
+        left = np.clip(self.size[which] - step, 0, 8)
+        mask = np.where(left >= 8, _NONE, (np.uint64(1) << (np.minimum(left, 7) * 8).astype(np.uint64)) - np.uint64(1))
+        return np.where(left > 0, self.word[np.minimum(self.begin[which] + step, len(self.word) - 1)] & mask, np.uint64(0))
+
+    def equal(self, a: np.ndarray, b: np.ndarray) -> bool:
+        return bool((self.size[a] == self.size[b]).all()) and all((self.words(a, step) == self.words(b, step)).all() for step in range(0, PIECE, 8))
+
+
+def _runs(which: np.ndarray, dup: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of each run of marked windows of one occurrence."""
+    if not len(which):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    fresh = np.concatenate([[True], which[1:] != which[:-1]])
+    before = np.concatenate([[False], dup[:-1]])
+    after = np.concatenate([fresh[1:] | ~dup[1:], [True]])
+    return np.flatnonzero(dup & (fresh | ~before)), np.flatnonzero(dup & after)
+
+
 def repeated_spans(docs: DataFrame, bits: int) -> DataFrame:
-    """bucket (of rows), doc, row, start, end (packed): windows' spans that are to go. docs: row (the text's hash), doc, text."""
+    """doc, row, start, end (packed): windows' spans that are to go. docs: row (the text's hash), doc, text."""
     spark = docs.sparkSession
     bitmap = spark.sparkContext.broadcast(shared_anchors(docs, bits))
 
@@ -305,19 +357,39 @@ def repeated_spans(docs: DataFrame, bits: int) -> DataFrame:
         held: list[tuple] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            key, off, size, text, doc, row, start = (np.concatenate(x) for x in zip(*held, strict=True))
-            ends = np.cumsum(size.astype(np.int64))
+            off, size, text, doc, row, start = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            size = size.astype(np.int64)
+            begin = np.cumsum(size) - size
+            found = Prints(text, begin, size, off)
+            order = np.lexsort((row, doc, found.two, found.one, found.key))
+            key, one, two = found.key[order], found.one[order], found.two[order]
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+            n = np.diff(np.append(first, len(order)))
+            if not found.equal(order, np.repeat(order[first], n)):
+                first, n = np.arange(len(order)), np.ones(len(order), np.int64)
 
             def made() -> Iterator[tuple]:
-                for b, at in _groups(_bucket(key, bits)):
-                    at = at[np.lexsort((row[at], doc[at]))]
-                    body = b"".join([flat[e - s : e] for e, s in zip(ends[at].tolist(), size[at].tolist(), strict=True)])
-                    packed = pa.compress(body, codec="zstd", asbytes=True)
-                    yield b, size[at].tobytes(), off[at].tobytes(), packed, planes(np.diff(doc[at], prepend=0)), planes(np.diff(row[at], prepend=0)), planes(start[at])
+                where = _bucket(key[first], bits)
+                edges = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1], [True]]))
+                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                    many = n[lo:hi] > LOCAL
+                    for i in np.flatnonzero(many) + lo:
+                        at = order[first[i] : first[i] + n[i]]
+                        label = np.array([one[first[i]], two[first[i]]]).tobytes()
+                        yield _APART + int(mix(two[first[i] : first[i] + 1] ^ row[at[:1]].astype(np.uint64))[0] >> np.uint64(64 - bits)), b"", b"", label, b"", planes(np.diff(doc[at], prepend=0)), planes(np.diff(row[at], prepend=0)), planes(start[at])
+                    least = order[first[lo:hi]]
+                    inside = order[first[lo] : first[hi - 1] + n[hi - 1]]
+                    kept = np.ones(len(inside), bool) & ~np.repeat(many, n[lo:hi])
+                    kept[first[lo:hi] - first[lo]] = True
+                    at = inside[kept]
+                    count = np.where(many, 1, n[lo:hi])
+                    shown = start[at].copy()
+                    shown[(np.cumsum(count) - count)[many]] = -1  # a verdict is wanted
+                    packed = pa.compress(_gather(text, begin[least], size[least]).tobytes(), codec="zstd", asbytes=True)
+                    yield int(where[lo]), size[least].astype(np.uint8).tobytes(), off[least].tobytes(), packed, count.astype(np.uint8).tobytes(), planes(np.diff(doc[at], prepend=0)), planes(np.diff(row[at], prepend=0)), planes(shown)
 
-            flat = text.tobytes()
             yield from _batches(made(), _PIECES)
-            held.clear()
 
         for batch in batches:
             ids, rows = batch.column(0).to_numpy(), batch.column(2).to_numpy()
@@ -325,78 +397,83 @@ def repeated_spans(docs: DataFrame, bits: int) -> DataFrame:
                 found = Anchors(data, offsets)
                 if not len(found.at):
                     continue
-                key = found.g[found.at]
-                place = (key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                on = (bitmap.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-                at, key = found.at[on], key[on]
+                place = (found.g[found.at] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                at = found.at[(bitmap.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
                 if not len(at):
                     continue
                 first, last = found.windows(at)
-                size = (last - first + SPAN).astype(np.uint8)
-                flat = np.repeat(first - (np.cumsum(size.astype(np.int64)) - size), size) + np.arange(int(size.sum(dtype=np.int64)))
+                size = last - first + SPAN
                 inside = np.searchsorted(offsets, first, "right") - 1
-                held.append((key, (at - first).astype(np.uint8), size, found.raw[flat], ids[lo + inside], rows[lo + inside], (first - offsets[inside]).astype(np.int32)))
+                held.append(((at - first).astype(np.uint8), size.astype(np.uint8), _gather(found.raw, first, size), ids[lo + inside], rows[lo + inside], (first - offsets[inside]).astype(np.int32)))
                 if sum(len(h[0]) for h in held) > GATHER:
                     yield from out()
         if held:
             yield from out()
 
     pieces = docs.select("doc", "text", "row").mapInArrow(run, _PIECES_SQL)
-    shape = pa.schema([("bucket", pa.int64()), ("doc", pa.binary()), ("row", pa.binary()), ("start", pa.binary()), ("end", pa.binary())])
+
+    def spans_of(doc: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple]:
+        return [(_SPANS, where, None, planes(doc[at]), planes(row[at]), planes(start[at]), planes(end[at])) for where, at in _groups(_row_bucket(row, bits >> 1))]
 
     def judge(table: pa.Table) -> pa.Table:
         steady_heap()
         col = lambda name: table.column(name).to_pylist()
+        bucket = table.column("bucket")[0].as_py()
+        if bucket >= _APART:
+            return _table([(_OCCURRENCES, bucket, p, d, r, s, None) for p, d, r, s in zip(col("text"), col("doc"), col("row"), col("start"), strict=True)], _JUDGED)
         sizes = [np.frombuffer(x, np.uint8).astype(np.int64) for x in col("size")]
         size = np.concatenate(sizes)
         text = np.frombuffer(b"".join(pa.decompress(x, int(n.sum()), codec="zstd", asbytes=True) for x, n in zip(col("text"), sizes, strict=True)), np.uint8)
+        n = np.concatenate([np.frombuffer(x, np.uint8) for x in col("n")]).astype(np.int64)
         doc, row = (np.concatenate([np.cumsum(unplanes(x, np.int64)) for x in col(name)]) for name in ("doc", "row"))
         start = np.concatenate([unplanes(x, np.int32) for x in col("start")])
-        # Distinct pieces of each anchor: 128-bit sums over their eight-byte words.
+        off = np.concatenate([np.frombuffer(x, np.uint8) for x in col("off")])
+        # Distinct pieces of all lots; of each lot the first occurrence has the least doc.
         begin = np.cumsum(size) - size
-        word = _words(np.concatenate([text, np.zeros(PIECE + 16, np.uint8)]))
-        anchor = begin + np.concatenate([np.frombuffer(x, np.uint8) for x in col("off")])
-        key = gram_hash(word[anchor], word[anchor + 8], word[anchor + 16])
-        one, two = mix(key ^ size.astype(np.uint64)), mix(key + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        for step in range(0, PIECE, 8):
-            left = np.clip(size - step, 0, 8)
-            w = np.where(left > 0, word[np.minimum(begin + step, len(word) - 1)] & np.where(left >= 8, _NONE, (np.uint64(1) << (np.minimum(left, 7) * 8).astype(np.uint64)) - np.uint64(1)), np.uint64(0))
-            one, two = mix(one ^ w), mix(two + w * np.uint64(0x9E3779B97F4A7C15))
-        order = np.lexsort((two, one, key))
-        k, a, b = key[order], one[order], two[order]
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        first = np.flatnonzero(new)
-        piece = np.empty(len(key), np.int64)
-        piece[order] = np.cumsum(new) - 1
-        sample, least = order[first], np.minimum.reduceat(doc[order], first)
-        starts_key = np.concatenate([[True], key[sample][1:] != key[sample][:-1]])
-        lone = np.repeat(np.diff(np.append(np.flatnonzero(starts_key), len(sample))) == 1, np.diff(np.append(np.flatnonzero(starts_key), len(sample))))
+        found = Prints(text, begin, size, off)
+        order = np.lexsort((found.two, found.one, found.key))
+        key, one, two = found.key[order], found.one[order], found.two[order]
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+        sample = order[first]
+        if not found.equal(order, np.repeat(sample, np.diff(np.append(first, len(order))))):
+            sample, first = order, np.arange(len(order))
+        distinct = np.empty(len(size), np.int64)
+        distinct[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        at_first = np.cumsum(n) - n
+        least = np.minimum.reduceat(doc[at_first][order], first)
         windows = size[sample] - SPAN + 1
         offset = np.cumsum(windows) - windows
-        best = np.repeat(least, windows)
-        several = np.flatnonzero(~lone)
-        if len(several):
-            s = sample[several]
-            flat = np.repeat(begin[s] - (np.cumsum(size[s]) - size[s]), size[s]) + np.arange(int(size[s].sum()))
-            got = least_documents(text[flat], size[s], least[several])
-            best[np.repeat(offset[several] - (np.cumsum(windows[several]) - windows[several]), windows[several]) + np.arange(len(got))] = got
+        best = least_documents(_gather(text, begin[sample], size[sample]), size[sample], least)
         out: list[tuple] = []
-        for lo in range(0, len(key), GATHER):  # rows in parts: a common passage has many
-            part = np.arange(lo, min(lo + GATHER, len(key)))
-            n = windows[piece[part]]
-            which = np.repeat(part, n)
-            step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            dup = best[offset[piece[which]] + step] < doc[which]
-            fresh = np.concatenate([[True], which[1:] != which[:-1]]) if len(which) else dup
-            open_ = dup & (fresh | ~np.concatenate([[False], dup[:-1]]))
-            shut = dup & np.concatenate([fresh[1:] | ~dup[1:], [True]]) if len(which) else dup
-            o, e = np.flatnonzero(open_), np.flatnonzero(shut)
-            out.append((doc[which[o]], row[which[o]], (start[which[o]] + step[o]).astype(np.int32), (start[which[e]] + step[e] + SPAN).astype(np.int32)))
-        d, r, s, e = (np.concatenate(x) for x in zip(*out, strict=True))
-        made = [(where, planes(d[at]), planes(r[at]), planes(s[at]), planes(e[at])) for where, at in _groups(_row_bucket(r, bits >> 1))]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*made, strict=True) if made else ([],) * 5, shape.types, strict=True)], schema=shape)
-
-    return pieces.groupBy("bucket").applyInArrow(judge, "bucket long, doc binary, row binary, start binary, end binary")
+        for i in np.unique(distinct[np.flatnonzero(start[at_first] < 0)]):
+            label = np.array([found.one[sample[i]], found.two[sample[i]]]).tobytes()
+            out.append((_VERDICT, bucket, label, planes(best[offset[i] : offset[i] + windows[i]]), None, None, None))
+        piece = np.repeat(distinct, n)
+        spans: list[tuple] = []
+        for lo in range(0, len(piece), GATHER):
+            part = np.arange(lo, min(lo + GATHER, len(piece)))
+            part = part[start[part] >= 0]
+            w = windows[piece[part]]
+            which = np.repeat(part, w)
+            step = np.arange(len(which)) - np.repeat(np.cumsum(w) - w, w)
+            o, e = _runs(which, best[offset[piece[which]] + step] < doc[which])
+            spans.append((doc[which[o]], row[which[o]], (start[which[o]] + step[o]).astype(np.int32), (start[which[e]] + step[e] + SPAN).astype(np.int32)))
+        return _table(out + spans_of(*(np.concatenate(x) for x in zip(*spans, strict=True))), _JUDGED)
+
+    judged = materialize(pieces.groupBy("bucket").applyInArrow(judge, _JUDGED_SQL))
+
+    def late(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for best, d, r, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                best, doc, row, start = unplanes(best, np.int64), np.cumsum(unplanes(d, np.int64)), np.cumsum(unplanes(r, np.int64)), unplanes(s, np.int32)
+                which, step = np.repeat(np.arange(len(doc)), len(best)), np.tile(np.arange(len(best)), len(doc))
+                o, e = _runs(which, best[step] < doc[which])
+                yield _table(spans_of(doc[which[o]], row[which[o]], (start[which[o]] + step[o]).astype(np.int32), (start[which[e]] + step[e] + SPAN).astype(np.int32)), _JUDGED).combine_chunks().to_batches(max_chunksize=None)[0] if len(o) else pa.RecordBatch.from_pylist([], schema=_JUDGED)
+
+    verdicts = judged.where(F.col("kind") == _VERDICT).select("print", F.col("doc").alias("best"))
+    apart = judged.where(F.col("kind") == _OCCURRENCES).select("print", "doc", "row", "start").join(verdicts, "print")
+    columns = ["doc", "row", "start", "end"]
+    return judged.where(F.col("kind") == _SPANS).select(*columns).unionByName(apart.select("best", *columns[:3]).mapInArrow(late, _JUDGED_SQL).select(*columns))
 
 
 def cut_spans(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[int, int, bytes]:
@@ -414,36 +491,56 @@ def dedup_passages(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(8, int(total // BUCKET_BYTES).bit_length())
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    spans = materialize(repeated_spans(slim.select("doc", "text", "row"), bits))
 
     def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for d, r, s, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(unplanes(d, np.int64)), pa.array(unplanes(r, np.int64)), pa.array(unplanes(s, np.int32)), pa.array(unplanes(e, np.int32))], names=["doc", "row", "start", "end"])
 
-    flat = spans.select("doc", "row", "start", "end").mapInArrow(unpack, "doc long, row long, start int, end int")
-    per_row = flat.groupBy("doc", "row").agg(F.collect_set(F.struct("start", "end")).alias("s")).select("doc", "row", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    flat = repeated_spans(slim.select("doc", "text", "row"), bits).mapInArrow(unpack, "doc long, row long, start int, end int")
+    per_row = materialize(flat.groupBy("doc", "row").agg(F.collect_set(F.struct("start", "end")).alias("s")).select("doc", "row", F.col("s.start").alias("start"), F.col("s.end").alias("end")))
+    place = F.shiftrightunsigned(F.xxhash64("doc", "row"), 64 - ROW_BITS)
+    touched = bit_map(per_row.select(place.alias("place")), ROW_BITS)
+    shape = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+    shape_sql = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+
+    def row_of(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple:
+        removed, runs, kept = cut_spans(data, start, end) if len(start) else (0, 0, data)
+        return len(data), removed, runs, hashlib.sha256(kept).hexdigest(), kept if keep_text else None
+
+    def batch_of(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([],) * 5, shape.types[1:], strict=True))], schema=shape)
+
+    def hits(batch: pa.RecordBatch) -> pa.Array:
+        at = batch.column(4).to_numpy()
+        return pa.array((touched.value[at >> 6] >> (at & 63)) & 1 == 1, pa.bool_())
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        for batch in batches:
+            own = batch.filter(pc.invert(hits(batch)))
+            yield batch_of(own.column(0), [row_of(x.as_py().encode("utf-8", "surrogatepass"), none, none) for x in own.column(1)])
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [x.as_py().encode("utf-8", "surrogatepass") for x in batch.column(1)]
+            own = batch.filter(hits(batch))
+            raw = [x.as_py().encode("utf-8", "surrogatepass") for x in own.column(1)]
             packed = pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in raw], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), packed, pa.array([len(x) for x in raw], pa.int64()), batch.column(2), batch.column(3)], names=["doc_id", "packed", "n_bytes", "row", "doc"])
-
-    packed = slim.select("doc_id", "text", "row", "doc").mapInArrow(pack, "doc_id long, packed binary, n_bytes long, row long, doc long")
-    joined = packed.join(per_row, ["doc", "row"], "left").select("doc_id", "packed", "start", "end", "n_bytes")
-    shape = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+            yield pa.RecordBatch.from_arrays([own.column(0), packed, pa.array([len(x) for x in raw], pa.int64()), own.column(2), own.column(3)], names=["doc_id", "packed", "n_bytes", "row", "doc"])
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
         for batch in batches:
             out = []
             for text, s, e, size in zip(*batch.columns[1:], strict=True):
                 data = pa.decompress(text.as_py(), size.as_py(), codec="zstd", asbytes=True)
-                removed, runs, kept = (0, 0, data) if not s.is_valid else cut_spans(data, s.values.to_numpy(), e.values.to_numpy())
-                out.append((len(data), removed, runs, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([],) * 5, shape.types[1:], strict=True))], schema=shape)
+                out.append(row_of(data, s.values.to_numpy() if s.is_valid else none, e.values.to_numpy() if s.is_valid else none))
+            yield batch_of(batch.column(0), out)
 
-    out = joined.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    source = slim.select("doc_id", "text", "row", "doc", place.alias("place"))
+    packed = source.mapInArrow(pack, "doc_id long, packed binary, n_bytes long, row long, doc long")
+    joined = packed.join(per_row, ["doc", "row"], "left").select("doc_id", "packed", "start", "end", "n_bytes")
+    out = source.mapInArrow(whole, shape_sql).unionByName(joined.mapInArrow(finish, shape_sql))
     return out if keep_text else out.drop("kept")
 
 

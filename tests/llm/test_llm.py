@@ -203,6 +203,35 @@ def test_passages(docs, texts, nothing):
     assert suffix.dedup_passages(nothing).count() == 0
 
 
+def removed_by_brute_force(rows):
+    first, out = {}, []
+    for d, t in rows:
+        b = t.encode()
+        for i in range(len(b) - 49):
+            first[b[i : i + 50]] = min(first.get(b[i : i + 50], d), d)
+    for d, t in rows:
+        b, gone = t.encode(), set()
+        for i in range(len(b) - 49):
+            if first[b[i : i + 50]] < d:
+                gone.update(range(i, i + 50))
+        out.append((d, len(b), len(gone), hashlib.sha256(bytes(x for i, x in enumerate(b) if i not in gone)).hexdigest()))
+    return sorted(out)
+
+
+def test_passages_of_nul_bytes_and_common_ones(spark, monkeypatch):
+    """Runs of NUL, periodic text, and pieces with more occurrences than travel along with them."""
+    rng = random.Random(41)
+    shared, tail = prose(30, rng), prose(20, rng)
+    rows = [(1, "abc" + "\0" * 60 + "def"), (2, "abc" + "\0" * 60 + "def"), (3, "\0" * 200), (4, "x" * 70 + "\0" * 40), (5, "ab" * 60), (6, "b" + "ab" * 70)]
+    rows += [(10 + i, f"{prose(rng.randint(1, 9), rng)} {shared if i % 3 else tail} {prose(rng.randint(1, 9), rng)} {shared[: 40 + i]}") for i in range(40)]
+    wanted = removed_by_brute_force(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for local in (64, 2):
+        monkeypatch.setattr(suffix, "LOCAL", local)
+        got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix.dedup_passages(df).collect())
+        assert got == wanted and got[1][2] == 66
+
+
 def test_passages_when_the_split_of_the_scan_changes(spark, tmp_path, monkeypatch):
     """Executors come and go: jobs over the same files may cut them differently."""
     rng = random.Random(31)
@@ -424,6 +453,19 @@ def test_scores(spark, docs, texts, nothing):
     assert ctw.ctw_scores(nothing, ~ctw.held_out()).count() == 0
 
 
+def test_scores_of_rare_keys_and_split_pairs(docs, monkeypatch):
+    """Keys that are looked up in their buckets, and subtrees that are dealt by three bytes, score alike."""
+    result = lambda: sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in ctw.ctw_scores(docs, ~ctw.held_out()).collect())
+    monkeypatch.setattr(ctw, "SPLIT", 0)
+    wanted = result()
+    monkeypatch.setattr(ctw, "SPLIT", 50)
+    monkeypatch.setattr(ctw, "HOT", (16, 64))
+    monkeypatch.setattr(ctw, "FINE_BYTES", 1 << 13)
+    monkeypatch.setattr(ctw, "BUCKETS", 16)
+    monkeypatch.setattr(ctw, "GATHER", 1000)
+    assert result() == wanted
+
+
 def test_scores_against_plain_context_trees(monkeypatch):
     """One subtree solver run on all grams equals a dictionary-based tree, and code lengths are a proper code."""
     data = [b"the cat sat", b"the hat", b"a cat", b"the the cat"]
