@@ -11,15 +11,16 @@ Each decision's two probabilities sum to one, so the code lengths are those of a
 
 Statistics cover all texts and nothing unbounded is broadcast or collected:
 
-1. One scan counts tokens (64-bit hashes) and grams (context and byte) in each task; sorted runs of keys and counts go, packed, to buckets,
-   where they are merged. Grams are dealt by their last two context bytes, so a bucket holds whole subtrees.
-2. Buckets solve their subtrees and sum up what the nodes above need: 256 x 255 nodes at depth one, whatever
+1. A scan counts pairs of bytes. Another one counts tokens (64-bit hashes) and grams (context and byte) in each task; sorted runs of keys and counts go, packed, to buckets,
+   where they are merged, one after another. Grams are dealt by their last two context bytes, so a bucket holds whole subtrees; those of the
+   SPLIT most frequent pairs at most are dealt by the last three. There are more buckets for longer texts.
+2. Buckets solve their subtrees and sum up what the nodes above need: 256 x 255 nodes at depth one and SPLIT x 255 at depth two, whatever
    the corpus. These are mixed on the driver; a second pass over the buckets scores each distinct gram.
-3. A second scan looks tokens and grams up in a table of the most frequent ones (HOT at most, broadcast). The others go
+3. A third scan looks tokens and grams up in a table of the most frequent ones (HOT at most, broadcast). The others go
    to their buckets, packed with their rows, and come back as sums per row.
 
 Nulls: a null text is empty, one end token. A null doc_id is never held out. Rows with one doc_id are scored
-separately. Without training texts every decision is even and all base counts are 0. Other columns are ignored.
+separately. An empty text is its end alone, texts may be of any length, an empty table gives an empty result. Without training texts every decision is even and all base counts are 0. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,10 +34,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, documents, materialize, mix, planes, texts, unplanes, word_hashes
+from .common import LOWER, documents, materialize, mix, planes, steady_heap, texts, unplanes, word_hashes
 
 DEPTH = 6
 BUCKETS = 1024
+#: Grams for which there is a bucket more.
+BUCKET_GRAMS = 1 << 21
+#: Pairs of bytes whose subtrees are split further: the most frequent ones, of one gram in SPLIT or more.
+SPLIT = 1024
 #: Most frequent keys of each kind that are broadcast.
 HOT = (1 << 18, 1 << 20)
 #: Keys that a task gathers before it merges or passes them on.
@@ -85,12 +90,56 @@ def text_keys(data: bytes, offsets: np.ndarray) -> tuple[tuple[np.ndarray, np.nd
     return (tokens, first + np.concatenate([[0], rows])), (key[place > 0], at - np.arange(len(at)))
 
 
-def bucket_of(key: np.ndarray, kind: int, fine: int = 1) -> np.ndarray:
-    """Coarse bucket (whole subtrees of grams), times fine, plus a part by the whole key."""
-    coarse = mix(key >> np.uint64(8 * (DEPTH - 1)) if kind == GRAM else key) % np.uint64(BUCKETS)
-    if fine > 1:
-        coarse = coarse * np.uint64(fine) + mix(key ^ np.uint64(77)) % np.uint64(fine)
-    return coarse.astype(np.int64)
+class Deal:
+    """Which bucket a key goes to: whole subtrees of grams, those of split pairs in buckets of their own."""
+
+    def __init__(self, pairs: np.ndarray) -> None:
+        total = int(pairs.sum())
+        self.buckets = BUCKETS
+        while self.buckets * BUCKET_GRAMS < total:
+            self.buckets *= 2
+        self.pairs = np.flatnonzero((pairs * SPLIT >= total) & (pairs > 0))
+        self.split = np.zeros(65536, bool)
+        self.split[self.pairs] = True
+
+    def bucket(self, key: np.ndarray, kind: int, fine: int = 1) -> np.ndarray:
+        """Coarse bucket, times fine, plus a part by the whole key. Split pairs have buckets from self.buckets on."""
+        size = np.uint64(self.buckets)
+        if kind == GRAM:
+            pair = key >> np.uint64(8 * (DEPTH - 1))
+            split = self.split[pair.astype(np.int64)]
+            coarse = mix(np.where(split, key >> np.uint64(8 * (DEPTH - 2)), pair)) % size + split * size
+        else:
+            coarse = mix(key) % size
+        if fine > 1:
+            coarse = coarse * np.uint64(fine) + mix(key ^ np.uint64(77)) % np.uint64(fine)
+        return coarse.astype(np.int64)
+
+
+def pair_counts(docs: DataFrame) -> np.ndarray:
+    """How often each pair of bytes is the nearest context of a byte (65536 counts)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(65536, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in texts(batch):
+                raw = np.frombuffer(_normal(data, offsets)[0], np.uint8).astype(np.int64)
+                total += np.bincount(raw[1:] << 8 | raw[:-1], minlength=65536)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pair", "n"])
+
+    got = docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(65536, np.int64)
+    out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def _sorted_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(raw, np.uint64), dtype=np.uint64)
+
+
+def _key_bytes(key: np.ndarray) -> bytes:
+    return planes(np.diff(key, prepend=np.uint64(0)))
 
 
 def _merged(key: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -100,9 +149,9 @@ def _merged(key: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return (key[first], *(np.add.reduceat(c[order], first) if len(key) else c for c in counts))
 
 
-def _dealt(kind: int, fine: int, key: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+def _dealt(deal: Deal, kind: int, fine: int, key: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
     """(bucket, key, columns) of each bucket; keys keep their order inside."""
-    where = bucket_of(key, kind, fine)
+    where = deal.bucket(key, kind, fine)
     order = np.argsort(where, kind="stable")
     where = where[order]
     ends = np.flatnonzero(np.concatenate([where[1:] != where[:-1], [True]])) + 1 if len(where) else []
@@ -128,10 +177,11 @@ def _packed(rows: Iterable[tuple], schema: pa.Schema, size: int = 64) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
 
-def count_keys(docs: DataFrame) -> DataFrame:
-    """kind, bucket, key, c, n: sorted distinct keys (u64) of a bucket, their counts in training and in all texts (i64)."""
+def count_keys(docs: DataFrame, deal: Deal) -> DataFrame:
+    """kind, bucket, key, c, n: sorted distinct keys of a bucket, their counts in training and in all texts, packed."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_heap()
         held: dict[int, list[tuple[np.ndarray, ...]]] = {TOKEN: [], GRAM: []}
 
         def merge(kind: int) -> None:
@@ -141,7 +191,7 @@ def count_keys(docs: DataFrame) -> DataFrame:
             if held[kind]:
                 merge(kind)
                 key, c, n = held[kind][0]
-                yield from _packed(((kind, b, planes(np.diff(k, prepend=np.uint64(0))), planes(x), planes(y)) for b, k, x, y in _dealt(kind, 1, key, c, n)), _COUNTS)
+                yield from _packed(((kind, b, _key_bytes(k), planes(x), planes(y)) for b, k, x, y in _dealt(deal, kind, 1, key, c, n)), _COUNTS)
                 held[kind] = []
 
         for batch in batches:
@@ -158,10 +208,14 @@ def count_keys(docs: DataFrame) -> DataFrame:
             yield from out(kind)
 
     def join(table: pa.Table) -> pa.Table:
-        key, c, n = ([unplanes(x, t) for x in table.column(name).to_pylist()] for name, t in (("key", np.uint64), ("c", np.int64), ("n", np.int64)))
-        key = [np.cumsum(k, dtype=np.uint64) for k in key]
-        key, c, n = _merged(np.concatenate(key), np.concatenate(c), np.concatenate(n))
-        return pa.table([pa.array([table.column("kind")[0].as_py()], pa.int32()), pa.array([table.column("bucket")[0].as_py()], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (key, c, n))], schema=_COUNTS)
+        steady_heap()
+        held: list[tuple[np.ndarray, ...]] = []
+        for key, c, n in zip(*(table.column(x) for x in ("key", "c", "n")), strict=True):
+            held.append((_sorted_keys(key.as_py()), unplanes(c.as_py(), np.int64), unplanes(n.as_py(), np.int64)))
+            if sum(len(x[0]) for x in held[1:]) > max(GATHER // 4, len(held[0][0])):
+                held = [_merged(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+        key, c, n = _merged(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        return pa.table([pa.array([table.column("kind")[0].as_py()], pa.int32()), pa.array([table.column("bucket")[0].as_py()], pa.int64()), *(pa.array([x], pa.binary()) for x in (_key_bytes(key), planes(c), planes(n)))], schema=_COUNTS)
 
     return docs.select("text", "train").mapInArrow(run, _COUNTS_SQL).groupBy("kind", "bucket").applyInArrow(join, _COUNTS_SQL)
 
@@ -221,8 +275,11 @@ def _blend(own: np.ndarray, below: np.ndarray, p_own: np.ndarray, p_below: np.nd
     return share * p_own + (1 - share) * p_below
 
 
-def solve(key: np.ndarray, c: np.ndarray, code: Code, upper: tuple[np.ndarray, np.ndarray] | None):
-    """With upper (depth one's and zero's tables): ln of each gram's probability. Without: depth one's (node, zeros, ones, ln children).
+def solve(key: np.ndarray, c: np.ndarray, code: Code, upper: tuple[np.ndarray, ...] | None, split: np.ndarray | None = None):
+    """With upper (tables of depths one, zero and, for split pairs, two): ln of each gram's probability. Without: depth one's (node, zeros, ones, ln children).
+
+    split: for grams of split pairs, of each pair its place among them; their subtrees begin at depth three, and without
+    upper depth two's nodes come back, from 65536 on.
 
     Grams are sorted, so after a stable sort by tree node the decisions of each context, at every depth, are a run.
     """
@@ -234,7 +291,7 @@ def solve(key: np.ndarray, c: np.ndarray, code: Code, upper: tuple[np.ndarray, n
     edge = np.concatenate([[True], node[1:] != node[:-1]])
     p = np.full(len(which), np.nan)
     log = start = None
-    for d in range(DEPTH, 1, -1):
+    for d in range(DEPTH, 1 if split is None else 2, -1):
         context = (key >> np.uint64(8 * (DEPTH + 1 - d)))[which]
         new = edge.copy()
         new[1:] |= context[1:] != context[:-1]
@@ -252,10 +309,12 @@ def solve(key: np.ndarray, c: np.ndarray, code: Code, upper: tuple[np.ndarray, n
         p = np.where((zeros + ones)[run] > 0, p, np.nan)
         start = at
     last = (key >> np.uint64(8 * DEPTH)).astype(np.int64)[which]
+    two = None if split is None else split[(key >> np.uint64(8 * (DEPTH - 1))).astype(np.int64)][which] * 256 + node
     if upper is None:
-        ids = last[start] * 256 + node[start]
+        ids = last[start] * 256 + node[start] if two is None else 65536 + two[start]
         return ids, zeros, ones, log
-    for table, at in ((upper[0], last * 256 + node), (upper[1], node.astype(np.int64))):
+    above = [(upper[0], last * 256 + node), (upper[1], node.astype(np.int64))]
+    for table, at in above if two is None else [(upper[2], two), *above]:
         zeros, ones, own, children = table[at].T
         k = (np.where(bit, ones, zeros) + 0.5) / (zeros + ones + 1)
         p = np.where(np.isnan(p), k, _blend(own, children, k, p))
@@ -268,7 +327,7 @@ def _byte_counts(counts: DataFrame) -> np.ndarray:
         total = np.zeros(256)
         for batch in batches:
             for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total += np.bincount((np.frombuffer(k, np.uint64) & np.uint64(255)).astype(np.int64), np.frombuffer(c, np.int64), 256)
+                total += np.bincount((_sorted_keys(k) & np.uint64(255)).astype(np.int64), unplanes(c, np.int64), 256)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["b", "c"])
 
     got = counts.where(F.col("kind") == GRAM).select("key", "c").mapInArrow(run, "b long, c double").groupBy("b").agg(F.sum("c").alias("c")).toArrow()
@@ -277,36 +336,50 @@ def _byte_counts(counts: DataFrame) -> np.ndarray:
     return out
 
 
-def gram_scores(counts: DataFrame) -> DataFrame:
+def _mixed(table: np.ndarray) -> np.ndarray:
+    """ln of the weighted probability of nodes (zeros, ones, own, children)."""
+    return np.logaddexp(table[:, 2], table[:, 3]) - math.log(2)
+
+
+def gram_scores(counts: DataFrame, deal: Deal) -> DataFrame:
     """bucket, key, n, value: ln of the probability of each distinct gram's byte (f64), all depths mixed."""
     spark = counts.sparkSession
     grams = counts.where(F.col("kind") == GRAM)
     code = spark.sparkContext.broadcast(Code(_byte_counts(counts)))
+    index = np.zeros(65536, np.int64)
+    index[deal.pairs] = np.arange(len(deal.pairs))
 
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_heap()
         for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, *stats = solve(np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64), code.value, None)
+            for b, k, c in zip(*batch.columns, strict=True):
+                ids, *stats = solve(_sorted_keys(k.as_py()), unplanes(c.as_py(), np.int64), code.value, None, index if b.as_py() >= deal.buckets else None)
                 distinct, inverse = np.unique(ids, return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(distinct), *(pa.array(np.bincount(inverse, s, len(distinct))) for s in stats)], names=["node", "zeros", "ones", "ln"])
 
-    got = grams.select("key", "c").mapInArrow(sums, "node long, zeros double, ones double, ln double").groupBy("node").agg(*(F.sum(x).alias(x) for x in ("zeros", "ones", "ln"))).toArrow()
-    one = np.zeros((65536, 4))
+    got = grams.select("bucket", "key", "c").mapInArrow(sums, "node long, zeros double, ones double, ln double").groupBy("node").agg(*(F.sum(x).alias(x) for x in ("zeros", "ones", "ln"))).toArrow()
+    nodes = np.zeros((65536 + 256 * len(deal.pairs), 4))
     at = got.column("node").to_numpy()
-    one[at, 0], one[at, 1], one[at, 3] = (got.column(x).to_numpy() for x in ("zeros", "ones", "ln"))
+    nodes[at, 0], nodes[at, 1], nodes[at, 3] = (got.column(x).to_numpy() for x in ("zeros", "ones", "ln"))
+    one, two = nodes[:65536], nodes[65536:]
+    two[:, 2] = kt_log(two[:, 0], two[:, 1])
+    parent = np.repeat(deal.pairs >> 8, 256) * 256 + np.tile(np.arange(256), len(deal.pairs))
+    for column, value in ((0, two[:, 0]), (1, two[:, 1]), (3, _mixed(two))):
+        one[:, column] += np.bincount(parent, value, 65536)
     one[:, 2] = kt_log(one[:, 0], one[:, 1])
     zero = np.zeros((256, 4))
     zero[:, 0], zero[:, 1] = one[:, 0].reshape(256, 256).sum(0), one[:, 1].reshape(256, 256).sum(0)
     zero[:, 2] = kt_log(zero[:, 0], zero[:, 1])
-    zero[:, 3] = (np.logaddexp(one[:, 2], one[:, 3]) - math.log(2)).reshape(256, 256).sum(0)
-    upper = spark.sparkContext.broadcast((one, zero))
+    zero[:, 3] = _mixed(one).reshape(256, 256).sum(0)
+    upper = spark.sparkContext.broadcast((one, zero, two))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_heap()
         for batch in batches:
             for i in range(batch.num_rows):
-                k, c = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
-                ln = solve(np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64), code.value, upper.value)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([k], pa.binary()), batch.column(3).slice(i, 1), pa.array([ln.tobytes()], pa.binary())], names=["bucket", "key", "n", "value"])
+                b, k, c = (batch.column(j)[i].as_py() for j in range(3))
+                ln = solve(_sorted_keys(k), unplanes(c, np.int64), code.value, upper.value, index if b >= deal.buckets else None)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), batch.column(3).slice(i, 1), pa.array([planes(ln)], pa.binary())], names=["bucket", "key", "n", "value"])
 
     return grams.select("bucket", "key", "c", "n").mapInArrow(score, "bucket long, key binary, n binary, value binary")
 
@@ -359,8 +432,8 @@ def _hot(scores: DataFrame, room: int) -> tuple[np.ndarray, np.ndarray]:
     def sizes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(520, np.int64)
         for batch in batches:
-            for n in batch.column(0).to_pylist():
-                total += np.bincount(grade(np.frombuffer(n, np.int64)), minlength=520)
+            for n in batch.column(0):
+                total += np.bincount(grade(unplanes(n.as_py(), np.int64)), minlength=520)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(520)), pa.array(total)], names=["g", "size"])
 
     got = scores.select("n").mapInArrow(sizes, "g long, size long").groupBy("g").agg(F.sum("size").alias("size")).toArrow()
@@ -371,9 +444,9 @@ def _hot(scores: DataFrame, room: int) -> tuple[np.ndarray, np.ndarray]:
 
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, n, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                on = grade(np.frombuffer(n, np.int64)) >= least
-                yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(k, np.uint64)[on].tobytes()], pa.binary()), pa.array([np.frombuffer(v, np.float64)[on].tobytes()], pa.binary())], names=["key", "value"])
+            for k, n, v in zip(*batch.columns, strict=True):
+                on = grade(unplanes(n.as_py(), np.int64)) >= least
+                yield pa.RecordBatch.from_arrays([pa.array([_sorted_keys(k.as_py())[on].tobytes()], pa.binary()), pa.array([unplanes(v.as_py(), np.float64)[on].tobytes()], pa.binary())], names=["key", "value"])
 
     rows = scores.select("key", "n", "value").mapInArrow(pick, "key binary, value binary").toArrow()
     return tuple(np.frombuffer(b"".join(rows.column(x).to_pylist()), t) for x, t in (("key", np.uint64), ("value", np.float64)))
@@ -387,13 +460,14 @@ def ctw_scores(docs: DataFrame, train: Column, key: str = "doc_id") -> DataFrame
     """key, train, n_tokens, n_known, train_tokens, base_score, score (log10) and bits_per_byte for each row of docs."""
     spark = docs.sparkSession
     slim = docs.select(F.col(key).cast("long").alias("key"), "text", train.alias("train"))
-    counts = materialize(count_keys(slim))
+    deal = Deal(pair_counts(slim))
+    counts = materialize(count_keys(slim, deal))
 
     def totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for kind, c, n in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                c = np.frombuffer(c, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([int(c.sum())]), pa.array([int((c > 0).sum())]), pa.array([int(np.frombuffer(n, np.int64).sum())])], names=["kind", "c", "v", "n"])
+            for kind, c, n in zip(*batch.columns, strict=True):
+                c = unplanes(c.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([kind.as_py()], pa.int32()), pa.array([int(c.sum())]), pa.array([int((c > 0).sum())]), pa.array([int(unplanes(n.as_py(), np.int64).sum())])], names=["kind", "c", "v", "n"])
 
     total = {r["kind"]: r for r in counts.select("kind", "c", "n").mapInArrow(totals, "kind int, c long, v long, n long").groupBy("kind").agg(*(F.sum(x).alias(x) for x in "cvn")).collect()}
     n_train, v = (int(total[TOKEN]["c"]), int(total[TOKEN]["v"])) if total else (0, 0)
@@ -403,11 +477,11 @@ def ctw_scores(docs: DataFrame, train: Column, key: str = "doc_id") -> DataFrame
 
     def as_value(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            value = [np.frombuffer(c, np.int64).astype(np.float64).tobytes() for c in batch.column(2).to_pylist()]
+            value = [planes(unplanes(c.as_py(), np.int64).astype(np.float64)) for c in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(value, pa.binary())], names=["bucket", "key", "n", "value"])
 
     tokens = counts.where(F.col("kind") == TOKEN).select("bucket", "key", "c", "n").mapInArrow(as_value, "bucket long, key binary, n binary, value binary")
-    grams = materialize(gram_scores(counts))
+    grams = materialize(gram_scores(counts, deal))
     sent = spark.sparkContext.broadcast([_hot(tokens, HOT[TOKEN]), _hot(grams, HOT[GRAM])])
     denominator = n_train + 0.5 * (v + 1)
     tables: list[Lookup] = []
@@ -416,6 +490,7 @@ def ctw_scores(docs: DataFrame, train: Column, key: str = "doc_id") -> DataFrame
         return np.log10((c + 0.5) / denominator)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_heap()
         if not tables:
             tables.extend(Lookup(*x) for x in sent.value)
         asked: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {TOKEN: [], GRAM: []}
@@ -425,7 +500,7 @@ def ctw_scores(docs: DataFrame, train: Column, key: str = "doc_id") -> DataFrame
                 keys, rows = (np.concatenate(x) for x in zip(*asked[kind], strict=True))
                 order = np.argsort(keys)
                 blank = (None,) * 7
-                made = ((int(r[0]), *blank, kind, b, k, (r - r[0]).astype(np.int32)) for b, k, r in _dealt(kind, fine, keys[order], rows[order]))
+                made = ((int(r[0]), *blank, kind, b, _key_bytes(k), planes((r - r[0]).astype(np.int32))) for b, k, r in _dealt(deal, kind, fine, keys[order], rows[order]))
                 yield from _packed(made, _ASKED)
                 asked[kind] = []
 
@@ -457,26 +532,28 @@ def ctw_scores(docs: DataFrame, train: Column, key: str = "doc_id") -> DataFrame
         def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shape = pa.schema([("bucket", pa.int64()), ("key", pa.binary()), ("value", pa.binary())])
             for batch in batches:
-                for k, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    yield from _packed(_dealt(kind, fine, np.frombuffer(k, np.uint64), np.frombuffer(x, np.float64)), shape)
+                for k, x in zip(*batch.columns, strict=True):
+                    dealt = _dealt(deal, kind, fine, _sorted_keys(k.as_py()), unplanes(x.as_py(), np.float64))
+                    yield from _packed(((b, _key_bytes(k), planes(x)) for b, k, x in dealt), shape)
 
         return parts
 
     def answer(table: pa.Table) -> pa.Table:
-        """Sums per row of one bucket's asked keys; the row without rows holds its scores."""
+        """Sums per row of one bucket's asked keys, lot by lot; the row without rows holds its scores."""
+        steady_heap()
         kind = table.column("kind")[0].as_py()
-        asked = table.column("rows").to_pylist()
-        keys, values, row0 = (table.column(x).to_pylist() for x in ("keys", "value", "row"))
-        own = next(i for i, r in enumerate(asked) if r is None)
-        known, value = np.frombuffer(keys[own], np.uint64), np.frombuffer(values[own], np.float64)
-        k = np.concatenate([np.frombuffer(x, np.uint64) for x, r in zip(keys, asked, strict=True) if r is not None] or [np.zeros(0, np.uint64)])
-        rows = np.concatenate([np.frombuffer(r, np.int32) + np.int64(z) for r, z in zip(asked, row0, strict=True) if r is not None] or [np.zeros(0, np.int64)])
-        got = value[np.searchsorted(known, k)]
-        ids, inverse = np.unique(rows, return_inverse=True)
-        total = lambda x: pa.array(np.bincount(inverse, x, len(ids)).astype(float))
-        zero = np.zeros(len(k))
-        known_n, base, score = ((got > 0).astype(float), base_of(got), zero) if kind == TOKEN else (zero, zero, got)
-        return pa.table([pa.array(ids, pa.int64()), total(known_n), total(base), total(score)], names=["row", "k", "b", "s"])
+        asked, keys, values, row0 = (table.column(x) for x in ("rows", "keys", "value", "row"))
+        own = next(i for i, r in enumerate(asked) if not r.is_valid)
+        known, value = _sorted_keys(keys[own].as_py()), unplanes(values[own].as_py(), np.float64)
+        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), *(np.zeros(0),) * 3)]
+        for k, r, z in zip(keys, asked, row0, strict=True):
+            if r.is_valid:
+                got = value[np.searchsorted(known, _sorted_keys(k.as_py()))]
+                ids, inverse = np.unique(unplanes(r.as_py(), np.int32) + np.int64(z.as_py()), return_inverse=True)
+                zero = np.zeros(len(got))
+                sums = ((got > 0).astype(float), base_of(got), zero) if kind == TOKEN else (zero, zero, got)
+                out.append((ids, *(np.bincount(inverse, x, len(ids)) for x in sums)))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["row", "k", "b", "s"])
 
     kept = tokens.select("key", "value").mapInArrow(split(TOKEN), "bucket long, keys binary, value binary").withColumn("kind", F.lit(TOKEN))
     kept = kept.unionByName(grams.select("key", "value").mapInArrow(split(GRAM), "bucket long, keys binary, value binary").withColumn("kind", F.lit(GRAM)))
