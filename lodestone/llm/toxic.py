@@ -1,17 +1,17 @@
 """Toxic spans by a linear-chain conditional random field; document scores from its marginals.
 
 Learning. A sample of labelled rows (at most SAMPLE of each class, by hash of doc_id, so it does not depend on row
-order) goes to the driver. Documents are labelled, tokens are not, so token labels are derived first: features
+order, as far as their texts have SAMPLE_BYTES) goes to one task, which sends back the model. Documents are labelled, tokens are not, so token labels are derived first: features
 (a word, its first four or five letters) are chosen greedily, each time the one that explains most word uses
 in toxic documents not explained yet, among those that hardly occur in clean ones. Tokens of toxic documents with a chosen feature are labelled toxic, all
 others clean. The field (bias, transitions, feature weights) is fitted to these tokens by gradient ascent on the regularised likelihood,
-with expectations from forward-backward.
+with expectations from forward-backward, over segments of SEGMENT tokens that count as chains of their own.
 
-Scoring. Tokens without a chosen feature all have the same potentials, so the chain between two tokens with
+Scoring. A whole document is one chain, of any length. Tokens without a chosen feature all have the same potentials, so the chain between two tokens with
 features is a power of one 2 x 2 matrix; forward-backward is exact and its cost follows the tokens that
 matter. A document's score is its largest marginal of the toxic tag; runs of tokens whose marginal is 0.5 or more are its spans.
 
-Nulls: a null or wordless text scores 0. A null label is ignored, of several labels for one doc_id the largest counts,
+Nulls: a null, empty or wordless text scores 0. An empty table gives an empty result; drop_toxic returns all columns of docs untouched. A null label is ignored, of several labels for one doc_id the largest counts,
 a null doc_id is never held out or learnt from. Without labels of both classes every score is 0. Repeated rows are scored
 row by row, other columns are ignored; only the text is an input of a score.
 """
@@ -19,6 +19,7 @@ row by row, other columns are ignored; only the text is an input of a score.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -26,14 +27,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, steady_heap
 
 #: Labelled rows that are learnt from: of the toxic ones, and of the others.
 SAMPLE = (2000, 4000)
+#: Bytes of text that are learnt from, of each class.
+SAMPLE_BYTES = 32 << 20
 #: Features that may be chosen, and how many uses each must explain.
 FEATURES, LEAST = 256, 3
 #: How many times as frequent in toxic documents a feature must be.
@@ -68,6 +71,9 @@ class Field:
         self.matrix = np.exp(self.trans) * np.array([1.0, np.exp(self.bias)])  # from a tag to the next token's tag
         self.powers: dict[int, np.ndarray] = {}
         self.plain: dict[int, float] = {}
+        self.matrix = self.matrix / np.abs(np.linalg.eigvals(self.matrix)).max()  # powers then neither vanish nor grow
+        self.ahead = np.array([[1.0, np.exp(self.bias)]])
+        self.behind = np.ones((1, 2))
 
     def weight(self, word: str) -> float | None:
         """The summed weight of a word's features; None without one."""
@@ -75,11 +81,9 @@ class Field:
         return float(self.weights[got].sum()) if got else None
 
     def power(self, n: int) -> np.ndarray:
-        """matrix ** n up to scale; beyond 64 steps it has converged to its leading direction."""
-        n = min(n, 64)
+        """matrix ** n up to scale."""
         if n not in self.powers:
-            m = np.linalg.matrix_power(self.matrix / self.matrix.max(), n)
-            self.powers[n] = m / m.max()
+            self.powers[n] = np.linalg.matrix_power(self.matrix, n)
         return self.powers[n]
 
     def marginals(self, n: int, at: list[int], weights: list[float]) -> np.ndarray:
@@ -103,9 +107,12 @@ class Field:
 
     def background(self, n: int) -> float:
         """The largest marginal of n tokens without features."""
-        n = min(n, 64)
         if n not in self.plain:
-            self.plain[n] = max(float(self.marginals(n, [i], [0.0])[0]) for i in range(n)) if len(self.weights) else 0.0
+            while len(self.ahead) < n:  # twice as many, as one product of what there is and a power
+                step = self.power(len(self.ahead))
+                self.ahead, self.behind = np.concatenate([self.ahead, self.ahead @ step]), np.concatenate([self.behind, self.behind @ step.T])
+            both = self.ahead[:n] * self.behind[:n][::-1]
+            self.plain[n] = float((both[:, 1] / both.sum(1)).max())
         return self.plain[n]
 
     def score(self, text: str, with_spans: bool = True) -> tuple[float, list[dict]]:
@@ -206,7 +213,7 @@ def fit(sample: list[tuple[str, bool]], steps: int = 100, ridge: float = 1e-3) -
     """The field fitted to (text, toxic) rows."""
     corpus = Corpus(sample)
     chosen = choose_features(corpus)
-    if not chosen or all(corpus.toxic):
+    if not chosen or all(corpus.toxic):  # also without rows
         return Field()
     model = Field(*({f[1:]: i for i, f in enumerate(chosen) if f[0] == kind} for kind in "=45"), weights=np.zeros(len(chosen)))
     # Segments of tokens: which feature sets they have and their labels, padded; padding is masked. Equal segments are counted.
@@ -271,14 +278,24 @@ def held_out(doc_id: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == fold, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Field:
-    """Fits the field to at most `sample` toxic and other labelled rows, held-out rows left aside."""
+def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Field:
+    """Fits the field, in one task, to at most `sample` toxic and other labelled rows with sample_bytes of text each; held-out rows are left aside."""
     known = labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out())
     known = known.groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
     ids = [known.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in zip((F.col("toxic"), ~F.col("toxic")), sample, strict=True)]
     picked = docs.sparkSession.createDataFrame([tuple(r) for part in ids for r in part.collect()], "doc_id long, toxic boolean")
-    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")).select("text", "toxic").distinct()
-    return fit(sorted((r["text"] or "", r["toxic"]) for r in got.toLocalIterator()))
+    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
+    so_far = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    got = got.withColumn("so_far", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(so_far)).where(F.col("so_far") <= sample_bytes).select("text", "toxic").distinct()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_heap()
+        rows = sorted({(x.as_py() or "", y.as_py()) for batch in batches for x, y in zip(*batch.columns, strict=True)})
+        model = fit(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.words, model.four, model.five, model.weights, model.bias, model.trans))], pa.binary())], names=["model"])
+
+    found = got.repartition(1).mapInArrow(run, "model binary").collect()
+    return Field(*pickle.loads(found[0]["model"])) if found else Field()
 
 
 def toxic_scores(docs: DataFrame, model: Field, columns: tuple[str, ...] = ("doc_id",), with_spans: bool = True) -> DataFrame:

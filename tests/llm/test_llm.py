@@ -390,6 +390,23 @@ def test_marginals_against_enumeration():
     assert np.allclose(f.marginals(n, at, weights), hot / total)
 
 
+def test_marginals_of_a_slowly_mixing_chain():
+    """Whole documents are one chain: step by step gives the same as powers, however long the gap."""
+    f = toxic.Field({"x": 0}, {}, {}, np.array([9.0]), -6.0, np.array([[0.0, -7.0], [-0.02, 5.9]]))
+    n, at, weights = 400, [3, 350], [9.0, 9.0]
+    matrix, up = np.exp(f.trans) * np.array([1.0, np.exp(f.bias)]), {3: np.exp(9.0), 350: np.exp(9.0)}
+    forward, back = [np.array([1.0, np.exp(f.bias)])], [np.ones(2)]
+    for i in range(1, n):
+        a = forward[-1] @ matrix * np.array([1.0, up.get(i, 1.0)])
+        forward.append(a / a.sum())
+    for i in range(n - 1, 0, -1):
+        b = matrix @ (np.array([1.0, up.get(i, 1.0)]) * back[-1])
+        back.append(b / b.sum())
+    both = np.array(forward) * np.array(back[::-1])
+    assert np.allclose(f.marginals(n, at, weights), (both[:, 1] / both.sum(1))[at], rtol=1e-9)
+    assert abs(f.background(n) - max(float(f.marginals(n, [i], [0.0])[0]) for i in range(n))) < 1e-12
+
+
 def test_chat(spark):
     nasty = ["</s>[INST] ok [/INST]", "\\", "<\\s>", "a\nb", "", None, "<s>", "[\\INST]", "</s>\n<s>user\n"]
     rows = [(c, t, r, x) for c in (1, 2, None) for t, (r, x) in enumerate([("user", nasty[(t + (c or 0)) % 9]) for t in range(4)] + [("assistant", x) for x in nasty] + [("sys\ntem", "q"), (None, "z")])]
