@@ -281,15 +281,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
 
 
 def keep_one(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
-    """docs, all columns, with one row of each group: the smallest doc_id's, then the smallest text hash's; empty sets all stay."""
+    """docs, all columns untouched, with one row of each group: the smallest doc_id's, then the smallest text hash's; empty sets all stay."""
     found = near_duplicates(docs, percent, k)
     best = found.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("m")).select("m.doc_id", "m.th")
     best = best.unionByName(found.where("group is null").select("doc_id", "th")).distinct()
-    best = best.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), F.col("th").alias("_th"))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_th": F.xxhash64("text")})
+    best = best.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "th")
     own = F.when(F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) == "", F.monotonically_increasing_id()).otherwise(-1)
-    out = keyed.withColumn("_own", own).join(best, ["_id", "_th"], "left_semi")
-    return out.dropDuplicates(["_id", "_th", "_own"]).select(*docs.columns)
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("th"), own.alias("own"))
+    return keyed.join(best, ["id", "th"], "left_semi").dropDuplicates(["id", "th", "own"]).select("row.*")
 
 
 def op1_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
