@@ -1,6 +1,12 @@
 """A corpus pipeline of five stages; each reads what the one before wrote.
 
-Every stage works on all documents its predecessor kept, and all but the last return the columns of documents.
+Every stage works on all documents its predecessor kept, and all but the last return the columns of documents, whatever
+else these are called, untouched but for text and n_chars.
+
+Nulls: a null or empty text is neither toxic nor contaminated, has no lines and no near copies, and has no tokens; a null
+doc_id is a value like any other. Repeated rows are copies of each other, of which near-dedup keeps one. Ties go to the
+smallest doc_id, then the smallest text hash. Empty tables (documents, labels, benchmark) give empty results or let all
+documents pass. Texts may be of any length.
 """
 
 from __future__ import annotations
@@ -20,13 +26,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, and documents of which nothing is left."""
-    out = lines.dedup_lines(docs)
-    left = F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "") != ""
-    out = out.where((F.col("n_dropped") == 0) | left)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    """Repeated lines go, and documents of which nothing but blank lines is left. A null text stays; n_chars follows the text."""
+    out = lines.without_repeats(docs)
+    changed, text = F.col("n_dropped") > 0, F.col("kept")
+    out = out.where(~changed | (F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\x0c\r", "") != ""))
+    columns = lines.with_text(docs.columns, text)
+    for i, c in enumerate(docs.columns):
+        if c.lower() == "n_chars":
+            columns[i] = F.when(changed, F.length(text)).otherwise(F.col("row").getField(c)).cast(docs.schema[c].dataType).alias(c)
+    return out.select(*columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
