@@ -1,7 +1,8 @@
 """Quality rules: a threshold table compiled into one projection of built-in functions.
 
 Nulls: a null text counts as empty: all counts are 0 and base_failed is true (fewer than 20 words). Ratios of
-empty texts are 0. Rows are judged one by one, so ties and repeated rows need no rule; other columns are ignored.
+empty texts are 0. Texts may be of any length, an empty table gives an empty one. Rows are judged one by one, so ties and repeated rows need no rule. Other columns
+are passed through untouched; an added column whose name is taken gets a trailing underscore.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, free_name
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -55,10 +56,10 @@ def _repeat_words(words: Column, k: int = 8) -> Column:
 
 
 def features(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the counts and ratios that RULES name."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    """row (all columns of df) and the counts and ratios that RULES name."""
+    t = F.coalesce(F.col("row").getField(text), F.lit(""))
     bare = F.translate(t, " \t\n\x0b\x0c\r", "")
-    out = df.withColumn("_words", F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    out = df.select(F.struct("*").alias("row")).withColumn("_words", F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     out = out.withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: F.translate(x, " \t\n\x0b\x0c\r", "") != ""))
     words, lines = F.col("_words"), F.col("_lines")
     out = out.withColumns(
@@ -99,7 +100,8 @@ def compile_rules(rules: tuple[tuple[str, str, float], ...] = RULES) -> Column:
 def quality_rules(df: DataFrame, rules: tuple[tuple[str, str, float], ...] = RULES, text: str = "text") -> DataFrame:
     """df with its features, base_failed and kept."""
     failed = (F.col("n_words") < 20) | (F.lit(100) * F.col("n_repeat_words") > F.lit(30) * F.col("n_words"))
-    return features(df, text).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+    out = features(df, text).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+    return out.select("row.*", *(F.col(c).alias(free_name(c, df.columns)) for c in out.columns[1:]))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
