@@ -158,13 +158,19 @@ def specificity(query: Column) -> Column:
 
 
 def quoted_phrases(query: Column, limit: int = 4) -> Column:
-    """Texts in double or single quotes, in order, distinct without regard to case."""
+    """Texts in double or single quotes with a letter or digit, in order, distinct without regard to case."""
     found = F.regexp_extract_all(query, F.lit(r"\"([^\"]+)\"|'([^']+)'"), 0)
-    bare = F.filter(F.transform(found, lambda s: F.trim(F.substring(s, F.lit(2), F.length(s) - 2))), lambda s: s != "")
+    bare = F.filter(F.transform(found, lambda s: F.trim(F.substring(s, F.lit(2), F.length(s) - 2))), lambda s: s.rlike(r"[\p{L}\p{N}]"))
     lows = let(bare, lambda b: F.filter(b, lambda s, i: ~F.exists(F.slice(b, 1, i), lambda o: F.lower(o) == F.lower(s))))
     return F.slice(lows, 1, limit)
 
 
+def phrase_terms(query: Column, limit: int = 4, words_each: int = 8) -> Column:
+    """Quoted phrases as index terms joined by spaces, distinct; phrases of stop words only go."""
+    joined = F.transform(quoted_phrases(query, limit), lambda p: F.array_join(query_tokens(p, words_each), " "))
+    return F.array_distinct(F.filter(joined, lambda p: p != ""))
+
+
 def comparable(text: Column) -> Column:
     """Lower case, everything that is no letter or digit a single space."""
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))

@@ -88,7 +88,7 @@ def _index(spark: SparkSession, d: str) -> text_search.Index:
 
 @query("bm25_topk", f"WITH {_BENCH}, {_INDEX}, {_terms_sql('bq')} SELECT query_id, frame_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id) AS rank FROM bm QUALIFY rank <= 10")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return text_search.top(text_search.bm25(_index(spark, d), _bench_queries(spark, d)), 10)
+    return text_search.top(text_search.bm25(_index(spark, d), _bench_queries(spark, d)).drop("all_terms"), 10)
 
 
 @query("bm25_and_or_fallback", f"WITH {_BENCH}, {_INDEX}, {_terms_sql('bq')}, {_two_tier_sql(10)} SELECT query_id, frame_id, score, tier, rank FROM txt")
@@ -106,6 +106,46 @@ def tfidf_topk(spark: SparkSession, d: str) -> DataFrame:
     return text_search.top(text_search.tfidf(_index(spark, d), _bench_queries(spark, d)), 10)
 
 
+_PHRASED = rf"""pq AS (SELECT item_id AS query_id, '"' || array_to_string(w[1:2], ' ') || '" ' || w[4] AS query, w[1:2] AS p FROM (SELECT item_id, regexp_extract_all(text, '{_W}') AS w FROM benchmark) WHERE len(w) >= 4)"""
+
+
+@query(
+    "bm25_phrases",
+    rf"""WITH {_PHRASED}, {_INDEX}, {_terms_sql('pq')},
+ph AS (SELECT query_id, list_filter(list_transform(p, lambda x: lower(x)), lambda x: x NOT IN ({_STOPS}) AND x <> 'date') AS w FROM pq),
+ph1 AS (SELECT query_id, list_distinct(w) AS s, w[1] AS a, w[2] AS b, CASE WHEN w[1] = w[2] THEN 1 ELSE len(w) END AS m FROM ph WHERE len(w) > 0),
+seqs AS (SELECT doc_id AS frame_id, regexp_extract_all(lower(text), '{_W}') AS t FROM documents),
+hit AS (SELECT query_id, frame_id, CASE WHEN m = 1 THEN len(list_filter(t, lambda x: x = a)) ELSE len(list_filter(range(1, len(t)), lambda i: t[i] = a AND t[i + 1] = b)) END AS tf, len(t) AS len
+  FROM ph1 JOIN seqs ON list_contains(t, a) AND (m = 1 OR list_contains(t, b))),
+pp AS (SELECT query_id, frame_id, tf, len, count(*) OVER (PARTITION BY query_id) AS df FROM hit WHERE tf > 0),
+parts AS (
+  SELECT query_id, frame_id, tf, len, df FROM qt JOIN post USING (term) JOIN dfs USING (term) JOIN lens USING (frame_id)
+  UNION ALL SELECT query_id, frame_id, tf, len, df FROM pp),
+bm2 AS (SELECT query_id, frame_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / average))), 6) AS score, count(*) AS hits FROM parts, tot GROUP BY query_id, frame_id),
+need AS (SELECT query_id, count(*) + any_value((SELECT count(*) FROM ph1 WHERE ph1.query_id = qt.query_id)) AS n_terms FROM qt GROUP BY query_id)
+SELECT query_id, frame_id, score, CASE WHEN hits = n_terms THEN 0 ELSE 1 END AS tier, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN hits = n_terms THEN 0 ELSE 1 END, score DESC, frame_id) AS rank
+FROM bm2 JOIN need USING (query_id) QUALIFY rank <= 10""",
+)
+def bm25_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """The first two words of each item in quotes, and its fourth."""
+    items = table(spark, d, "benchmark").select("item_id", tx.words(F.col("text")).alias("w")).where(F.size("w") >= 4)
+    quoted = F.concat(F.lit('"'), F.array_join(F.slice("w", 1, 2), " "), F.lit('" '), F.get("w", 3))
+    return text_search.search(_index(spark, d), items.select(F.col("item_id").alias("query_id"), quoted.alias("query")), 10, phrases=True)
+
+
+@query(
+    "bm25_stop_words",
+    rf"""WITH sq AS (SELECT * FROM (VALUES (1, 'The and of'), (2, 'what is the'), (3, 'zzzz qqqq')) v(query_id, query)), {_INDEX},
+sw AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(query), '{_W}'))) AS term FROM sq)
+SELECT query_id, frame_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / average))), 6) AS score
+FROM sw JOIN post USING (term) JOIN dfs USING (term) JOIN lens USING (frame_id), tot GROUP BY query_id, frame_id""",
+)
+def bm25_stop_words(spark: SparkSession, d: str) -> DataFrame:
+    """Queries of stop words only keep them."""
+    queries = spark.createDataFrame([(1, "The and of"), (2, "what is the"), (3, "zzzz qqqq")], "query_id int, query string")
+    return text_search.bm25(_index(spark, d), queries, keep_stops=True).select("query_id", "frame_id", "score")
+
+
 @query("postings_upsert", rf"WITH {_INDEX} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS uses FROM post WHERE frame_id % 3 <> 0 GROUP BY term")
 def postings_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Every third frame is written twice, the second time blank: its postings go."""
@@ -190,7 +230,7 @@ _CLASS = (
 
 
 def _weight_sql(lane: int) -> str:
-    return "CASE cls " + " ".join(f"WHEN '{n}' THEN {w[lane]}" for n, w in tx.CLASS_WEIGHTS.items()) + " END"
+    return "CASE cls " + " ".join(f"WHEN '{n}' THEN CAST({w[lane]} AS DOUBLE)" for n, w in tx.CLASS_WEIGHTS.items()) + " END"
 
 
 def _vec_lane_sql(k: int) -> str:
@@ -282,7 +322,7 @@ def filtered_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "filtered_topk_pre",
-    f"""WITH {_HQ}, {_FRAMES}, {_INDEX.replace("post AS (SELECT term, frame_id, count(*) AS tf FROM tok GROUP BY ALL)", "post AS (SELECT term, frame_id, count(*) AS tf FROM tok WHERE frame_id IN (SELECT frame_id FROM live WHERE lang = 'fr') GROUP BY ALL)")}, {_terms_sql('hq')}, {_two_tier_sql(30)}
+    f"""WITH {_HQ}, {_FRAMES}, {_INDEX}, {_terms_sql('hq')}, kept AS (SELECT * FROM bm WHERE frame_id IN (SELECT frame_id FROM live WHERE lang = 'fr')), {_two_tier_sql(30).replace("FROM bm", "FROM kept")}
 SELECT query_id, frame_id, score, 'text' AS sources, rank FROM txt WHERE rank <= 10""",
 )
 def filtered_topk_pre(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import os
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -22,7 +23,7 @@ def duck():
 def plain(value):
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return ""
-    if isinstance(value, bool) or not isinstance(value, (int, float)):
+    if isinstance(value, bool) or not isinstance(value, (int, float, Decimal)):
         return str(value)
     return round(float(value), 5) + 0.0
 
