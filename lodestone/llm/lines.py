@@ -113,7 +113,8 @@ def _counts(line: Column) -> Column:
 
 def _apart(a: Column, b: Column) -> Column:
     """The sum of differences of two lines' counts: an edit changes it by two at most."""
-    return sum((F.abs(F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in range(1, len(COUNTED))), F.abs(F.get(a, F.lit(0)) - F.get(b, F.lit(0))))
+    one, two = (lambda i: F.get(a, F.lit(i))), (lambda i: F.get(b, F.lit(i)))
+    return sum((F.abs(one(i) - two(i)) for i in range(1, len(COUNTED))), F.abs(one(0) - two(0)))
 
 
 def repeated_lines(docs: DataFrame, t: int = THRESHOLD) -> DataFrame:
@@ -153,11 +154,15 @@ def repeated_lines(docs: DataFrame, t: int = THRESHOLD) -> DataFrame:
     open_ = rest.join(done, who, "left_anti")
     asking = open_.select("key").distinct()
     flags = rest.join(asking, "key", "left_semi").join(judged, [*who, "lh", "lg"], "left").select("key", "size", "at", *who, F.coalesce("dup", F.lit(False)).alias("dup"), F.coalesce("far", F.lit(True)).alias("far"))
-    flags = materialize(flags.join(texts, who))
+    flags = materialize(flags)
+    every_key = flags.groupBy(*who).agg(F.collect_set("key").alias("keys"))  # a line has no more than two classes' keys
+    flags = materialize(flags.join(texts.join(every_key, who), who))
     a, b = flags.join(done, who, "left_anti").alias("a"), flags.alias("b")
     meets = (F.col("a.key") == F.col("b.key")) & (F.col("b.at") < F.col("a.at")) & (F.abs(F.col("a.size") - F.col("b.size")) <= t)
     one, two = F.col("a.line"), F.col("b.line")
     meets = meets & ~(F.col("a.far") & F.col("b.dup")) & (_apart(F.col("a.counts"), F.col("b.counts")) <= 2 * limit(one, two))
+    # Once per pair, at the least key that both have.
+    meets = meets & (F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.key"))
     meets = meets & (F.levenshtein(one, two, t).bitwiseAND(255) <= limit(one, two))  # beyond t it is -1
     late = a.join(b, meets, "left_semi").select(*who).distinct()
     gone = done.unionByName(late).distinct()

@@ -14,7 +14,7 @@ A suffix array of a whole corpus does not fit one task, so candidate text is cut
 3. Suffix arrays. A bucket's distinct pieces are sorted in two stages: suffixes smaller than their
    successors are sorted directly, all others are induced by one scan over the first-byte buckets. Neighbours
    with a common prefix of SPAN bytes are equal windows; the least doc_id of each run decides.
-4. Verdicts on pieces with many occurrences are joined to these, which Spark can split. All spans go back to their rows, are united and cut out. A row is known by its doc_id and the hash of its text, which no
+4. Verdicts on pieces with many occurrences are joined to these, which Spark can split. All spans go back to their rows, are united and cut out. A row is known by its doc_id and, where rows share one, the hash of its text, which no
    split of a scan changes; rows that are equal in both have the same spans. Rows without a span are told by a bitmap of fixed size and do not travel.
 
 The bitmap and the shuffle of anchors see every document. Bucket counts grow with the text, so a bucket's
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import bit_map, documents, materialize, mix, planes, steady_heap, texts, unplanes
 
-SPAN, GRAM = 50, 32
+SPAN, GRAM = 50, 16
 WINDOW = SPAN - GRAM + 1
 PIECE = 2 * SPAN - GRAM
 FILTER_BITS = 27
@@ -316,17 +316,28 @@ def _gather(text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
 
 
 class Prints:
-    """128-bit prints of pieces (begin, size) of text, and their words, for the comparison of pieces of one print."""
+    """64-bit prints of pieces (begin, size) of text, and their words, for the comparison of pieces of one print."""
 
     def __init__(self, text: np.ndarray, begin: np.ndarray, size: np.ndarray, off: np.ndarray) -> None:
         self.word = _words(np.concatenate([text, np.zeros(PIECE + 16, np.uint8)]))
         self.begin, self.size = begin, size
         anchor = begin + off
         self.key = gram_hash(*(self.word[anchor + i] for i in range(0, GRAM, 8)))
-        self.one, self.two = mix(self.key ^ size.astype(np.uint64)), mix(self.key + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self.value = self.key ^ size.astype(np.uint64)
         for step in range(0, PIECE, 8):
-            w = self.words(np.arange(len(size)), step)
-            self.one, self.two = mix(self.one ^ w), mix(self.two + w * np.uint64(0x9E3779B97F4A7C15))
+            self.value = mix(self.value ^ self.words(np.arange(len(size)), step))
+
+    def groups(self, high: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, first, n): pieces in an order that puts equal ones together, and in that of the key's `high` highest bits; each distinct one's first place and its count."""
+        low = np.uint64(2 ** (64 - high) - 1)
+        code = (self.key & ~low) | (self.value & low)
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        n = np.diff(np.append(first, len(order)))
+        if not self.equal(order, np.repeat(order[first], n)):  # two pieces of one print
+            return order, np.arange(len(order)), np.ones(len(order), np.int64)
+        return order, first, n
 
     def words(self, which: np.ndarray, step: int) -> np.ndarray:
         left = np.clip(self.size[which] - step, 0, 8)
@@ -347,8 +358,18 @@ def _runs(which: np.ndarray, dup: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(dup & (fresh | ~before)), np.flatnonzero(dup & after)
 
 
-def repeated_spans(docs: DataFrame, bits: int) -> DataFrame:
-    """doc, row, start, end (packed): windows' spans that are to go. docs: row (the text's hash), doc, text."""
+def _on(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def row_marks(batch: pa.RecordBatch, twice: np.ndarray) -> np.ndarray:
+    """What tells rows of one doc apart: the text's hash where the map of repeated docs says so, else 0."""
+    at = batch.column(batch.schema.get_field_index("place")).to_numpy()
+    return np.where(_on(twice, at), batch.column(batch.schema.get_field_index("row")).to_numpy(), 0)
+
+
+def repeated_spans(docs: DataFrame, bits: int, twice) -> DataFrame:
+    """doc, row, start, end (packed): windows' spans that are to go. docs: doc, text, row (the text's hash), place (the doc's in bitmaps)."""
     spark = docs.sparkSession
     bitmap = spark.sparkContext.broadcast(shared_anchors(docs, bits))
 
@@ -362,12 +383,8 @@ def repeated_spans(docs: DataFrame, bits: int) -> DataFrame:
             size = size.astype(np.int64)
             begin = np.cumsum(size) - size
             found = Prints(text, begin, size, off)
-            order = np.lexsort((row, doc, found.two, found.one, found.key))
-            key, one, two = found.key[order], found.one[order], found.two[order]
-            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
-            n = np.diff(np.append(first, len(order)))
-            if not found.equal(order, np.repeat(order[first], n)):
-                first, n = np.arange(len(order)), np.ones(len(order), np.int64)
+            order, first, n = found.groups(bits)
+            key = found.key[order]
 
             def made() -> Iterator[tuple]:
                 where = _bucket(key[first], bits)
@@ -376,23 +393,25 @@ def repeated_spans(docs: DataFrame, bits: int) -> DataFrame:
                     many = n[lo:hi] > LOCAL
                     for i in np.flatnonzero(many) + lo:
                         at = order[first[i] : first[i] + n[i]]
-                        label = np.array([one[first[i]], two[first[i]]]).tobytes()
-                        yield _APART + int(mix(two[first[i] : first[i] + 1] ^ row[at[:1]].astype(np.uint64))[0] >> np.uint64(64 - bits)), b"", b"", label, b"", planes(np.diff(doc[at], prepend=0)), planes(np.diff(row[at], prepend=0)), planes(start[at])
+                        label = np.array([found.key[at[0]], found.value[at[0]]]).tobytes()
+                        yield _APART + int(mix(found.value[at[:1]] ^ doc[at[:1]].astype(np.uint64))[0] >> np.uint64(64 - bits)), b"", b"", label, b"", planes(doc[at]), planes(row[at]), planes(start[at])
                     least = order[first[lo:hi]]
                     inside = order[first[lo] : first[hi - 1] + n[hi - 1]]
                     kept = np.ones(len(inside), bool) & ~np.repeat(many, n[lo:hi])
                     kept[first[lo:hi] - first[lo]] = True
                     at = inside[kept]
                     count = np.where(many, 1, n[lo:hi])
-                    shown = start[at].copy()
-                    shown[(np.cumsum(count) - count)[many]] = -1  # a verdict is wanted
+                    shown, owner = start[at].copy(), doc[at].copy()
+                    wanted = (np.cumsum(count) - count)[many]
+                    shown[wanted] = -1  # a verdict is wanted
+                    owner[wanted] = np.minimum.reduceat(doc[order], first)[lo:hi][many]
                     packed = pa.compress(_gather(text, begin[least], size[least]).tobytes(), codec="zstd", asbytes=True)
-                    yield int(where[lo]), size[least].astype(np.uint8).tobytes(), off[least].tobytes(), packed, count.astype(np.uint8).tobytes(), planes(np.diff(doc[at], prepend=0)), planes(np.diff(row[at], prepend=0)), planes(shown)
+                    yield int(where[lo]), size[least].astype(np.uint8).tobytes(), off[least].tobytes(), packed, count.astype(np.uint8).tobytes(), planes(owner), planes(row[at]), planes(shown)
 
             yield from _batches(made(), _PIECES)
 
         for batch in batches:
-            ids, rows = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            ids, rows = batch.column(0).to_numpy(), row_marks(batch, twice.value)
             for lo, _, data, offsets in texts(batch, chunk=CHUNK):
                 found = Anchors(data, offsets)
                 if not len(found.at):
@@ -410,7 +429,7 @@ def repeated_spans(docs: DataFrame, bits: int) -> DataFrame:
         if held:
             yield from out()
 
-    pieces = docs.select("doc", "text", "row").mapInArrow(run, _PIECES_SQL)
+    pieces = docs.select("doc", "text", "row", "place").mapInArrow(run, _PIECES_SQL)
 
     def spans_of(doc: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple]:
         return [(_SPANS, where, None, planes(doc[at]), planes(row[at]), planes(start[at]), planes(end[at])) for where, at in _groups(_row_bucket(row, bits >> 1))]
@@ -425,28 +444,24 @@ def repeated_spans(docs: DataFrame, bits: int) -> DataFrame:
         size = np.concatenate(sizes)
         text = np.frombuffer(b"".join(pa.decompress(x, int(n.sum()), codec="zstd", asbytes=True) for x, n in zip(col("text"), sizes, strict=True)), np.uint8)
         n = np.concatenate([np.frombuffer(x, np.uint8) for x in col("n")]).astype(np.int64)
-        doc, row = (np.concatenate([np.cumsum(unplanes(x, np.int64)) for x in col(name)]) for name in ("doc", "row"))
+        doc, row = (np.concatenate([unplanes(x, np.int64) for x in col(name)]) for name in ("doc", "row"))
         start = np.concatenate([unplanes(x, np.int32) for x in col("start")])
         off = np.concatenate([np.frombuffer(x, np.uint8) for x in col("off")])
-        # Distinct pieces of all lots; of each lot the first occurrence has the least doc.
+        # Distinct pieces of all lots.
         begin = np.cumsum(size) - size
         found = Prints(text, begin, size, off)
-        order = np.lexsort((found.two, found.one, found.key))
-        key, one, two = found.key[order], found.one[order], found.two[order]
-        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+        order, first, copies = found.groups()
         sample = order[first]
-        if not found.equal(order, np.repeat(sample, np.diff(np.append(first, len(order))))):
-            sample, first = order, np.arange(len(order))
         distinct = np.empty(len(size), np.int64)
-        distinct[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        distinct[order] = np.repeat(np.arange(len(first)), copies)
         at_first = np.cumsum(n) - n
-        least = np.minimum.reduceat(doc[at_first][order], first)
+        least = np.minimum.reduceat(np.minimum.reduceat(doc, at_first)[order], first)
         windows = size[sample] - SPAN + 1
         offset = np.cumsum(windows) - windows
         best = least_documents(_gather(text, begin[sample], size[sample]), size[sample], least)
         out: list[tuple] = []
         for i in np.unique(distinct[np.flatnonzero(start[at_first] < 0)]):
-            label = np.array([found.one[sample[i]], found.two[sample[i]]]).tobytes()
+            label = np.array([found.key[sample[i]], found.value[sample[i]]]).tobytes()
             out.append((_VERDICT, bucket, label, planes(best[offset[i] : offset[i] + windows[i]]), None, None, None))
         piece = np.repeat(distinct, n)
         spans: list[tuple] = []
@@ -465,7 +480,7 @@ def repeated_spans(docs: DataFrame, bits: int) -> DataFrame:
     def late(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for best, d, r, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                best, doc, row, start = unplanes(best, np.int64), np.cumsum(unplanes(d, np.int64)), np.cumsum(unplanes(r, np.int64)), unplanes(s, np.int32)
+                best, doc, row, start = unplanes(best, np.int64), unplanes(d, np.int64), unplanes(r, np.int64), unplanes(s, np.int32)
                 which, step = np.repeat(np.arange(len(doc)), len(best)), np.tile(np.arange(len(best)), len(doc))
                 o, e = _runs(which, best[step] < doc[which])
                 yield _table(spans_of(doc[which[o]], row[which[o]], (start[which[o]] + step[o]).astype(np.int32), (start[which[e]] + step[e] + SPAN).astype(np.int32)), _JUDGED).combine_chunks().to_batches(max_chunksize=None)[0] if len(o) else pa.RecordBatch.from_pylist([], schema=_JUDGED)
@@ -490,17 +505,18 @@ def dedup_passages(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, kept (the remaining bytes) for each row of docs."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(8, int(total // BUCKET_BYTES).bit_length())
-    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    doc, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.coalesce(F.col("text"), F.lit(""))
+    slim = docs.select(doc.alias("doc"), text.alias("text"), F.xxhash64(text).alias("row"), F.shiftrightunsigned(F.xxhash64(doc), 64 - ROW_BITS).alias("place"), F.col("doc_id").cast("long").alias("doc_id"))
+    twice = bit_map(slim.groupBy("doc", "place").agg(F.count("*").alias("n")).where("n > 1").select("place"), ROW_BITS)
 
     def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for d, r, s, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(unplanes(d, np.int64)), pa.array(unplanes(r, np.int64)), pa.array(unplanes(s, np.int32)), pa.array(unplanes(e, np.int32))], names=["doc", "row", "start", "end"])
 
-    flat = repeated_spans(slim.select("doc", "text", "row"), bits).mapInArrow(unpack, "doc long, row long, start int, end int")
+    flat = repeated_spans(slim.drop("doc_id"), bits, twice).mapInArrow(unpack, "doc long, row long, start int, end int")
     per_row = materialize(flat.groupBy("doc", "row").agg(F.collect_set(F.struct("start", "end")).alias("s")).select("doc", "row", F.col("s.start").alias("start"), F.col("s.end").alias("end")))
-    place = F.shiftrightunsigned(F.xxhash64("doc", "row"), 64 - ROW_BITS)
-    touched = bit_map(per_row.select(place.alias("place")), ROW_BITS)
+    touched = bit_map(per_row.select(F.shiftrightunsigned(F.xxhash64("doc"), 64 - ROW_BITS).alias("place")), ROW_BITS)
     shape = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
     shape_sql = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
@@ -512,8 +528,7 @@ def dedup_passages(docs: DataFrame, keep_text: bool = True) -> DataFrame:
         return pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([],) * 5, shape.types[1:], strict=True))], schema=shape)
 
     def hits(batch: pa.RecordBatch) -> pa.Array:
-        at = batch.column(4).to_numpy()
-        return pa.array((touched.value[at >> 6] >> (at & 63)) & 1 == 1, pa.bool_())
+        return pa.array(_on(touched.value, batch.column(4).to_numpy()), pa.bool_())
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
@@ -526,7 +541,7 @@ def dedup_passages(docs: DataFrame, keep_text: bool = True) -> DataFrame:
             own = batch.filter(hits(batch))
             raw = [x.as_py().encode("utf-8", "surrogatepass") for x in own.column(1)]
             packed = pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in raw], pa.binary())
-            yield pa.RecordBatch.from_arrays([own.column(0), packed, pa.array([len(x) for x in raw], pa.int64()), own.column(2), own.column(3)], names=["doc_id", "packed", "n_bytes", "row", "doc"])
+            yield pa.RecordBatch.from_arrays([own.column(0), packed, pa.array([len(x) for x in raw], pa.int64()), pa.array(row_marks(own, twice.value)), own.column(3)], names=["doc_id", "packed", "n_bytes", "row", "doc"])
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
@@ -537,7 +552,7 @@ def dedup_passages(docs: DataFrame, keep_text: bool = True) -> DataFrame:
                 out.append(row_of(data, s.values.to_numpy() if s.is_valid else none, e.values.to_numpy() if s.is_valid else none))
             yield batch_of(batch.column(0), out)
 
-    source = slim.select("doc_id", "text", "row", "doc", place.alias("place"))
+    source = slim.select("doc_id", "text", "row", "doc", "place")
     packed = source.mapInArrow(pack, "doc_id long, packed binary, n_bytes long, row long, doc long")
     joined = packed.join(per_row, ["doc", "row"], "left").select("doc_id", "packed", "start", "end", "n_bytes")
     out = source.mapInArrow(whole, shape_sql).unionByName(joined.mapInArrow(finish, shape_sql))
