@@ -13,7 +13,8 @@ A suffix array of a whole corpus does not fit one task, so candidate text is cut
    the least doc_id goes there, and the occurrences to buckets of their own. False positives of the bitmap cost time, nothing else.
 3. Suffix arrays. A bucket's distinct pieces are sorted in two stages: suffixes smaller than their
    successors are sorted directly, all others are induced by one scan over the first-byte buckets. Neighbours
-   with a common prefix of SPAN bytes are equal windows; the least doc_id of each run decides.
+   with a common prefix of SPAN bytes are equal windows; the least doc_id of each run decides. Pieces are merged after a comparison of their
+   bytes, and the only distinct piece of an anchor has no windows to be compared with.
 4. Verdicts on pieces with many occurrences are joined to these, which Spark can split. All spans go back to their rows, are united and cut out. A row is known by its doc_id and, where rows share one, the hash of its text, which no
    split of a scan changes; rows that are equal in both have the same spans. Rows without a span are told by a bitmap of fixed size and do not travel.
 
@@ -335,7 +336,9 @@ class Prints:
         code = code[order]
         first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
         n = np.diff(np.append(first, len(order)))
-        if not self.equal(order, np.repeat(order[first], n)):  # two pieces of one print
+        again = np.ones(len(order), bool)
+        again[first] = False
+        if not self.equal(order[again], np.repeat(order[first], n - 1)):  # two pieces of one print
             return order, np.arange(len(order)), np.ones(len(order), np.int64)
         return order, first, n
 
@@ -384,7 +387,7 @@ def repeated_spans(docs: DataFrame, bits: int, twice) -> DataFrame:
             begin = np.cumsum(size) - size
             found = Prints(text, begin, size, off)
             order, first, n = found.groups(bits)
-            key = found.key[order]
+            key, flat = found.key[order], text.tobytes()
 
             def made() -> Iterator[tuple]:
                 where = _bucket(key[first], bits)
@@ -405,7 +408,8 @@ def repeated_spans(docs: DataFrame, bits: int, twice) -> DataFrame:
                     wanted = (np.cumsum(count) - count)[many]
                     shown[wanted] = -1  # a verdict is wanted
                     owner[wanted] = np.minimum.reduceat(doc[order], first)[lo:hi][many]
-                    packed = pa.compress(_gather(text, begin[least], size[least]).tobytes(), codec="zstd", asbytes=True)
+                    body = b"".join([flat[b : b + m] for b, m in zip(begin[least].tolist(), size[least].tolist(), strict=True)])
+                    packed = pa.compress(body, codec="zstd", asbytes=True)
                     yield int(where[lo]), size[least].astype(np.uint8).tobytes(), off[least].tobytes(), packed, count.astype(np.uint8).tobytes(), planes(owner), planes(row[at]), planes(shown)
 
             yield from _batches(made(), _PIECES)
@@ -458,7 +462,16 @@ def repeated_spans(docs: DataFrame, bits: int, twice) -> DataFrame:
         least = np.minimum.reduceat(np.minimum.reduceat(doc, at_first)[order], first)
         windows = size[sample] - SPAN + 1
         offset = np.cumsum(windows) - windows
-        best = least_documents(_gather(text, begin[sample], size[sample]), size[sample], least)
+        # Windows of an anchor's only piece have no equals elsewhere; the others are sorted.
+        best = np.repeat(least, windows)
+        by_key = np.argsort(found.key[sample], kind="stable")
+        owner = found.key[sample][by_key]
+        alone = np.concatenate([[True], owner[1:] != owner[:-1]]) & np.concatenate([owner[1:] != owner[:-1], [True]])
+        several = np.sort(by_key[~alone])
+        if len(several):
+            s, w = sample[several], windows[several]
+            got = least_documents(_gather(text, begin[s], size[s]), size[s], least[several])
+            best[np.repeat(offset[several] - (np.cumsum(w) - w), w) + np.arange(len(got))] = got
         out: list[tuple] = []
         for i in np.unique(distinct[np.flatnonzero(start[at_first] < 0)]):
             label = np.array([found.key[sample[i]], found.value[sample[i]]]).tobytes()
