@@ -196,6 +196,12 @@ def byte_preview(text: Column, limit: int) -> Column:
     return F.try_validate_utf8(F.substring(F.encode(text, "UTF-8"), 1, limit).cast("string"))
 
 
+def byte_cap(text: Column, limit: int) -> Column:
+    """The first limit bytes of a text, less the character that the cut splits."""
+    cut = lambda n: F.try_validate_utf8(F.substring(F.encode(text, "UTF-8"), 1, n).cast("string"))
+    return F.when(F.octet_length(text) <= limit, text).otherwise(F.coalesce(*[cut(limit - i) for i in range(min(4, limit + 1))], F.lit("")))
+
+
 def first_lines(text: Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(text, "\n"), 1, n), "\n")
 
@@ -216,6 +222,18 @@ def literal_kind(text: Column) -> Column:
     return F.when(text.try_cast("bigint").isNotNull(), "int").when(text.try_cast("double").isNotNull(), "double").when(F.lower(text).isin("true", "false"), "bool").otherwise("string")
 
 
+def literal_value(text: Column) -> Column:
+    """kind and the typed value (whole, real, truth, string; the others null) of a literal."""
+    kind = literal_kind(text)
+    pick = lambda name, value: F.when(kind == name, value)
+    return F.struct(kind.alias("kind"), pick("int", text.try_cast("bigint")).alias("whole"), pick("double", text.try_cast("double")).alias("real"), pick("bool", F.lower(text) == "true").alias("truth"), pick("string", text).alias("string"))
+
+
+def literal_text(value: Column) -> Column:
+    """A typed value as text again."""
+    return F.coalesce(value["whole"].cast("string"), value["real"].cast("string"), value["truth"].cast("string"), value["string"])
+
+
 def metadata_of(json: Column) -> Column:
     """A JSON object of scalars as a string map; null where it is none."""
     return F.from_json(json, "map<string,string>")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import alias_norm
 from ..store import ENTITY, MAX_MS, Facts
+from .state import dense_ids
 
 
 def holds_at(start: str, end: str, at: Column) -> Column:
@@ -90,30 +91,80 @@ def structured_lane(store: Facts, queries: DataFrame, as_of_ms: int, max_facts:
     return evidence_frames(store, mine, max_frames, ["query_id"]).select("query_id", F.col("source_frame_id").alias("frame_id"), "rank")
 
 
+def _numbered(rows: DataFrame, order: list[str], table: DataFrame, column: str) -> DataFrame:
+    """rows with column, consecutive after the largest of table, without one task for all rows."""
+    last = table.agg(F.coalesce(F.max(column), F.lit(0)).alias("_last"))  # one row
+    return dense_ids(rows, order, 1).crossJoin(F.broadcast(last)).withColumn(column, F.col("_last") + F.col("frame_id")).drop("frame_id", "_last")
+
+
 def upsert_entities(entity: DataFrame, fresh: DataFrame) -> DataFrame:
     """entity with new keys of fresh (key, kind) added after the largest id; an empty stored kind is filled in."""
     new = fresh.groupBy("key").agg(F.max("kind").alias("new_kind"))
     kept = entity.join(new, "key", "left").withColumn("kind", F.coalesce(F.when(F.col("kind") != "", F.col("kind")), F.col("new_kind"), F.lit(""))).select("entity_id", "key", "kind")
-    last = entity.agg(F.coalesce(F.max("entity_id"), F.lit(0)).alias("last"))
-    added = new.join(entity.select("key"), "key", "left_anti")
-    ids = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("key"))  # dense ids of new keys only
-    return kept.unionByName(added.crossJoin(F.broadcast(last)).select((F.col("last") + ids).alias("entity_id"), "key", F.coalesce("new_kind", F.lit("")).alias("kind")))
+    added = _numbered(new.join(entity.select("key"), "key", "left_anti"), ["key"], entity, "entity_id")
+    return kept.unionByName(added.select("entity_id", "key", F.coalesce("new_kind", F.lit("")).alias("kind")))
+
+
+def upsert_aliases(alias: DataFrame, entity: DataFrame, fresh: DataFrame) -> DataFrame:
+    """alias with those of fresh (key, alias) whose entity has no alias of the same folded form yet; the first spelling stays."""
+    named = fresh.join(entity.select("entity_id", "key"), "key").select("entity_id", "alias", alias_norm("alias").alias("alias_norm"))
+    new = named.groupBy("entity_id", "alias_norm").agg(F.min("alias").alias("alias")).join(alias.select("entity_id", "alias_norm"), ["entity_id", "alias_norm"], "left_anti")
+    return alias.select("entity_id", "alias", "alias_norm").unionByName(new.select("entity_id", "alias", "alias_norm"))
+
+
+def span_hash(fact: Column, valid_from: Column, valid_to: Column, system_from: Column) -> Column:
+    """What makes a span the same: its fact, valid range (-1 for an open end) and start in the system, as SHA-256 of decimal numbers."""
+    return F.sha2(F.concat_ws("|", *[x.cast("string") for x in (fact, valid_from, F.coalesce(valid_to, F.lit(-1)), system_from)]), 256)
+
 
+def bad_ranges(fresh: DataFrame) -> DataFrame:
+    """Rows whose valid range is empty or backward: they are refused."""
+    return fresh.where(F.col("valid_to_ms") <= F.col("valid_from_ms"))
 
-def assert_facts(known: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Facts of fresh (fact_hash, valid_from_ms, valid_to_ms, ...) that known has not; ranges must not be empty or backward."""
+
+def assert_facts(store: Facts, fresh: DataFrame) -> Facts:
+    """The store after fresh facts (subject, predicate, object_kind, object_text, valid_from_ms, valid_to_ms, system_from_ms, source_frame_id, confidence).
+
+    Missing subjects and predicates are created, facts that are there already (same subject, predicate, kind and value) and spans of
+    the same key are not repeated, evidence is appended each time. Rows of bad_ranges go.
+    """
     ok = fresh.where(F.col("valid_to_ms").isNull() | (F.col("valid_to_ms") > F.col("valid_from_ms")))
-    return ok.dropDuplicates(["fact_hash"]).join(known.select("fact_hash"), "fact_hash", "left_anti")
+    entity = upsert_entities(store.entity, ok.select(F.col("subject").alias("key"), F.lit("").alias("kind")))
+    names = ok.select(F.col("predicate").alias("key")).distinct().join(store.predicate.select("key"), "key", "left_anti")
+    predicate = store.predicate.unionByName(_numbered(names, ["key"], store.predicate, "predicate_id").select("predicate_id", "key"))
+    keyed = ok.join(entity.select(F.col("entity_id").alias("subject_id"), F.col("key").alias("subject")), "subject").join(predicate.select("predicate_id", F.col("key").alias("predicate")), "predicate")
+    same = ["subject_id", "predicate_id", "object_kind", "object_text"]
+    new = keyed.select(*same).distinct().join(store.fact.select(*same), same, "left_anti")
+    columns = store.fact.columns
+    added = _numbered(new, same, store.fact, "fact_id")
+    fact = store.fact.unionByName(added.select(*[F.col(c) if c in added.columns else F.lit(None).cast(store.fact.schema[c].dataType).alias(c) for c in columns]))
+    told = keyed.join(fact.select("fact_id", *same), same)
+    key = ["fact_id", "valid_from_ms", "system_from_ms", F.coalesce("valid_to_ms", F.lit(-1)).alias("_to")]
+    spans = told.select(*key, "valid_to_ms").distinct().join(store.span.select(*key), ["fact_id", "valid_from_ms", "system_from_ms", "_to"], "left_anti")
+    spans = _numbered(spans, ["fact_id", "valid_from_ms", "system_from_ms", "_to"], store.span, "span_id").withColumn("system_to_ms", F.lit(None).cast("long"))
+    proof = told.where(F.col("source_frame_id").isNotNull()).select("fact_id", F.lit(None).cast("long").alias("span_id"), "source_frame_id", "confidence", F.col("system_from_ms").alias("asserted_at_ms"))
+    return Facts(entity, store.alias, predicate, fact, store.span.unionByName(spans.select(*store.span.columns)), store.evidence.unionByName(proof))
 
 
 def retract(span: DataFrame, retractions: DataFrame) -> DataFrame:
-    """span with the open system ranges of retracted facts (fact_id, at_ms) closed; again or before the start changes nothing."""
+    """span with the open system ranges of retracted facts (fact_id, at_ms) closed; a second time changes nothing, nor do rows of retract_errors."""
     first = retractions.groupBy("fact_id").agg(F.min("at_ms").alias("_at"))
     joined = span.join(first, "fact_id", "left")
     close = F.col("system_to_ms").isNull() & (F.col("_at") > F.col("system_from_ms"))
     return joined.withColumn("system_to_ms", F.when(close, F.col("_at")).otherwise(F.col("system_to_ms"))).select(*span.columns)
 
 
+def retract_errors(span: DataFrame, retractions: DataFrame) -> DataFrame:
+    """fact_id, at_ms of retractions that come no later than the start of an open span: callers raise on them."""
+    open_ = span.where(F.col("system_to_ms").isNull()).groupBy("fact_id").agg(F.max("system_from_ms").alias("_from"))
+    return retractions.join(open_, "fact_id").where(F.col("at_ms") <= F.col("_from")).select("fact_id", "at_ms")
+
+
+def distinct_facts(facts: DataFrame, limit: int) -> DataFrame:
+    """Each fact once, the first by id."""
+    return facts.dropDuplicates(["fact_id"]).orderBy("fact_id").limit(limit)
+
+
 def latest_values(log: DataFrame) -> DataFrame:
     """entity, attribute, value, version of a log (sequence, entity, attribute, op, value): upserts count versions, a removal starts anew."""
     w = Window.partitionBy("entity", "attribute").orderBy("sequence")

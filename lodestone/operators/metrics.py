@@ -17,6 +17,11 @@ def retrieval(hits: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     return per.agg(F.round(F.avg(F.col("found") / F.col("wanted")), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("mrr"), F.count("*").alias("queries"))
 
 
+def mean_judgement(scores: DataFrame, value: str = "score") -> DataFrame:
+    """One row: the mean of a judge's scores and how many there are."""
+    return scores.agg(F.round(F.avg(value), 6).alias("mean"), F.count(value).alias("n"))
+
+
 def token_f1(pairs: DataFrame, key: str = "id") -> DataFrame:
     """key, precision, recall, f1 of the token multisets of answer and expected."""
     bag = lambda c: pairs.select(key, F.explode(tx.tokens(F.col(c))).alias("t")).groupBy(key, "t").agg(F.count("*").alias(c))

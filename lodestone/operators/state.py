@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,14 +55,28 @@ def merge_access_stats(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new).groupBy("frame_id").agg(F.sum("accesses").alias("accesses"), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the folder of spark.checkpoint.dir and read from there; a temporary one only in local mode without that setting."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if context.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all its machines share")
+            folder = tempfile.mkdtemp(prefix="lodestone-")
+            atexit.register(shutil.rmtree, folder, True)
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def dense_ids(rows: DataFrame, order: list[str], start: int = 0) -> DataFrame:
     """rows with frame_id, consecutive from start in the given order, without one task for all rows.
 
-    Rows are counted per range partition and partition offsets are added; callers write the result before reading it twice.
+    Rows are counted per range partition and partition offsets are added; numbered rows are written to the checkpoint folder first, so the split is the same for both.
     """
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     at = F.monotonically_increasing_id()
-    placed = placed.withColumn("_part", F.shiftright(at, 33)).withColumn("_at", at.bitwiseAND((1 << 33) - 1)).persist()
+    placed = cut(placed.withColumn("_part", F.shiftright(at, 33)).withColumn("_at", at.bitwiseAND((1 << 33) - 1)))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
     return placed.join(F.broadcast(before.select("_part", "_base")), "_part").withColumn("frame_id", F.lit(start) + F.col("_base") + F.col("_at")).drop("_part", "_at", "_base")

@@ -1,7 +1,7 @@
 """The registered queries and the SQL each one must agree with.
 
 Each query applies an operator to whole test tables. Its SQL is written for another engine, from the operator's
-definition. Queries without SQL are held to brute force in the tests.
+definition. Queries without SQL are held to examples or brute force in the tests.
 """
 
 from __future__ import annotations
@@ -869,3 +869,6 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
 @query("lane_rank", "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events")
 def lane_rank(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id")).alias("rank"))
+
+
+from . import records  # noqa: E402, F401  registers its queries here

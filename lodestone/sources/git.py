@@ -55,7 +55,9 @@ class _Reader(DataSourceReader):
         self.options = dict(options)
 
     def read(self, partition) -> Iterator[tuple]:
-        path, most = self.options["path"], int(self.options.get("maxCount", 1000))
+        path, most = self.options["path"], int(self.options.get("maxCount", -1))  # all of them, unless told otherwise
+        if self.options.get("since", "").startswith("-"):
+            raise ValueError("since must name a commit")
         since = [f"{self.options['since']}..HEAD"] if self.options.get("since") else []
         run = lambda *a: subprocess.run(["git", "-C", path, *a], capture_output=True, text=True, check=True, errors="replace").stdout
         for record in run("log", "--no-merges", f"--max-count={most}", "--format=%H%x1f%h%x1f%an%x1f%aI%x1f%s%x1f%b%x1e", *since).split("\x1e"):
