@@ -1,25 +1,22 @@
 r"""BPE encoding and decoding by a tokenization automaton.
 
 The merge list is compiled, gadget by gadget, into a deterministic automaton over tokens that accepts exactly the
-token sequences BPE produces. Start: one state, an arc for every base symbol. The gadget of merge ``u v -> w``
-splits the target of the u arcs, takes the v arc off the copy, and adds w arcs wherever u then v could be read,
-leading where v led. By induction every arc with label t leads to one state, T(t), so a state is its last token,
-and an arc is on or off. Writing the gadgets' effect on one arc (t, x) backwards gives
+token sequences BPE produces. Start: one state before any token and one after each, with arcs for all base symbols. All arcs with a label lead to the label's
+state, so the automaton is a table of bits, a row for each state and a column for each label. The gadget of merge ``u v -> w``, where u may be followed by v,
 
-    off(t, x, before) = the merge (t, x) has come, or
-                        off(t, left(x), born(x) + 1)  if x was born after t   (x copies the arc of its left part; for
-                                                   a merge u u -> w the arc u after u has just gone)
-                        off(right(t), x, born(t))  if t was born after x   (T(t) copies the state of its right part)
+    makes w's state, a copy of v's,
+    takes the arc v off u's state,
+    adds the arc w to all states that then have the arc u.
 
-Arcs are worked out by this recurrence on first use and kept in the transition table (the full table has a cell
-for each pair of tokens). A word is encoded left to right: for each prefix the table tells which one token
-that ends there may follow the state of the prefix before it. Decoding emits the labels of the arcs taken.
+The driver compiles the table once; it is sent packed, and has at most a bit for each pair of tokens of the vocabulary. A word is
+encoded in one pass from left to right: a finder of all tokens names those that end at each place, and of these exactly one
+has an arc from the state of the place where it begins. That state is the place's, and no place is visited again. Decoding emits the labels of the arcs taken.
 
 Normalising and cutting texts into words follows the tokenizer file (NFC, lower case, its split pattern); texts
-are cut at white space first, so that each distinct piece is worked out once per worker.
+are cut at white space first, so that each distinct piece is worked out once per worker, as far as its table of pieces has room.
 
-Nulls: a null text is empty and has no tokens. Texts may be of any length; rows are encoded one by one, so ties and
-repeated rows need no rule. Other columns are ignored.
+Nulls: a null or empty text has no tokens; an empty table gives an empty result. Texts may be of any length; rows are encoded one by one, so ties and
+repeated rows need no rule. Other columns are ignored, or passed through untouched by encode and decode.
 """
 
 from __future__ import annotations
@@ -31,6 +28,7 @@ import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,10 +36,11 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-#: Distinct white-space pieces that a worker remembers; when full, the table starts anew.
+#: Distinct white-space pieces, and their tokens, that a worker remembers; when full, the table starts anew.
 REMEMBER = 400_000
-#: Arcs that a worker remembers.
-ARCS = 2_000_000
+REMEMBER_TOKENS = 2_000_000
+#: What a word ends with for the finder of tokens; no byte.
+_END = "\u0100"
 
 
 def byte_symbols() -> list[str]:
@@ -58,107 +57,81 @@ def byte_symbols() -> list[str]:
 
 
 class TokenAutomaton:
-    """The automaton of one vocabulary and merge list."""
+    """The automaton of one vocabulary and merge list: compiled, or read from what packed() gave."""
+
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], word_end: str, packed: bytes | None = None) -> None:
+        import ahocorasick
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], word_end: str) -> None:
-        self.vocab, self.word_end = vocab, word_end
         self.label = {i: t for t, i in vocab.items()}
         symbols = byte_symbols()
-        self.base = [vocab[s] for s in symbols]
-        self.base_end = [vocab[s + word_end] for s in symbols]
-        self.rule: dict[tuple[int, int], int] = {}
-        self.left: dict[int, int] = {}
-        self.right: dict[int, int] = {}
-        self.born = dict.fromkeys(vocab.values(), -1)
-        for rank, (u, v) in enumerate(merges):
-            a, b, w = vocab[u], vocab[v], vocab[u + v]
-            self.rule[a, b] = rank
-            if w not in self.left:
-                self.left[w], self.right[w], self.born[w] = a, b, rank
-        for (a, b), rank in self.rule.items():
-            if max(self.born[a], self.born[b]) >= rank:
-                raise ValueError(f"merge {rank} uses a token that is not there yet")
-        # Tokens by their spelling in bytes: what may end at a place, longest first.
-        back = {s: b for b, s in enumerate(symbols)}
-        self.inner: dict[bytes, int] = {}
-        self.last: dict[bytes, int] = {}
+        base = [vocab[x] for x in symbols]
+        base_end = [vocab[x + word_end] for x in symbols]
+        rules = [(vocab[u], vocab[v], vocab[u + v], not v.endswith(word_end) or v == word_end) for u, v in merges]
+        made = set(base) | set(base_end)
+        for a, b, w, _ in rules:
+            if a not in made or b not in made:
+                raise ValueError(f"the merge into token {w} uses one that is not there yet")
+            made.add(w)
+        # Rows of the table: the start, then tokens that do not end a word, in the order they come up.
+        inside = list(dict.fromkeys([*base, *(w for *_, w, inner in rules if inner)]))
+        self.row = {x: i + 1 for i, x in enumerate(inside)}
+        width = (max(vocab.values()) >> 3) + 1
+        shape = (len(inside) + 1, width)
+        table = self._compiled(shape, base, base_end, rules) if packed is None else np.frombuffer(pa.decompress(packed, shape[0] * width, codec="zstd", asbytes=True), np.uint8).reshape(shape)
+        self.table = np.ascontiguousarray(table)
+        self.rows = {x: memoryview(self.table[i]) for x, i in self.row.items()} | {-1: memoryview(self.table[0])}
+        back = {c: chr(b) for b, c in enumerate(symbols)}
+        self.finder = ahocorasick.Automaton()
         for t, i in vocab.items():
             end = t.endswith(word_end) and len(t) > len(word_end)
             body = t[: -len(word_end)] if end else t
-            if self.born[i] < 0 and i not in (*self.base, *self.base_end):
-                continue
-            if all(c in back for c in body):
-                (self.last if end else self.inner)[bytes(back[c] for c in body)] = i
-        self.reach: dict[bytes, int] = {}  # the longest spelling with these first bytes
-        for body in (*self.inner, *self.last):
-            self.reach[body[:2]] = max(len(body), self.reach.get(body[:2], 1))
-        self.arcs: dict[tuple[int, int], bool] = {}
-        self.known: dict[bytes, tuple[int, ...]] = {}
-
-    def off(self, t: int, x: int, before: int) -> bool:
-        rank = self.rule.get((t, x))
-        if rank is not None and rank < before:
-            return True
-        bt, bx = self.born[t], self.born[x]
-        if bt < 0 and bx < 0:
-            return False
-        if bx >= bt:
-            if bx >= before:
-                return True  # the token does not exist yet
-            return self.off(t, self.left[x], bx + 1) if bx > bt else self.off(self.right[t], self.left[x], bx)
-        return True if bt >= before else self.off(self.right[t], x, bt)
+            if i in made and all(c in back for c in body):
+                spelling = "".join(back[c] for c in body) + (_END if end else "")
+                self.finder.add_word(spelling, (i, len(spelling)))
+        self.finder.make_automaton()
+
+    def _compiled(self, shape: tuple[int, int], base: list[int], base_end: list[int], rules: list[tuple[int, int, int, bool]]) -> np.ndarray:
+        table = np.zeros(shape, np.uint8)
+        there = len(base) + 1
+        for x in (*base, *base_end):
+            table[:there, x >> 3] |= np.uint8(1 << (x & 7))
+        known = set(base)
+        for u, v, w, inner in rules:
+            at = self.row[u]
+            if not table[at, v >> 3] >> (v & 7) & 1:
+                continue  # u is never followed by v any more
+            if inner and w not in known:
+                known.add(w)
+                table[self.row[w]] = table[self.row[v]]
+                there = max(there, self.row[w] + 1)
+            table[at, v >> 3] &= np.uint8(~(1 << (v & 7)) & 255)
+            table[:there, w >> 3] |= (table[:there, u >> 3] >> np.uint8(u & 7) & np.uint8(1)) << np.uint8(w & 7)
+        return table
+
+    def packed(self) -> bytes:
+        return pa.compress(self.table.tobytes(), codec="zstd", asbytes=True)
 
     def arc(self, t: int, x: int) -> bool:
-        """Whether x may follow t in a tokenization."""
-        on = self.arcs.get((t, x))
-        if on is None:
-            if len(self.arcs) >= ARCS:
-                self.arcs.clear()
-            on = self.arcs[t, x] = not self.off(t, x, len(self.rule) + 1)
-        return on
+        """Whether x may follow t (-1: the start) in a tokenization."""
+        return t in self.rows and bool(self.rows[t][x >> 3] >> (x & 7) & 1)
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
-        """The one path that spells the word: longest arcs first, back from places where no arc fits.
-
-        Each prefix has one path, so a place that leads nowhere is dead for good.
-        """
-        n = len(word)
-        inner, last, arcs, reach = self.inner, self.last, self.arcs, self.reach
-        path: list[int] = []
-        ends = [0]
-        dead: set[int] = set()
-        at, size = 0, min(n, reach.get(word[:2], 1))
-        while at < n:
-            t = path[-1] if path else -1
-            while size:
-                end = at + size
-                x = last.get(word[at:]) if end == n else inner.get(word[at:end])
-                if x is not None and end not in dead and self._is_whole(x):
-                    if t < 0 or (on := arcs.get((t, x))) or (on is None and self.arc(t, x)):
-                        break
-                size -= 1
-            if size:
-                path.append(x)
-                ends.append(end)
-                at = end
-                size = min(n - at, reach.get(word[at : at + 2], 1))
-            else:
-                dead.add(at)
-                path.pop()
-                ends.pop()
-                size = at - ends[-1] - 1
-                at = ends[-1]
-        return tuple(path)
-
-    def _is_whole(self, x: int) -> bool:
-        """Whether x is reached at all: its parts must form a path of the automaton when it is born."""
-        if self.born[x] < 0:
-            return True
-        on = self.arcs.get((-1, x))
-        if on is None:
-            a, b = self.left[x], self.right[x]
-            on = self.arcs[-1, x] = self._is_whole(a) and self._is_whole(b) and not self.off(a, b, self.born[x])
-        return on
+        """The tokens of a word, from the token that ends at each of its places."""
+        n = len(word) + 1
+        rows = self.rows
+        last, size = [-2] * (n + 1), [0] * (n + 1)
+        state: list = [None] * (n + 1)
+        state[0] = rows[-1]
+        for end, (x, m) in self.finder.iter(word.decode("latin-1") + _END):
+            at = end + 1
+            if last[at] == -2 and (row := state[at - m]) is not None and row[x >> 3] >> (x & 7) & 1:
+                last[at], size[at] = x, m
+                state[at] = rows.get(x)
+        out = []
+        while n:
+            out.append(last[n])
+            n -= size[n]
+        return tuple(out[::-1])
 
 
 #: White space of the split pattern; str.split() also cuts at \x1c-\x1f, which the pattern does not.
@@ -169,7 +142,7 @@ _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 class Tokenizer:
     """Encodes and decodes as the tokenizer file says."""
 
-    def __init__(self, spec: dict) -> None:
+    def __init__(self, spec: dict, packed: bytes | None = None) -> None:
         import regex
         import tokenizers
 
@@ -179,12 +152,13 @@ class Tokenizer:
         self.bytes_of = {s: b for b, s in enumerate(byte_symbols())}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.automaton = TokenAutomaton(model["vocab"], merges, model["end_of_word_suffix"])
+        self.automaton = TokenAutomaton(model["vocab"], merges, model["end_of_word_suffix"], packed)
         self.names = {**self.automaton.label, **{i: t for t, i in self.added.items()}}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.special = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
     def piece(self, piece: str) -> tuple[int, ...]:
         """Token ids of a piece without white space."""
@@ -195,12 +169,14 @@ class Tokenizer:
             words = [bytes(self.bytes_of[c] for c in w) for w, _ in self.cutter.pre_tokenize_str(self.normalizer.normalize_str(piece))]
         for word in words:
             out.extend(self.automaton.encode_word(word))
-        if len(self.pieces) >= REMEMBER:
-            self.pieces.clear()
+        got = tuple(out)
         if len(piece) <= 64:
-            self.pieces[piece] = (got := tuple(out))
-            return got
-        return tuple(out)
+            if len(self.pieces) >= REMEMBER or self.held >= REMEMBER_TOKENS:
+                self.pieces.clear()
+                self.held = 0
+            self.pieces[piece] = got
+            self.held += len(got)
+        return got
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -225,26 +201,40 @@ class Tokenizer:
 _loaded: dict[str, Tokenizer] = {}
 
 
-def load(spec: str) -> Tokenizer:
+def load(spec: str, packed: bytes | None = None) -> Tokenizer:
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in _loaded:
-        _loaded[key] = Tokenizer(json.loads(spec))
+        _loaded[key] = Tokenizer(json.loads(spec), packed)
     return _loaded[key]
 
 
+def sent(spark: SparkSession, path: str):
+    """The tokenizer file and the compiled table, read and made on the driver, for the workers (a vocabulary has a fixed size)."""
+    with open(path, encoding="utf-8") as f:
+        spec = f.read()
+    key = hashlib.sha256(spec.encode()).hexdigest()
+    if key not in _tables:
+        model = json.loads(spec)["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        _tables[key] = TokenAutomaton(model["vocab"], merges, model["end_of_word_suffix"]).packed()
+    return spark.sparkContext.broadcast((spec, _tables[key]))
+
+
+_tables: dict[str, bytes] = {}
+
+
 def read_spec(path: str) -> str:
-    """The tokenizer file, read on the driver and sent to the workers (a vocabulary has a fixed size)."""
     with open(path, encoding="utf-8") as f:
         return f.read()
 
 
 def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """df with ids, an array of token ids."""
-    spec = df.sparkSession.sparkContext.broadcast(read_spec(path))
+    spec = sent(df.sparkSession, path)
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokenizer = load(spec.value)
+        tokenizer = load(*spec.value)
         for batch in batches:
             yield pd.Series([tokenizer.encode(t or "") for t in batch])
 
@@ -253,11 +243,11 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """df with decoded, the text of an array of token ids."""
-    spec = df.sparkSession.sparkContext.broadcast(read_spec(path))
+    spec = sent(df.sparkSession, path)
 
     @F.pandas_udf("string")
     def back(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokenizer = load(spec.value)
+        tokenizer = load(*spec.value)
         for batch in batches:
             yield pd.Series([tokenizer.decode(x if x is not None else ()) for x in batch])
 
@@ -266,11 +256,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 def token_digests(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_tokens, ids_sha256, decoded_sha256: encoding and decoding in one pass, without the ids leaving the worker."""
-    spec = df.sparkSession.sparkContext.broadcast(read_spec(path))
+    spec = sent(df.sparkSession, path)
     shape = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("a", pa.string()), ("b", pa.string())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(spec.value)
+        tokenizer = load(*spec.value)
         for batch in batches:
             n, a, b = [], [], []
             for value in batch.column(1):

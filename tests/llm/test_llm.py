@@ -167,6 +167,22 @@ def test_automaton_of_few_merges():
 
     import itertools
 
+    # The table: w may follow t if merging t and w by rank leaves them as they are.
+    spelled = {t: i for t, i in vocab.items() if t in {"a", "b", "aa", "ab", "aab", "aaaa", "b</w>", "a</w>", "ba</w>", "ab</w>", "abab</w>"}}
+    again = bpe.TokenAutomaton(vocab, merges, "</w>", machine.packed())
+    assert (again.table == machine.table).all()
+
+    def leaves(*tokens):
+        flat = "".join(tokens)
+        if not flat.endswith("</w>"):
+            flat += "z</w>"
+            return by_rank(flat[:-4])[:-1] == list(tokens)
+        return by_rank(flat[:-4]) == list(tokens)
+
+    for t in spelled:
+        for x in spelled:
+            if not t.endswith("</w>") and leaves(t):
+                assert machine.arc(vocab[t], vocab[x]) == leaves(t, x), (t, x)
     for n in range(1, 8):
         for w in map("".join, itertools.product("ab", repeat=n)):
             assert [machine.label[i] for i in machine.encode_word(w.encode())] == by_rank(w), w
