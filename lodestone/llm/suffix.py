@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import bit_map, documents, materialize, mix, planes, steady_heap, texts, unplanes
 
-SPAN, GRAM = 50, 16
+SPAN, GRAM = 50, 24
 WINDOW = SPAN - GRAM + 1
 PIECE = 2 * SPAN - GRAM
 FILTER_BITS = 27
@@ -387,7 +387,7 @@ def repeated_spans(docs: DataFrame, bits: int, twice) -> DataFrame:
             begin = np.cumsum(size) - size
             found = Prints(text, begin, size, off)
             order, first, n = found.groups(bits)
-            key, flat = found.key[order], text.tobytes()
+            key, flat, earliest = found.key[order], text.tobytes(), np.minimum.reduceat(doc[order], first)
 
             def made() -> Iterator[tuple]:
                 where = _bucket(key[first], bits)
@@ -407,7 +407,7 @@ def repeated_spans(docs: DataFrame, bits: int, twice) -> DataFrame:
                     shown, owner = start[at].copy(), doc[at].copy()
                     wanted = (np.cumsum(count) - count)[many]
                     shown[wanted] = -1  # a verdict is wanted
-                    owner[wanted] = np.minimum.reduceat(doc[order], first)[lo:hi][many]
+                    owner[wanted] = earliest[lo:hi][many]
                     body = b"".join([flat[b : b + m] for b, m in zip(begin[least].tolist(), size[least].tolist(), strict=True)])
                     packed = pa.compress(body, codec="zstd", asbytes=True)
                     yield int(where[lo]), size[least].astype(np.uint8).tobytes(), off[least].tobytes(), packed, count.astype(np.uint8).tobytes(), planes(owner), planes(row[at]), planes(shown)
