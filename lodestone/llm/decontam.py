@@ -4,10 +4,11 @@ Texts and items are lower-cased (A-Z) and cut into words [^\x00-\x2F\x3A-\x60\x7
 consecutive item words (an item of fewer, but not none, is one window). A document word inside any occurrence of
 a window is hit; its place in the original text is kept.
 
-The automaton holds items of up to MAX_BYTES of normalised text; a larger benchmark is cut into such blocks of
-whole items, each with an automaton and a scan of its own, so what is broadcast has a bound.
+The automaton holds items of up to MAX_BYTES of text; a larger benchmark is cut into such blocks of
+whole items, each with an automaton and a pass of its own over what the one before wrote. One block is read, broadcast and held at a time, so
+neither the driver nor what is sent grows with the benchmark (one longer item is a block).
 
-Nulls: a null text or item has no words. A null item_id never counts as an item, but its windows hit. Repeated
+Nulls: a null or empty text or item has no words; texts may be of any length; empty tables give empty results, or no hits. A null item_id never counts as an item, but its windows hit. Repeated
 items count once per item_id, repeated documents are judged row by row. Other columns are ignored.
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, materialize
 
 WINDOW = 10
 #: Normalised item bytes that one automaton holds.
@@ -98,60 +99,76 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tupl
     yield block
 
 
+def _one_by_one(spark: SparkSession, benchmark: DataFrame, item_id: str) -> Iterator[tuple[object, bool]]:
+    """Each block, broadcast, and whether it is the last; the one before is given up when the next is asked for."""
+    blocks = _blocks(benchmark, item_id, "text")
+    block, sent = next(blocks), None
+    while block is not None:
+        following = next(blocks, None)
+        if sent is not None:
+            sent.unpersist()
+        sent = spark.sparkContext.broadcast(block)
+        yield sent, following is None
+        block = following
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id", item_id: str = "item_id", with_spans: bool = True) -> DataFrame:
     """key, n_words, n_hit, items (sorted as strings), spans of hit words in the original text."""
-    spark = docs.sparkSession
     shape = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
-    slim = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item_id, "text")]
-    made: dict[int, object] = {}
-
-    def automata() -> Iterator:
-        for b, block in enumerate(blocks):
-            if len(blocks) > 1:
-                made.clear()  # one automaton at a time
-            if b not in made:
-                made[b] = build(block.value, window)
-            yield made[b]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bodies = [x or "" for x in batch.column(1).to_pylist()]
-            got: list = [None] * len(bodies)
-            for automaton in automata():
-                for i, body in enumerate(bodies):
-                    n, hit, found = scan(automaton, body)
-                    got[i] = (n, hit, found) if got[i] is None else (n, hit | got[i][1], found | got[i][2])
-            out = []
-            for k, body, (n, hit, found) in zip(batch.column(0).to_pylist(), bodies, got, strict=True):
-                n_hit = int(hit.sum())
-                out.append((k, n, n_hit, sorted(str(x) for x in found if x is not None), spans(body, hit) if n_hit and with_spans else []))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([],) * 5, shape.types, strict=True)], schema=shape)
-
-    got = slim.mapInArrow(run, "key long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>")
-    return got.withColumnRenamed("key", key)
+    middle = pa.schema([("key", pa.int64()), ("text", pa.string()), ("hits", pa.binary()), ("items", pa.list_(pa.string()))])
+    df = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+
+    def pass_over(sent, last: bool):
+        made: list = []
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if not made:
+                made.append(build(sent.value, window))
+            for batch in batches:
+                out: list[tuple] = []
+                for k, body, hits, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    n, hit, found = scan(made[0], body or "")
+                    names = {str(x) for x in found if x is not None} | set(items or ())
+                    if hits is not None:
+                        hit = hit | np.unpackbits(np.frombuffer(hits, np.uint8))[:n].astype(bool)
+                    n_hit = int(hit.sum())
+                    if last:
+                        out.append((k, n, n_hit, sorted(names), spans(body or "", hit) if n_hit and with_spans else []))
+                    else:
+                        out.append((k, body, np.packbits(hit).tobytes() if n_hit else hits, sorted(names)))
+                to = shape if last else middle
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([],) * len(to), to.types, strict=True)], schema=to)
+
+        return run
+
+    for sent, last in _one_by_one(docs.sparkSession, benchmark, item_id):
+        if last:
+            df = df.mapInArrow(pass_over(sent, last), "key long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>")
+        else:
+            df = materialize(df.mapInArrow(pass_over(sent, last), "key long, text string, hits binary, items array<string>"))
+    return df.withColumnRenamed("key", key)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
-    """docs, all columns, without the rows that have a hit word."""
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, "item_id", "text")]
+    """docs, all columns untouched, without the rows that have a hit word."""
     at = docs.columns.index(text)
-    made: dict[int, object] = {}
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for b, block in enumerate(blocks):
-                if len(blocks) > 1:
-                    made.clear()
-                if b not in made:
-                    made[b] = build(block.value, window)
-                for i, body in enumerate(batch.column(at)):
-                    keep[i] &= not scan(made[b], body.as_py() or "")[2]
-            yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+
+    def pass_over(sent):
+        made: list = []
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if not made:
+                made.append(build(sent.value, window))
+            for batch in batches:
+                yield batch.filter(pa.array([not scan(made[0], body.as_py() or "")[1].any() for body in batch.column(at)], pa.bool_()))
+
+        return run
+
+    df = docs
+    for sent, last in _one_by_one(docs.sparkSession, benchmark, "item_id"):
+        df = df.mapInArrow(pass_over(sent), docs.schema)
+        df = df if last else materialize(df)
+    return df
 
 
 def op2_aho_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
