@@ -27,6 +27,21 @@ def fnv1a(data: bytes) -> int:
     return h
 
 
+def fnv1a_all(values: list[bytes]) -> np.ndarray:
+    """The hashes of many byte strings, a place of all of them at a time."""
+    size = np.array([len(v) for v in values], np.int64)
+    data = np.frombuffer(b"".join(values), np.uint8)
+    order = np.argsort(-size, kind="stable")
+    start, size = (np.cumsum(size) - size)[order], size[order]
+    h = np.full(len(values), FNV_OFFSET, np.uint64)
+    longer = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")  # how many have a byte at each place
+    for i, n in enumerate(longer.tolist()):
+        h[:n] = (h[:n] ^ data[start[:n] + i]) * np.uint64(FNV_PRIME)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
 def fold(text: str) -> str:
     """The canonical form of an alias: NFKC, case and accents folded, white space collapsed."""
     plain = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text).casefold())
@@ -40,7 +55,8 @@ def alias_norm(alias: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def fnv_hex(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else f"{fnv1a(t.encode()):016x}")
+    got = fnv1a_all([b"" if t is None else t.encode() for t in text])
+    return pd.Series([None if t is None else f"{h:016x}" for t, h in zip(text, got.tolist(), strict=True)], dtype=object)
 
 
 @F.pandas_udf(T.StringType())

@@ -270,3 +270,64 @@ def test_small_functions(spark):
     assert [tuple(r) for r in chunking.parsed_triples(df).collect()] == [("1", "A", "is", "B")]
     boxes = spark.createDataFrame([(1, 0.0, 0.0, 0.5, 0.5, 0.9), (1, 0.0, 0.0, 0.1, 0.1, 0.99)], "photo_id long, x double, y double, w double, h double, confidence double")
     assert chunking.regions(boxes).count() == 1
+
+
+def test_fnv_of_many():
+    from lodestone.functions import hashing
+
+    values = [b"", b"a", b"foobar", b"a" * 300, "é".encode(), b"foobar"]
+    assert hashing.fnv1a_all(values).tolist() == [hashing.fnv1a(v) for v in values] and len(hashing.fnv1a_all([])) == 0
+
+
+def test_small_row_functions(spark):
+    from lodestone.functions import text as tx
+    from lodestone.functions import vectors as vx
+    from lodestone.operators import chunking, context, fusion, media, metrics, state
+
+    one = spark.range(1)
+    row = one.select(
+        tx.code_tokens(F.lit("a = b(c);")).alias("code"), tx.byte_cap(F.lit("aé"), 2).alias("cap"), vx.blend(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0)), 0.5).alias("mix"),
+        media.closed_to_half_open(F.lit(9)).alias("end"), tx.phrase_terms(F.lit("see \"The Red  Fox\" and 'the of' or \"red fox\"")).alias("phrases"), tx.literal_value(F.lit("1.5")).alias("value"),
+    ).first()
+    assert (row.code, row.cap, row.end, row.phrases) == (7, "a", 10, ["red fox"]) and abs(row.mix[0] - row.mix[1]) < 1e-12
+    assert (row.value.kind, row.value.real, row.value.whole) == ("double", 1.5, None)
+    hits = spark.createDataFrame([(1, 5, 0.5, "b", ["text"]), (1, 5, 0.9, "a", ["vector"])], "query_id int, frame_id int, score double, preview string, sources array<string>")
+    merged = fusion.merge_duplicates(hits).first()
+    assert (merged.score, merged.preview, merged.sources) == (0.9, "a", ["text", "vector"])
+    log = spark.createDataFrame([(1, "embed", 7), (5, "embed", 7), (6, "put", 8), (9, "embed", 9)], "sequence int, op string, frame_id int")
+    assert sorted((r.sequence, r.frame_id) for r in state.pending_since(log, 2).collect()) == [(5, 7), (9, 9)]
+    texts = spark.createDataFrame([("0f" * 16,), ("ab",), ("some text",)], "text string")
+    assert [r[0] for r in texts.where(~chunking.useless_chunk()).collect()] == ["some text"]
+    items = spark.createDataFrame([(1, 2, "two"), (1, 1, "one")], "query_id int, position int, text string")
+    asked = spark.createDataFrame([(1, "why?"), (2, "who?")], "query_id int, query string")
+    assert {r.query_id: r.prompt for r in context.prompt(items, asked).collect()} == {1: "[1] one\n[2] two\n\nQuestion: why?", 2: "\n\nQuestion: who?"}
+    assert context.query_vectors(asked, "never").first().vector is None
+    with pytest.raises(ValueError):
+        context.query_vectors(asked, "always")
+    assert metrics.mean_judgement(spark.createDataFrame([(1.0,), (0.0,), (None,)], "score double")).first() == (0.5, 2)
+
+
+def test_photo_texts(spark):
+    from lodestone.operators import media
+
+    blocks = spark.createDataFrame([(1, 2, "Exit  here", 0.9), (1, 1, "Menu", 0.8), (1, 3, "menu", 0.7), (1, 4, " ", 0.9)], "photo_id int, position int, text string, confidence double")
+    assert media.ocr_summary(blocks).first().text == "Menu\nExit here"
+    said = spark.range(1).select(media.photo_summary(F.lit("a cat"), F.lit(" "), F.lit(None).cast("string"), F.lit("May")).alias("x"), media.photo_summary(*[F.lit(None).cast("string")] * 4).alias("y")).first()
+    assert (said.x, said.y) == ("Caption: a cat\nTaken: May", "Photo")
+    frames = spark.createDataFrame([(1, None, "photo", "x", "active"), (2, 1, "photo.caption", "old", "active"), (3, 1, "photo.caption", "new", "active"), (4, 1, "photo.region", "r", "active"), (5, 1, "photo.tags", "t", "deleted")], "frame_id int, parent_id int, kind string, search_text string, status string")
+    got = media.derived(frames).first()
+    assert (got.root_id, got.caption, got.tags, len(got.regions)) == (1, "new", None, 1)
+
+
+def test_stored_index_answers_alike(spark, tmp_path):
+    from lodestone.operators import text_search
+
+    f = spark.createDataFrame([(1, "red fox runs"), (2, "the fox is red"), (3, None), (4, "fox fox red")], "frame_id int, search_text string")
+    q = spark.createDataFrame([(1, 'a "red fox"'), (2, "fox red"), (3, "the")], "query_id int, query string")
+    index = text_search.build_index(f)
+    kept = text_search.write_index(index, str(tmp_path / "index"))
+    for how in ({}, {"phrases": True}, {"keep_stops": True}):
+        a, b = (sorted(map(tuple, text_search.search(i, q, 10, **how).collect())) for i in (index, kept))
+        assert a == b and a
+    phrased = text_search.search(kept, q.where("query_id = 1"), 10, phrases=True).where("tier = 0").collect()
+    assert [r.frame_id for r in phrased] == [1]
