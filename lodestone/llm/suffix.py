@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import bit_map, documents, materialize, mix, planes, steady_heap, texts, unplanes
 
-SPAN, GRAM = 50, 24
+SPAN, GRAM = 50, 16
 WINDOW = SPAN - GRAM + 1
 PIECE = 2 * SPAN - GRAM
 FILTER_BITS = 27
