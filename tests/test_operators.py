@@ -331,3 +331,51 @@ def test_stored_index_answers_alike(spark, tmp_path):
         assert a == b and a
     phrased = text_search.search(kept, q.where("query_id = 1"), 10, phrases=True).where("tier = 0").collect()
     assert [r.frame_id for r in phrased] == [1]
+
+
+def executed(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_search_keeps_k_hits_a_task_and_is_exact(spark, monkeypatch):
+    """Blocks of a few frames, copies that tie, frames with all terms and with one, against the ranks of all scores."""
+    from pyspark.sql import Window
+
+    monkeypatch.setattr(text_search, "BLOCK_TERMS", 120)  # several passes over the frames
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(40)], k=rng.randint(1, 30))) for _ in range(300)] + ["w1 w2 w30"] * 40 + ["", None]
+    f = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "frame_id long, search_text string").repartition(3)
+    q = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate([*texts[:20], "w1 w30", "w39", "zz", "", None, "the of"])], "query_id string, query string")
+    index = text_search.build_index(f)
+    kept = spark.createDataFrame([(i,) for i in range(0, 342, 3)], "frame_id long")
+    for only, k in ((None, 7), (kept, 60)):
+        got = text_search.search(index, q, k, only)
+        hits = text_search.bm25(index, q)
+        hits = hits if only is None else hits.join(only, "frame_id", "left_semi")
+        tier = F.when(F.col("all_terms"), 0).otherwise(1)
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(tier, F.desc("score"), "frame_id"))
+        wanted = hits.select("query_id", "frame_id", "score", tier.alias("tier"), rank.alias("rank")).where(F.col("rank") <= k)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+    plan = executed(got)
+    assert "Aggregate [query_id" not in plan and "MapInArrow" in plan  # no row for each query and frame
+
+
+def test_search_blocks_are_cut_between_frames():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    frame = np.sort(rng.integers(0, 200, 5000))
+    columns = [frame, frame % 7 + 20, rng.integers(0, 9, 5000).astype(np.int32), np.ones(5000, np.int64)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 37]) for c in columns], names=["frame_id", "len", "tid", "tf"]) for i in range(0, 5000, 37)]
+
+    def run(uses):
+        best = text_search._Best(np.array([0, 3, 5]), np.array([0, 1, 2, 7, 8]), np.linspace(0.1, 2, 9), 21.0, 10)
+        old, text_search.BLOCK_USES = text_search.BLOCK_USES, uses
+        try:
+            return [tuple(r.values()) for b in text_search._scored(batches, best, pa.array([4, 5])) for r in b.to_pylist()]
+        finally:
+            text_search.BLOCK_USES = old
+
+    assert len(run(1 << 20)) == 20 and run(1 << 20) == run(100) == run(10)
