@@ -379,3 +379,13 @@ def test_search_blocks_are_cut_between_frames():
             text_search.BLOCK_USES = old
 
     assert len(run(1 << 20)) == 20 and run(1 << 20) == run(100) == run(10)
+
+
+def test_phrases_are_looked_up_in_one_pass(spark):
+    texts = ["red fox red fox red", "fox red", "a red fox. Red\nfox", "red red red", "", None, "red"]
+    f = spark.createDataFrame(list(enumerate(texts)), "frame_id long, search_text string")
+    index = text_search.build_index(f)
+    phrases = spark.createDataFrame([("red fox",), ("red red",), ("fox red fox",), ("no such",)], "term string")
+    got = text_search._phrase_postings(index, phrases, True)
+    assert sorted((r.term, r.frame_id, r.tf, r.len) for r in got.collect()) == [("fox red fox", 0, 1, 5), ("fox red fox", 2, 1, 5), ("red fox", 0, 2, 5), ("red fox", 2, 2, 5), ("red red", 3, 2, 3)]
+    assert executed(got).count("Join ") == 1  # texts are not joined with pairs of phrase and frame
