@@ -389,3 +389,22 @@ def test_phrases_are_looked_up_in_one_pass(spark):
     got = text_search._phrase_postings(index, phrases, True)
     assert sorted((r.term, r.frame_id, r.tf, r.len) for r in got.collect()) == [("fox red fox", 0, 1, 5), ("fox red fox", 2, 1, 5), ("red fox", 0, 2, 5), ("red fox", 2, 2, 5), ("red red", 3, 2, 3)]
     assert executed(got).count("Join ") == 1  # texts are not joined with pairs of phrase and frame
+
+
+def test_approximate_search_moves_no_pairs(spark):
+    import numpy as np
+
+    from lodestone.operators import vector_search
+
+    rng = np.random.default_rng(1)
+    v = rng.standard_normal((60, 5)).tolist() + [[0.0] * 5]
+    e = spark.createDataFrame(list(enumerate(v)), "frame_id long, vector array<double>")
+    q = e.where("frame_id % 10 = 0").withColumnRenamed("frame_id", "query_id")
+    planes = [np.random.default_rng(9).standard_normal((12, 5))[i * 4 : i * 4 + 4] for i in range(3)]
+    codes = [[tuple(np.array(x) @ p.T > 0) for p in planes] for x in v]
+    wanted = {(a, b) for a in range(0, 61, 10) for b in range(61) if any(x == y for x, y in zip(codes[a], codes[b], strict=True))}
+    how = {"tables": 3, "bits": 4, "seed": 9}
+    near = vector_search.approximate(vector_search.hyperplane_index(e, 5, **how), q, 61, 5, **how)
+    exact = {(r.query_id, r.frame_id): r.score for r in vector_search.exact(e, q, 61).collect()}
+    assert {(r.query_id, r.frame_id): r.score for r in near.collect()} == {p: exact[p] for p in wanted}
+    assert "Join" not in executed(near)
