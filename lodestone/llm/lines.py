@@ -68,17 +68,24 @@ def _keyed(lines: DataFrame, t: int) -> DataFrame:
     out = lines.withColumn("base", F.explode(bases))
     out = out.withColumn("edits", _edits(base, t)).withColumn("width", F.floor(base / (edits + 1)).cast("int"))
     # The line's start and end, as far as its segments reach (a built-in that cuts goes through the whole string each time).
-    reach = F.least(size, (width + 1) * F.shiftright(edits + 2, 1))
-    out = out.withColumn("head", F.when(base > 0, F.substring("line", F.lit(1), reach))).withColumn("tail", F.when(base > 0, F.substring("line", size - reach + 1, reach)))
+    # Lines of ASCII are cut as bytes, without going through them: equal segments of either kind have equal bytes, and so equal hashes.
+    out = out.withColumn("reach", F.least(size, (width + 1) * F.shiftright(edits + 2, 1))).withColumn("plain", F.octet_length("line") == size)
+    ends = {"head": F.lit(1), "tail": size - F.col("reach") + 1}
+    for name, at in ends.items():
+        out = out.withColumn(name, F.when((base > 0) & ~F.col("plain"), F.substring("line", at, F.col("reach"))))
+        out = out.withColumn(f"{name}_bytes", F.when((base > 0) & F.col("plain"), F.substring(F.col("line").cast("binary"), at, F.col("reach"))))
     places = F.array(F.lit(-1))
     for k in range(1, t + 1):
         places = F.when(edits == k, F.array(*[F.lit(x) for x in _places(k)])).otherwise(places)
     x = F.col("place")
     out = out.withColumn("place", F.explode(places))
-    i, shift, rest = F.shiftright(x, 6).bitwiseAND(63), x.bitwiseAND(63) - 32, F.length("tail")
-    segment = F.when(x < 4096, F.substring("head", width * i + shift + 1, width)).otherwise(F.substring("tail", rest - width * (i + 1) + shift + 1, width))
+    i, shift, rest = F.shiftright(x, 6).bitwiseAND(63), x.bitwiseAND(63) - 32, F.col("reach")
+    at = {"head": width * i + shift + 1, "tail": rest - width * (i + 1) + shift + 1}
+    hashed = lambda end: F.xxhash64(F.shiftright(x, 6), base, F.substring(end, at[end[:4]], width))
     fits = F.when(x < 4096, (width * i + shift >= 0) & (width * (i + 1) + shift <= size)).otherwise((rest - width * (i + 1) + shift >= 0) & (shift <= width * i))
-    return out.where((x < 0) | fits).withColumn("key", F.when(x < 0, F.col("h")).otherwise(F.xxhash64(F.shiftright(x, 6), base, segment)))
+    return out.where((x < 0) | fits).withColumn(
+        "key", F.when(x < 0, F.col("h")).when(F.col("plain"), F.when(x < 4096, hashed("head_bytes")).otherwise(hashed("tail_bytes"))).otherwise(F.when(x < 4096, hashed("head")).otherwise(hashed("tail")))
+    )
 
 
 def _lines(docs: DataFrame) -> DataFrame:

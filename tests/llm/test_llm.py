@@ -548,3 +548,14 @@ def test_scores_against_plain_context_trees(monkeypatch):
                 p = k_est if p is None else (lambda s: s * k_est + (1 - s) * p)(1 / (1 + np.exp(below - own)))
             total += np.log(p)
         assert abs(total - value) < 1e-9
+
+
+def test_lines_of_ascii_meet_others_and_are_cut_as_bytes(spark):
+    from lodestone.llm import lines
+
+    plain = "the quick brown fox jumps over the lazy dog, and then it sleeps"
+    data = [(1, plain), (2, plain.replace("quick", "quïck")), (3, plain.replace("lazy", "lazé")), (4, "nothing like the lines before, at all, in any of its characters")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    assert {r.doc_id: r.n_dropped for r in lines.dedup_lines(docs).collect()} == {1: 0, 2: 1, 3: 1, 4: 0}
+    plan = lines._keyed(lines._lines(docs), 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "length(tail" not in plan and "as binary" in plan
