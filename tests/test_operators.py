@@ -391,6 +391,33 @@ def test_phrases_are_looked_up_in_one_pass(spark):
     assert executed(got).count("Join ") == 1  # texts are not joined with pairs of phrase and frame
 
 
+def test_phrase_search_splits_texts_once(spark):
+    """Phrases at ends, over each other, of one to eight words and of words that nothing else asks for, against all scores."""
+    texts = ["red fox red fox red", "fox red", "a red fox. Red\nfox", "red red red red", "", None, "red", "one two three four five six seven eight", "two three one two"]
+    f = spark.createDataFrame(list(enumerate(texts)), "frame_id long, search_text string").repartition(2)
+    asked = ['"red fox" red', '"red red" fox', '"fox red fox" none', '"one two three four five six seven eight" "three one" two', '"red"', '"no such" eight', '"fox a"']
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    index = text_search.build_index(f)
+    got = text_search.search(index, q, 20, phrases=True)
+    rows = {(r.query_id, r.frame_id): (r.score, r.tier == 0) for r in got.collect()}
+    assert rows == {(r.query_id, r.frame_id): (r.score, r.all_terms) for r in text_search.bm25(index, q, phrases=True).collect()}
+    assert len(rows) > 20 and rows[3, 7][1] is False and rows[0, 0][1]
+    assert executed(got).count("regexp_extract_all") == 1
+
+
+def test_frames_are_counted_across_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    frames = [[-1, *rng.integers(0, 6, rng.integers(0, 12)).tolist()] for _ in range(50)]
+    tid, length = [t for f in frames for t in f], [len(f) for f in frames for _ in f]
+    for step in (1, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(length[i : i + step]), pa.array(length[i : i + step]), pa.array(tid[i : i + step], pa.int32())], names=["frame_id", "len", "tid"]) for i in range(0, len(tid), step)]
+        got = {r["tid"]: (r["n"], r["length"]) for b in text_search._frame_counts(batches, 6) for r in b.to_pylist()}
+        assert got == {-1: (50, sum(map(len, frames)))} | {t: (sum(t in f for f in frames), 0) for t in range(6)}
+
+
 def test_approximate_search_moves_no_pairs(spark):
     import numpy as np
 
