@@ -41,6 +41,15 @@ def steady_heap() -> None:
             pass
 
 
+def give_back() -> None:
+    """Gives memory that a worker no longer uses back to the machine: idle workers live on for a minute beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; one of our own only where that is unset (tests, local mode)."""
     root = spark.conf.get("spark.checkpoint.dir", None)

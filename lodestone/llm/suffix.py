@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_map, documents, materialize, mix, planes, steady_heap, texts, unplanes
+from .common import bit_map, documents, give_back, materialize, mix, planes, steady_heap, texts, unplanes
 
 SPAN, GRAM = 50, 16
 WINDOW = SPAN - GRAM + 1
@@ -109,6 +109,10 @@ class Anchors:
         self.at = np.flatnonzero((_least(padded, WINDOW, np.maximum) == g) & (g != _NONE))
         self.low = padded
 
+    def keys(self, which: np.ndarray) -> np.ndarray:
+        """The anchors' keys. Their hashes are least ones, so most of them are small: taken as keys they would crowd the first buckets and bits."""
+        return mix(self.g[which])
+
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last window of the anchors at these places."""
         same = self.low[which[:, None] + np.arange(WINDOW)] == self.g[which][:, None]
@@ -139,7 +143,7 @@ def _bucket(key: np.ndarray, bits: int) -> np.ndarray:
 
 
 def shared_anchors(docs: DataFrame, bits: int) -> np.ndarray:
-    """The bitmap, as bytes, over the highest FILTER_BITS bits of anchor hashes that two documents have."""
+    """The bitmap, as bytes, over the highest FILTER_BITS bits of anchor keys that two documents have."""
     shape = pa.schema([("bucket", pa.int64()), ("key", pa.binary()), ("doc", pa.binary()), ("many", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,12 +170,13 @@ def shared_anchors(docs: DataFrame, bits: int) -> np.ndarray:
             for lo, _, data, offsets in texts(batch, chunk=CHUNK):
                 found = Anchors(data, offsets)
                 if len(found.at):
-                    keys.append(found.g[found.at])
+                    keys.append(found.keys(found.at))
                     owners.append(ids[lo + np.searchsorted(offsets, found.at, "right") - 1])
                 if sum(map(len, keys)) > GATHER_ANCHORS:
                     yield from out()
         if keys:
             yield from out()
+        give_back()
 
     def marks(table: pa.Table) -> pa.Table:
         key = np.concatenate([np.cumsum(unplanes(k, np.uint64), dtype=np.uint64) for k in table.column("key").to_pylist()])
@@ -316,14 +321,17 @@ def _gather(text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
     return text[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
 
+_PAD = np.zeros(PIECE + 16, np.uint8)
+
+
 class Prints:
-    """64-bit prints of pieces (begin, size) of text, and their words, for the comparison of pieces of one print."""
+    """64-bit prints of pieces (begin, size) of text, and their words, for the comparison of pieces of one print; text ends with _PAD."""
 
     def __init__(self, text: np.ndarray, begin: np.ndarray, size: np.ndarray, off: np.ndarray) -> None:
-        self.word = _words(np.concatenate([text, np.zeros(PIECE + 16, np.uint8)]))
+        self.word = _words(text)
         self.begin, self.size = begin, size
         anchor = begin + off
-        self.key = gram_hash(*(self.word[anchor + i] for i in range(0, GRAM, 8)))
+        self.key = mix(gram_hash(*(self.word[anchor + i] for i in range(0, GRAM, 8))))  # as Anchors.keys
         self.value = self.key ^ size.astype(np.uint64)
         for step in range(0, PIECE, 8):
             self.value = mix(self.value ^ self.words(np.arange(len(size)), step))
@@ -381,13 +389,15 @@ def repeated_spans(docs: DataFrame, bits: int, twice) -> DataFrame:
         held: list[tuple] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            off, size, text, doc, row, start = (np.concatenate(x) for x in zip(*held, strict=True))
+            off, size, text, doc, row, start = zip(*held, strict=True)
             held.clear()
+            text = np.concatenate([*text, _PAD])
+            off, size, doc, row, start = (np.concatenate(x) for x in (off, size, doc, row, start))
             size = size.astype(np.int64)
             begin = np.cumsum(size) - size
             found = Prints(text, begin, size, off)
             order, first, n = found.groups(bits)
-            key, flat, earliest = found.key[order], text.tobytes(), np.minimum.reduceat(doc[order], first)
+            key, flat, earliest = found.key[order], text.data, np.minimum.reduceat(doc[order], first)
 
             def made() -> Iterator[tuple]:
                 where = _bucket(key[first], bits)
@@ -420,7 +430,7 @@ def repeated_spans(docs: DataFrame, bits: int, twice) -> DataFrame:
                 found = Anchors(data, offsets)
                 if not len(found.at):
                     continue
-                place = (found.g[found.at] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                place = (found.keys(found.at) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
                 at = found.at[(bitmap.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
                 if not len(at):
                     continue
@@ -432,6 +442,7 @@ def repeated_spans(docs: DataFrame, bits: int, twice) -> DataFrame:
                     yield from out()
         if held:
             yield from out()
+        give_back()
 
     pieces = docs.select("doc", "text", "row", "place").mapInArrow(run, _PIECES_SQL)
 
@@ -446,7 +457,7 @@ def repeated_spans(docs: DataFrame, bits: int, twice) -> DataFrame:
             return _table([(_OCCURRENCES, bucket, p, d, r, s, None) for p, d, r, s in zip(col("text"), col("doc"), col("row"), col("start"), strict=True)], _JUDGED)
         sizes = [np.frombuffer(x, np.uint8).astype(np.int64) for x in col("size")]
         size = np.concatenate(sizes)
-        text = np.frombuffer(b"".join(pa.decompress(x, int(n.sum()), codec="zstd", asbytes=True) for x, n in zip(col("text"), sizes, strict=True)), np.uint8)
+        text = np.frombuffer(b"".join([*(pa.decompress(x, int(n.sum()), codec="zstd", asbytes=True) for x, n in zip(col("text"), sizes, strict=True)), _PAD.tobytes()]), np.uint8)
         n = np.concatenate([np.frombuffer(x, np.uint8) for x in col("n")]).astype(np.int64)
         doc, row = (np.concatenate([unplanes(x, np.int64) for x in col(name)]) for name in ("doc", "row"))
         start = np.concatenate([unplanes(x, np.int32) for x in col("start")])
@@ -548,6 +559,7 @@ def dedup_passages(docs: DataFrame, keep_text: bool = True) -> DataFrame:
         for batch in batches:
             own = batch.filter(pc.invert(hits(batch)))
             yield batch_of(own.column(0), [row_of(x.as_py().encode("utf-8", "surrogatepass"), none, none) for x in own.column(1)])
+        give_back()
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -555,6 +567,7 @@ def dedup_passages(docs: DataFrame, keep_text: bool = True) -> DataFrame:
             raw = [x.as_py().encode("utf-8", "surrogatepass") for x in own.column(1)]
             packed = pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in raw], pa.binary())
             yield pa.RecordBatch.from_arrays([own.column(0), packed, pa.array([len(x) for x in raw], pa.int64()), pa.array(row_marks(own, twice.value)), own.column(3)], names=["doc_id", "packed", "n_bytes", "row", "doc"])
+        give_back()
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
@@ -564,6 +577,7 @@ def dedup_passages(docs: DataFrame, keep_text: bool = True) -> DataFrame:
                 data = pa.decompress(text.as_py(), size.as_py(), codec="zstd", asbytes=True)
                 out.append(row_of(data, s.values.to_numpy() if s.is_valid else none, e.values.to_numpy() if s.is_valid else none))
             yield batch_of(batch.column(0), out)
+        give_back()
 
     source = slim.select("doc_id", "text", "row", "doc", "place")
     packed = source.mapInArrow(pack, "doc_id long, packed binary, n_bytes long, row long, doc long")

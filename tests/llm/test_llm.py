@@ -248,6 +248,15 @@ def test_passages_of_nul_bytes_and_common_ones(spark, monkeypatch):
         assert got == wanted and got[1][2] == 66
 
 
+def test_anchors_are_dealt_evenly(spark):
+    """No bucket and no stretch of the bitmap gets several times its share, so a task holds about BUCKET_BYTES of text."""
+    rng = random.Random(7)
+    text = "".join(rng.choices("abcdefghij ", k=40000))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, text[::-1])], "doc long, text string")
+    marked = np.unpackbits(suffix.shared_anchors(docs, 4)).reshape(16, -1).sum(1)
+    assert marked.sum() > 1000 and marked.max() < 2 * marked.mean()
+
+
 def test_passages_when_the_split_of_the_scan_changes(spark, tmp_path, monkeypatch):
     """Executors come and go: jobs over the same files may cut them differently."""
     rng = random.Random(31)
