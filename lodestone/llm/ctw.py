@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, documents, materialize, mix, planes, steady_heap, texts, unplanes, word_hashes
+from .common import _BYTE, _POW, _STEP, CHUNK, LOWER, documents, give_back, materialize, mix, planes, steady_heap, texts, unplanes, word_hashes
 
 DEPTH = 6
 BUCKETS = 1024
@@ -46,6 +46,10 @@ SPLIT = 1024
 HOT = (1 << 18, 1 << 20)
 #: Keys that a task gathers before it merges or passes them on.
 GATHER = 1_000_000
+#: Grams that a task gathers, each occurrence by itself, before it sorts and counts them.
+LOT = 1 << 23
+#: Bytes of text whose keys are worked out at once, and keys that are looked up at once.
+PIECE, BLOCK = CHUNK // 4, 1 << 16
 #: Text bytes for which lookups need one more power of two of buckets.
 FINE_BYTES = 1 << 37
 TOKEN, GRAM = 0, 1
@@ -69,25 +73,74 @@ def _normal(data: bytes, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
     return b"".join(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
+_PRIME, _SPAN = int(_POW[1]), 1024
+_INVERSE = pow(_PRIME, -1, 2**64)
+
+
+def _powers(of: int, n: int) -> np.ndarray:
+    """of ** 0, of ** 1 ... of ** (n - 1), modulo 2 ** 64."""
+    out = np.full(n, of, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_LOW, _LOW_INVERSE = _powers(_PRIME, _SPAN), _powers(_INVERSE, _SPAN)
+
+
+def token_hashes(flat: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What word_hashes gives for texts of _normal's form, from running sums over all bytes."""
+    raw = np.frombuffer(flat, np.uint8)
+    space = np.flatnonzero(raw == 32)
+    size = np.diff(space) - 1
+    word = np.flatnonzero(size)
+    size, begin = size[word], space[word] + 1
+    if not len(word) or int(size.max()) > len(_POW):
+        return word_hashes(flat, at)
+    spans = len(raw) // _SPAN + 1
+    total = np.zeros(spans * _SPAN + 1, np.uint64)
+    value = total[1:].reshape(spans, _SPAN)
+    value.ravel()[: len(raw)] = _BYTE[raw]
+    value *= _LOW
+    value *= _powers(_PRIME**_SPAN % 2**64, spans)[:, None]
+    np.cumsum(total, out=total)
+    back = _powers(_INVERSE**_SPAN % 2**64, spans)[begin // _SPAN] * _LOW_INVERSE[begin % _SPAN]
+    return mix((total[begin + size] - total[begin]) * back + size.astype(np.uint64) * _STEP), np.searchsorted(begin, at)
+
+
+def _gram_keys(flat: bytes, at: np.ndarray) -> np.ndarray:
+    """Gram keys of all bytes but each row's first: eight bytes are read at each place, which hold the context in order."""
+    raw = np.frombuffer(flat, np.uint8)
+    key = np.ndarray(len(raw), "<u8", bytes(DEPTH) + flat + bytes(8), 0, (1,)) << np.uint64(8)
+    key &= np.uint64(256 ** (DEPTH + 1) - 256)
+    key |= raw
+    for place in range(1, DEPTH):
+        some = at[:-1] + place
+        key[some[some < at[1:]]] &= np.uint64(256 ** (DEPTH + 1) - 256 ** (DEPTH + 1 - place) + 255)
+    keep = np.ones(len(raw), bool)
+    keep[at[:-1]] = False
+    return key[keep]
+
+
 def text_keys(data: bytes, offsets: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """(token keys, starts of each row) and (gram keys, starts of each row); a row has at least its end token.
 
     A gram key is the context's bytes, the nearest highest, zeros before the start, then the byte.
     """
     flat, at = _normal(data, offsets)
-    words, first = word_hashes(flat, at)
+    words, first = token_hashes(flat, at)
     rows = np.arange(1, len(first))
     tokens = np.insert(words, first[1:], END)
-    raw = np.frombuffer(flat, np.uint8).astype(np.uint64)
-    n = len(raw)
-    place = np.arange(n) - np.repeat(at[:-1], np.diff(at))
-    key = raw.copy()
-    for d in range(1, DEPTH + 1):
-        before = np.zeros(n, np.uint64)
-        before[d:] = raw[:-d]
-        before[np.flatnonzero(place < d)] = 0
-        key |= before << np.uint64(8 * (DEPTH + 1 - d))
-    return (tokens, first + np.concatenate([[0], rows])), (key[place > 0], at - np.arange(len(at)))
+    return (tokens, first + np.concatenate([[0], rows])), (_gram_keys(flat, at), at - np.arange(len(at)))
+
+
+def _giving_back(run):
+    """run, after which its worker gives back what it no longer uses: it may lie idle beside those of the next stage."""
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
 
 
 class Deal:
@@ -119,11 +172,12 @@ class Deal:
 def pair_counts(docs: DataFrame) -> np.ndarray:
     """How often each pair of bytes is the nearest context of a byte (65536 counts)."""
 
+    @_giving_back
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(65536, np.int64)
         for batch in batches:
-            for _, _, data, offsets in texts(batch):
-                raw = np.frombuffer(_normal(data, offsets)[0], np.uint8).astype(np.int64)
+            for _, _, data, offsets in texts(batch, chunk=PIECE):
+                raw = np.frombuffer(_normal(data, offsets)[0], np.uint8).astype(np.uint16)
                 total += np.bincount(raw[1:] << 8 | raw[:-1], minlength=65536)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pair", "n"])
@@ -149,9 +203,23 @@ def _merged(key: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return (key[first], *(np.add.reduceat(c[order], first) if len(key) else c for c in counts))
 
 
+def _counted(lot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their counts in training and in all, of gram keys doubled, plus one in training; lot is sorted where it is."""
+    lot.sort()
+    first = np.flatnonzero(np.concatenate([[True], lot[1:] != lot[:-1]]))
+    n = np.diff(np.append(first, len(lot)))
+    key = lot[first]
+    c = np.where(key & np.uint64(1), n, 0)
+    key >>= np.uint64(1)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(c, first), np.add.reduceat(n, first)
+
+
 def _dealt(deal: Deal, kind: int, fine: int, key: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
     """(bucket, key, columns) of each bucket; keys keep their order inside."""
     where = deal.bucket(key, kind, fine)
+    if len(where) and where.max() < 65536:
+        where = where.astype(np.uint16)  # sorted by radix
     order = np.argsort(where, kind="stable")
     where = where[order]
     ends = np.flatnonzero(np.concatenate([where[1:] != where[:-1], [True]])) + 1 if len(where) else []
@@ -180,32 +248,43 @@ def _packed(rows: Iterable[tuple], schema: pa.Schema, size: int = 64) -> Iterato
 def count_keys(docs: DataFrame, deal: Deal) -> DataFrame:
     """kind, bucket, key, c, n: sorted distinct keys of a bucket, their counts in training and in all texts, packed."""
 
+    @_giving_back
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steady_heap()
-        held: dict[int, list[tuple[np.ndarray, ...]]] = {TOKEN: [], GRAM: []}
+        held: list[tuple[np.ndarray, ...]] = []
+        lot, used = np.zeros(LOT, np.uint64), 0
 
-        def merge(kind: int) -> None:
-            held[kind] = [_merged(*(np.concatenate(x) for x in zip(*held[kind], strict=True)))]
+        def merge() -> None:
+            held[:] = [_merged(*(np.concatenate(x) for x in zip(*held, strict=True)))]
 
-        def out(kind: int) -> Iterator[pa.RecordBatch]:
-            if held[kind]:
-                merge(kind)
-                key, c, n = held[kind][0]
-                yield from _packed(((kind, b, _key_bytes(k), planes(x), planes(y)) for b, k, x, y in _dealt(deal, kind, 1, key, c, n)), _COUNTS)
-                held[kind] = []
+        def out(kind: int, key: np.ndarray, c: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            yield from _packed(((kind, b, _key_bytes(k), planes(x), planes(y)) for b, k, x, y in _dealt(deal, kind, 1, key, c, n)), _COUNTS)
 
         for batch in batches:
             train = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for lo, _, data, offsets in texts(batch):
-                for kind, (key, starts) in enumerate(text_keys(data, offsets)):
-                    c = np.repeat(train[lo : lo + len(starts) - 1], np.diff(starts))
-                    held[kind].append(_merged(key, c, np.ones(len(key), np.int64)))
-                    if sum(len(x[0]) for x in held[kind]) > GATHER:
-                        merge(kind)
-                        if len(held[kind][0][0]) > GATHER // 2:
-                            yield from out(kind)
-        for kind in (TOKEN, GRAM):
-            yield from out(kind)
+            for lo, _, data, offsets in texts(batch, chunk=PIECE):
+                (key, starts), (gram, places) = text_keys(data, offsets)
+                some = train[lo : lo + len(starts) - 1]
+                held.append(_merged(key, np.repeat(some, np.diff(starts)), np.ones(len(key), np.int64)))
+                if sum(len(x[0]) for x in held) > GATHER:
+                    merge()
+                    if len(held[0][0]) > GATHER // 2:
+                        yield from out(TOKEN, *held.pop())
+                gram <<= np.uint64(1)
+                gram |= np.repeat(some.astype(np.uint8), np.diff(places))
+                while len(gram):
+                    fits = min(len(gram), LOT - used)
+                    lot[used : used + fits] = gram[:fits]
+                    gram, used = gram[fits:], used + fits
+                    if used == LOT:
+                        yield from out(GRAM, *_counted(lot))
+                        used = 0
+        if used:
+            yield from out(GRAM, *_counted(lot[:used]))
+        del lot
+        if held:
+            merge()
+            yield from out(TOKEN, *held.pop())
 
     def join(table: pa.Table) -> pa.Table:
         steady_heap()
@@ -215,6 +294,9 @@ def count_keys(docs: DataFrame, deal: Deal) -> DataFrame:
             if sum(len(x[0]) for x in held[1:]) > max(GATHER // 4, len(held[0][0])):
                 held = [_merged(*(np.concatenate(x) for x in zip(*held, strict=True)))]
         key, c, n = _merged(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        held = []
+        if len(key) > GATHER // 8:
+            give_back()
         return pa.table([pa.array([table.column("kind")[0].as_py()], pa.int32()), pa.array([table.column("bucket")[0].as_py()], pa.int64()), *(pa.array([x], pa.binary()) for x in (_key_bytes(key), planes(c), planes(n)))], schema=_COUNTS)
 
     return docs.select("text", "train").mapInArrow(run, _COUNTS_SQL).groupBy("kind", "bucket").applyInArrow(join, _COUNTS_SQL)
@@ -349,6 +431,7 @@ def gram_scores(counts: DataFrame, deal: Deal) -> DataFrame:
     index = np.zeros(65536, np.int64)
     index[deal.pairs] = np.arange(len(deal.pairs))
 
+    @_giving_back
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steady_heap()
         for batch in batches:
@@ -373,6 +456,7 @@ def gram_scores(counts: DataFrame, deal: Deal) -> DataFrame:
     zero[:, 3] = _mixed(one).reshape(256, 256).sum(0)
     upper = spark.sparkContext.broadcast((one, zero, two))
 
+    @_giving_back
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steady_heap()
         for batch in batches:
@@ -387,20 +471,24 @@ def gram_scores(counts: DataFrame, deal: Deal) -> DataFrame:
 # ---- lookups ----
 
 
+_ENTRY = np.dtype([("key", np.uint64), ("value", np.float64)])
+
+
 class Lookup:
-    """A static hash table of u64 keys with values, probed in rounds."""
+    """A static hash table of u64 keys with values, probed in rounds. A key lies beside its value; free places hold NaN."""
 
     def __init__(self, key: np.ndarray, value: np.ndarray) -> None:
-        self.rounds: list[tuple[int, np.ndarray, np.ndarray]] = []
+        self.rounds: list[tuple[int, np.ndarray]] = []
         while len(key) and len(self.rounds) < 12:
             bits = max(4, int(len(key) * 2).bit_length())
             slot = self._slot(key, bits, len(self.rounds))
-            held = np.full(1 << bits, -1, np.int64)
+            held = np.full(1 << bits, -1, np.int32)
             held[slot] = np.arange(len(key))
             inside = held[slot] == np.arange(len(key))
-            keys, values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, np.nan)
-            keys[slot[inside]], values[slot[inside]] = key[inside], value[inside]
-            self.rounds.append((bits, keys, values))
+            table = np.zeros(1 << bits, _ENTRY)
+            table["value"] = np.nan
+            table["key"][slot[inside]], table["value"][slot[inside]] = key[inside], value[inside]
+            self.rounds.append((bits, table))
             key, value = key[~inside], value[~inside]
         if len(key):
             raise ValueError("keys repeat")
@@ -412,14 +500,19 @@ class Lookup:
     def find(self, key: np.ndarray) -> np.ndarray:
         """Values, NaN for keys that are not there."""
         out = np.full(len(key), np.nan)
-        left = np.arange(len(key))
-        for turn, (bits, keys, values) in enumerate(self.rounds):
-            slot = self._slot(key[left], bits, turn)
-            ok = (keys[slot] == key[left]) & ~np.isnan(values[slot])
-            out[left[ok]] = values[slot[ok]]
-            left = left[~ok]
-            if not len(left):
-                break
+        for lo in range(0, len(key), BLOCK):
+            part, left = key[lo : lo + BLOCK], None
+            for turn, (bits, table) in enumerate(self.rounds):
+                got = table.take(self._slot(part, bits, turn))
+                value = np.where(got["key"] == part, got["value"], np.nan)
+                if left is None:
+                    out[lo : lo + len(part)] = value
+                else:
+                    out[left] = value
+                miss = np.flatnonzero(np.isnan(value))
+                if not len(miss):
+                    break
+                part, left = part[miss], miss + lo if left is None else left[miss]
         return out
 
 
@@ -442,6 +535,7 @@ def _hot(scores: DataFrame, room: int) -> tuple[np.ndarray, np.ndarray]:
     above = np.cumsum(size[::-1])[::-1]
     least = int(np.argmax(above <= room))
 
+    @_giving_back
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, n, v in zip(*batch.columns, strict=True):
@@ -463,6 +557,7 @@ def ctw_scores(docs: DataFrame, train: Column, key: str = "doc_id") -> DataFrame
     deal = Deal(pair_counts(slim))
     counts = materialize(count_keys(slim, deal))
 
+    @_giving_back
     def totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for kind, c, n in zip(*batch.columns, strict=True):
@@ -489,6 +584,7 @@ def ctw_scores(docs: DataFrame, train: Column, key: str = "doc_id") -> DataFrame
     def base_of(c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / denominator)
 
+    @_giving_back
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steady_heap()
         if not tables:
@@ -506,7 +602,7 @@ def ctw_scores(docs: DataFrame, train: Column, key: str = "doc_id") -> DataFrame
 
         for batch in batches:
             row = batch.column(2).to_numpy()
-            for lo, hi, data, offsets in texts(batch):
+            for lo, hi, data, offsets in texts(batch, chunk=PIECE):
                 sums = []
                 for kind, (keys, starts) in enumerate(text_keys(data, offsets)):
                     value = tables[kind].find(keys)
@@ -514,9 +610,12 @@ def ctw_scores(docs: DataFrame, train: Column, key: str = "doc_id") -> DataFrame
                     if len(rare):
                         asked[kind].append((keys[rare], row[lo + np.searchsorted(starts, rare, "right") - 1]))
                     add = lambda x, s=starts: np.add.reduceat(x, s[:-1])  # noqa: E731  every row has a token and a gram
-                    sums += [add((value > 0).astype(np.int64)), add(np.nan_to_num(base_of(value)))] if kind == TOKEN else [add(np.nan_to_num(value))]
                     if kind == TOKEN:
                         n_tokens = np.diff(starts)
+                        sums.append(add((value > 0).astype(np.int64)))
+                        value = base_of(value)
+                    value[rare] = 0
+                    sums.append(add(value))
                 m = hi - lo
                 blank = [pa.nulls(m, t) for t in _ASKED.types[8:]]
                 yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, m), batch.column(0).slice(lo, m), batch.column(3).slice(lo, m), pa.array(n_tokens), pa.array(np.diff(offsets)), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2]), *blank], schema=_ASKED)

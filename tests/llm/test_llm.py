@@ -559,6 +559,63 @@ def test_scores_against_plain_context_trees(monkeypatch):
         assert abs(total - value) < 1e-9
 
 
+def test_keys_against_plain_ones():
+    """Token hashes and grams of odd texts, alone and side by side, and their counts."""
+    from lodestone.llm.common import word_hashes
+
+    odd = [b"", b" ", b"a", b"aB", b" a b\tc\n", b"x" * 4096 + b" y", b"x" * 4097 + b" y", "\u00e9 \u00fc b".encode(), b"a\0b \0", b"one two three " * 200]
+    for data in [odd, odd[:5] + odd[7:], *([t] for t in odd)]:
+        flat, offsets = b"".join(data), np.cumsum([0, *map(len, data)])
+        (token, first), (gram, at) = ctw.text_keys(flat, offsets)
+        hashes, starts = word_hashes(flat, offsets)
+        assert token.tolist() == np.insert(hashes, starts[1:], ctw.END).tolist() and np.diff(first).tolist() == [len(t.split()) + 1 for t in data]
+        wanted = []
+        for t in data:
+            whole = b" ".join([b"", *t.lower().split(), b"", b""]) if t.split() else b"  "
+            wanted += [sum(whole[i - d] << 8 * (ctw.DEPTH + 1 - d) for d in range(1, min(i, ctw.DEPTH) + 1)) | whole[i] for i in range(1, len(whole))]
+        assert gram.tolist() == wanted and at[-1] == len(wanted)
+        train = np.arange(len(gram)) % 3 > 0
+        plain = ctw._merged(gram, train.astype(np.int64), np.ones(len(gram), np.int64))
+        assert [x.tolist() for x in ctw._counted(gram << np.uint64(1) | train.astype(np.uint8))] == [x.tolist() for x in plain]
+
+
+def test_scores_hold_little_memory(monkeypatch):
+    """A scan's arrays and those of lookups are small beside its lot and table, and a scan's worker gives memory back."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Scan(list):
+        select = groupBy = applyInArrow = lambda self, *a: self
+
+        def mapInArrow(self, f, schema):  # noqa: N802
+            self.append(f)
+            return self
+
+    def peak(f):
+        tracemalloc.start()
+        out = f()
+        most = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        return out, most
+
+    monkeypatch.setattr(ctw, "LOT", 1 << 17, raising=False)  # 1 MB
+    gone = []
+    monkeypatch.setattr(ctw, "give_back", lambda: gone.append(1), raising=False)
+    data = [prose(2000, random.Random(i)) for i in range(150)]
+    batch = pa.record_batch([pa.array(data), pa.array([i % 5 > 0 for i in range(len(data))])], names=["text", "train"])
+    deal = ctw.Deal(np.ones(65536, np.int64))
+    scan = ctw.count_keys(Scan(), deal)[0]
+    rows, most = peak(lambda: [r for b in scan([batch]) for r in b.to_pylist()])
+    assert most < 36 and gone
+    n = {kind: sum(int(ctw.unplanes(r["n"], np.int64).sum()) for r in rows if r["kind"] == kind) for kind in (ctw.TOKEN, ctw.GRAM)}
+    assert n == {ctw.TOKEN: 2001 * len(data), ctw.GRAM: sum(len(t) + 2 for t in data)}
+    table = ctw.Lookup(np.arange(1, 1 << 19, dtype=np.uint64), np.arange(1, 1 << 19) / 2)
+    key = np.arange(1 << 20, dtype=np.uint64)
+    got, most = peak(lambda: table.find(key))
+    assert most < 20 and np.isnan(got[0]) and np.isnan(got[1 << 19 :]).all() and np.array_equal(got[1 : 1 << 19], key[1 : 1 << 19] / 2)
+
+
 def test_lines_of_ascii_meet_others_and_are_cut_as_bytes(spark):
     from lodestone.llm import lines
 
