@@ -12,12 +12,12 @@ Each decision's two probabilities sum to one, so the code lengths are those of a
 Statistics cover all texts and nothing unbounded is broadcast or collected:
 
 1. A scan counts pairs of bytes. Another one counts tokens (64-bit hashes) and grams (context and byte) in each task; sorted runs of keys and counts go, packed, to buckets,
-   where they are merged, one after another. Grams are dealt by their last two context bytes, so a bucket holds whole subtrees; those of the
+   where they are merged as they come, so that a task holds a bucket's distinct keys and not all its runs. Grams are dealt by their last two context bytes, so a bucket holds whole subtrees; those of the
    SPLIT most frequent pairs at most are dealt by the last three. There are more buckets for longer texts.
 2. Buckets solve their subtrees and sum up what the nodes above need: 256 x 255 nodes at depth one and SPLIT x 255 at depth two, whatever
    the corpus. These are mixed on the driver; a second pass over the buckets scores each distinct gram.
 3. A third scan looks tokens and grams up in a table of the most frequent ones (HOT at most, broadcast). The others go
-   to their buckets, packed with their rows, and come back as sums per row.
+   to their buckets, packed with their rows, follow these buckets' values there, piece by piece, and come back as sums per row.
 
 Nulls: a null text is empty, one end token. A null doc_id is never held out. Rows with one doc_id are scored
 separately. An empty text is its end alone, texts may be of any length, an empty table gives an empty result. Without training texts every decision is even and all base counts are 0. Other columns are ignored.
@@ -286,18 +286,23 @@ def count_keys(docs: DataFrame, deal: Deal) -> DataFrame:
             merge()
             yield from out(TOKEN, *held.pop())
 
-    def join(table: pa.Table) -> pa.Table:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One bucket's runs, merged as they come: no more than its distinct keys are held."""
         steady_heap()
         held: list[tuple[np.ndarray, ...]] = []
-        for key, c, n in zip(*(table.column(x) for x in ("key", "c", "n")), strict=True):
-            held.append((_sorted_keys(key.as_py()), unplanes(c.as_py(), np.int64), unplanes(n.as_py(), np.int64)))
-            if sum(len(x[0]) for x in held[1:]) > max(GATHER // 4, len(held[0][0])):
-                held = [_merged(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+        kind = bucket = fresh = 0
+        for batch in batches:
+            kind, bucket = batch.column("kind")[0].as_py(), batch.column("bucket")[0].as_py()
+            for key, c, n in zip(*(batch.column(x) for x in ("key", "c", "n")), strict=True):
+                held.append((_sorted_keys(key.as_py()), unplanes(c.as_py(), np.int64), unplanes(n.as_py(), np.int64)))
+                fresh += len(held[-1][0])
+                if fresh > max(GATHER // 4, len(held[0][0])):
+                    held, fresh = [_merged(*(np.concatenate(x) for x in zip(*held, strict=True)))], 0
         key, c, n = _merged(*(np.concatenate(x) for x in zip(*held, strict=True)))
         held = []
         if len(key) > GATHER // 8:
             give_back()
-        return pa.table([pa.array([table.column("kind")[0].as_py()], pa.int32()), pa.array([table.column("bucket")[0].as_py()], pa.int64()), *(pa.array([x], pa.binary()) for x in (_key_bytes(key), planes(c), planes(n)))], schema=_COUNTS)
+        yield from _packed([(kind, bucket, _key_bytes(key), planes(c), planes(n))], _COUNTS)
 
     return docs.select("text", "train").mapInArrow(run, _COUNTS_SQL).groupBy("kind", "bucket").applyInArrow(join, _COUNTS_SQL)
 
@@ -637,28 +642,44 @@ def ctw_scores(docs: DataFrame, train: Column, key: str = "doc_id") -> DataFrame
 
         return parts
 
-    def answer(table: pa.Table) -> pa.Table:
-        """Sums per row of one bucket's asked keys, lot by lot; the row without rows holds its scores."""
+    @_giving_back
+    def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums per row of the keys asked of each bucket, piece by piece; a bucket's values come before what is asked of it."""
         steady_heap()
-        kind = table.column("kind")[0].as_py()
-        asked, keys, values, row0 = (table.column(x) for x in ("rows", "keys", "value", "row"))
-        own = next(i for i, r in enumerate(asked) if not r.is_valid)
-        known, value = _sorted_keys(keys[own].as_py()), unplanes(values[own].as_py(), np.float64)
-        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), *(np.zeros(0),) * 3)]
-        for k, r, z in zip(keys, asked, row0, strict=True):
-            if r.is_valid:
+        own, known, value, size = None, np.zeros(0, np.uint64), np.zeros(0), 0
+        out: list[tuple[np.ndarray, ...]] = []
+
+        def sums() -> pa.RecordBatch:
+            columns = [pa.array(np.concatenate(x)) for x in zip(*out, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["row", "k", "b", "s"])
+
+        for batch in batches:
+            for kind, bucket, k, x, r, z in zip(*(batch.column(x) for x in ("kind", "bucket", "keys", "value", "rows", "row")), strict=True):
+                here = kind.as_py(), bucket.as_py()
+                if not r.is_valid:
+                    own, known, value = here, _sorted_keys(k.as_py()), unplanes(x.as_py(), np.float64)
+                    continue
+                if here != own:
+                    raise ValueError("a bucket without values is asked")
                 got = value[np.searchsorted(known, _sorted_keys(k.as_py()))]
                 ids, inverse = np.unique(unplanes(r.as_py(), np.int32) + np.int64(z.as_py()), return_inverse=True)
                 zero = np.zeros(len(got))
-                sums = ((got > 0).astype(float), base_of(got), zero) if kind == TOKEN else (zero, zero, got)
-                out.append((ids, *(np.bincount(inverse, x, len(ids)) for x in sums)))
-        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["row", "k", "b", "s"])
+                each = ((got > 0).astype(float), base_of(got), zero) if here[0] == TOKEN else (zero, zero, got)
+                out.append((ids, *(np.bincount(inverse, e, len(ids)) for e in each)))
+                size += len(ids)
+                if size > GATHER // 4:
+                    yield sums()
+                    size = 0
+        if out:
+            yield sums()
 
     kept = tokens.select("key", "value").mapInArrow(split(TOKEN), "bucket long, keys binary, value binary").withColumn("kind", F.lit(TOKEN))
     kept = kept.unionByName(grams.select("key", "value").mapInArrow(split(GRAM), "bucket long, keys binary, value binary").withColumn("kind", F.lit(GRAM)))
     both = kept.select("kind", "bucket", "keys", "value", F.lit(None).cast("binary").alias("rows"), F.lit(None).cast("long").alias("row"))
     both = both.unionByName(first.where("kind is not null").select("kind", "bucket", "keys", F.lit(None).cast("binary").alias("value"), "rows", "row"))
-    rest = both.groupBy("kind", "bucket").applyInArrow(answer, "row long, k double, b double, s double")
+    both = both.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", F.col("rows").isNotNull())
+    rest = both.mapInArrow(answer, "row long, k double, b double, s double")
     rest = rest.groupBy("row").agg(*(F.sum(x).alias(x) for x in "kbs"))
     out = first.where("kind is null").join(rest, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))

@@ -586,12 +586,14 @@ def test_scores_hold_little_memory(monkeypatch):
     import pyarrow as pa
 
     class Scan(list):
-        select = groupBy = applyInArrow = lambda self, *a: self
+        select = groupBy = lambda self, *a: self
 
         def mapInArrow(self, f, schema):  # noqa: N802
             self.append(f)
             return self
 
+        applyInArrow = mapInArrow  # noqa: N815
+
     def peak(f):
         tracemalloc.start()
         out = f()
@@ -605,11 +607,17 @@ def test_scores_hold_little_memory(monkeypatch):
     data = [prose(2000, random.Random(i)) for i in range(150)]
     batch = pa.record_batch([pa.array(data), pa.array([i % 5 > 0 for i in range(len(data))])], names=["text", "train"])
     deal = ctw.Deal(np.ones(65536, np.int64))
-    scan = ctw.count_keys(Scan(), deal)[0]
+    scan, join = ctw.count_keys(Scan(), deal)
     rows, most = peak(lambda: [r for b in scan([batch]) for r in b.to_pylist()])
     assert most < 36 and gone
     n = {kind: sum(int(ctw.unplanes(r["n"], np.int64).sum()) for r in rows if r["kind"] == kind) for kind in (ctw.TOKEN, ctw.GRAM)}
     assert n == {ctw.TOKEN: 2001 * len(data), ctw.GRAM: sum(len(t) + 2 for t in data)}
+    # a bucket whose runs come in 300 batches, 72 MB in all, is merged within little more than its distinct keys
+    key, one = np.arange(10_000, dtype=np.uint64) * np.uint64(7), np.ones(10_000, np.int64)
+    runs = (b for _ in range(300) for b in ctw._packed([(ctw.GRAM, 5, ctw._key_bytes(key), ctw.planes(one), ctw.planes(2 * one))], ctw._COUNTS))
+    rows, most = peak(lambda: [r for b in join(runs) for r in b.to_pylist()])
+    assert most < 40 and len(rows) == 1 and rows[0]["bucket"] == 5 and ctw._sorted_keys(rows[0]["key"]).tolist() == key.tolist()
+    assert ctw.unplanes(rows[0]["c"], np.int64).tolist() == [300] * len(key) and ctw.unplanes(rows[0]["n"], np.int64).tolist() == [600] * len(key)
     table = ctw.Lookup(np.arange(1, 1 << 19, dtype=np.uint64), np.arange(1, 1 << 19) / 2)
     key = np.arange(1 << 20, dtype=np.uint64)
     got, most = peak(lambda: table.find(key))
