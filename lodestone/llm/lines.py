@@ -8,8 +8,9 @@ for each STEP code points, 1 at least and THRESHOLD at most.
 A segment-partition join finds near lines. Lines within t edits are cut into t + 1 segments of the width of their length
 class, half of them counted from the line's start and half from its end. Of two lines within t edits, either the starts
 differ by fewer edits than they have segments or the ends do, so some segment i (from 0) of the shorter line is whole in
-the longer one and shifted by i places at most: the longer line probes the substrings with these shifts, whatever its own
-length, m * m of them for m segments. A line within THRESHOLD of a shorter class probes that class too.
+the longer one and shifted by i places at most, either way. Without its last i characters, what starts at the same place of the
+line that is shifted back lies in both: so each line probes with shifts 0 to i only, whatever its own
+length, m * (m + 1) / 2 substrings for m segments. A line within THRESHOLD of a shorter class probes that class too.
 
 1. Keys (64-bit hashes of segments) that two different lines share, and whole lines that occur twice, are found by one
    aggregation of (key, least and largest value), without texts, and marked in a bitmap of fixed size (a false positive only costs time).
@@ -56,7 +57,7 @@ def _base(length: Column, t: int) -> Column:
 def _places(t: int) -> list[int]:
     """Side, segment and shift, as one number, of the substrings that a line probes: segments from the start, then from the end."""
     left = (t + 2) // 2
-    return [(side * 64 + i) * 64 + 32 + shift for side, m in ((0, left), (1, t + 1 - left)) for i in range(m) for shift in range(-i, i + 1)]
+    return [(side * 64 + i) * 64 + shift for side, m in ((0, left), (1, t + 1 - left)) for i in range(m) for shift in range(i + 1)]
 
 
 def _keyed(lines: DataFrame, t: int) -> DataFrame:
@@ -69,7 +70,7 @@ def _keyed(lines: DataFrame, t: int) -> DataFrame:
     out = out.withColumn("edits", _edits(base, t)).withColumn("width", F.floor(base / (edits + 1)).cast("int"))
     # The line's start and end, as far as its segments reach (a built-in that cuts goes through the whole string each time).
     # Lines of ASCII are cut as bytes, without going through them: equal segments of either kind have equal bytes, and so equal hashes.
-    out = out.withColumn("reach", F.least(size, (width + 1) * F.shiftright(edits + 2, 1))).withColumn("plain", F.octet_length("line") == size)
+    out = out.withColumn("reach", width * F.shiftright(edits + 2, 1)).withColumn("plain", F.octet_length("line") == size)
     ends = {"head": F.lit(1), "tail": size - F.col("reach") + 1}
     for name, at in ends.items():
         out = out.withColumn(name, F.when((base > 0) & ~F.col("plain"), F.substring("line", at, F.col("reach"))))
@@ -79,11 +80,11 @@ def _keyed(lines: DataFrame, t: int) -> DataFrame:
         places = F.when(edits == k, F.array(*[F.lit(x) for x in _places(k)])).otherwise(places)
     x = F.col("place")
     out = out.withColumn("place", F.explode(places))
-    i, shift, rest = F.shiftright(x, 6).bitwiseAND(63), x.bitwiseAND(63) - 32, F.col("reach")
-    at = {"head": width * i + shift + 1, "tail": rest - width * (i + 1) + shift + 1}
-    hashed = lambda end: F.xxhash64(F.shiftright(x, 6), base, F.substring(end, at[end[:4]], width))
-    fits = F.when(x < 4096, (width * i + shift >= 0) & (width * (i + 1) + shift <= size)).otherwise((rest - width * (i + 1) + shift >= 0) & (shift <= width * i))
-    return out.where((x < 0) | fits).withColumn(
+    i, shift = F.shiftright(x, 6).bitwiseAND(63), x.bitwiseAND(63)
+    # The substring, shifted, ends within the class's least length, so it lies in the line.
+    at = {"head": width * i + shift + 1, "tail": F.col("reach") - width * (i + 1) + i - shift + 1}
+    hashed = lambda end: F.xxhash64(F.shiftright(x, 6), base, F.substring(end, at[end[:4]], width - i))
+    return out.withColumn(
         "key", F.when(x < 0, F.col("h")).when(F.col("plain"), F.when(x < 4096, hashed("head_bytes")).otherwise(hashed("tail_bytes"))).otherwise(F.when(x < 4096, hashed("head")).otherwise(hashed("tail")))
     )
 
@@ -131,7 +132,8 @@ def repeated_lines(docs: DataFrame, t: int = THRESHOLD) -> DataFrame:
     value = F.when(F.col("place") < 0, F.hash("dk", "th", "pos")).otherwise(F.shiftright("g", 32).cast("int"))
     shared = keyed.select("key", value.alias("v")).groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a <> b")
     marked = _bitmap(shared)
-    found = materialize(keyed.where(_hit(marked, F.col("key"))).select("dk", "th", "pos", "size", "h", "g", "key"))
+    once = keyed.withColumn("key", F.explode(F.array("key")))  # a filter on an expression would work it out for each mention
+    found = materialize(once.where(_hit(marked, F.col("key"))).select("dk", "th", "pos", "size", "h", "g", "key"))
     # Exact repeats.
     same = found.where("key = h")
     firsts = same.groupBy(*who).agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")

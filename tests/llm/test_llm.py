@@ -633,3 +633,20 @@ def test_lines_of_ascii_meet_others_and_are_cut_as_bytes(spark):
     assert {r.doc_id: r.n_dropped for r in lines.dedup_lines(docs).collect()} == {1: 0, 2: 1, 3: 1, 4: 0}
     plan = lines._keyed(lines._lines(docs), 5)._jdf.queryExecution().optimizedPlan().toString()
     assert "length(tail" not in plan and "as binary" in plan
+
+
+def test_line_keys_are_few_and_cover_shifts_either_way(spark):
+    """12 keys a line for five edits, and none is missed whether a line's start or end is shifted back or forth."""
+    assert [len(lines._places(t)) for t in range(1, 6)] == [2, 4, 6, 9, 12]
+    line = prose(60, random.Random(5))
+    n, pairs = len(line), []
+    for a, b in [(2, 3), (3, 2), (5, 0), (0, 5), (1, 4)]:  # edits in the segments from the start and from the end
+        cut, put = line, line
+        for i in sorted([1 + 27 * i for i in range(a)] + [n - 2 - 27 * i for i in range(b)], reverse=True):
+            cut, put = cut[:i] + cut[i + 1 :], put[:i] + "#" + put[i:]
+        for other in (cut, put):
+            pairs += [(line, other), (other, line), (line + "é", other + "é")]
+    docs = [(2 * i + j, x) for i, pair in enumerate(pairs) for j, x in enumerate(pair)]
+    found = lines._keyed(lines._lines(spark.createDataFrame(docs, "doc_id long, text string")), 5).where("place >= 0").collect()
+    keys = [{r.key for r in found if r.dk == d} for d, _ in docs]
+    assert n > 170 and all(len(x) == 12 for x in keys) and all(keys[2 * i] & keys[2 * i + 1] for i in range(len(pairs)))
