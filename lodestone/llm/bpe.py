@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, give_back, held
 
 #: Distinct white-space pieces, and their tokens, that a worker remembers; when full, the table starts anew.
 REMEMBER = 400_000
@@ -198,13 +198,15 @@ class Tokenizer:
         return " ".join([names[i] for i in ids])
 
 
-_loaded: dict[str, Tokenizer] = {}
+#: Tokenizers of this worker (over 100 MB each, and the pieces that they remember), until a task of another operator runs in it.
+_loaded: dict[str, Tokenizer] = held("bpe")
 
 
 def load(spec: str, packed: bytes | None = None) -> Tokenizer:
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in _loaded:
         _loaded[key] = Tokenizer(json.loads(spec), packed)
+        give_back()
     return _loaded[key]
 
 
@@ -269,6 +271,7 @@ def token_digests(df: DataFrame, path: str, text: str = "text", key: str = "doc_
                 a.append(hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
                 b.append(hashlib.sha256(tokenizer.decode(ids).encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip((n, a, b), shape.types[1:], strict=True))], schema=shape)
+        give_back()
 
     out = df.select(F.col(key).cast("long").alias("k"), text).mapInArrow(run, "k long, n long, a string, b string")
     return out.toDF(key, "n_tokens", "ids_sha256", "decoded_sha256")

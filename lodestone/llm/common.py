@@ -50,6 +50,23 @@ def give_back() -> None:
         pass
 
 
+_held: dict[str, dict] = {}
+
+
+def held(operator: str) -> dict:
+    """What an operator's tasks keep in a worker for its later tasks; tasks of other operators drop it."""
+    return _held.setdefault(operator, {})
+
+
+def drop_held() -> None:
+    """Called by a task that keeps nothing: workers are used again by other stages, whose tables would stay beside its own."""
+    tables = [x for x in _held.values() if x]
+    for x in tables:
+        x.clear()
+    if tables:
+        give_back()
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; one of our own only where that is unset (tests, local mode)."""
     root = spark.conf.get("spark.checkpoint.dir", None)

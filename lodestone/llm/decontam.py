@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, drop_held, give_back, materialize
 
 WINDOW = 10
 #: Normalised item bytes that one automaton holds.
@@ -122,6 +122,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
         made: list = []
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            drop_held()
             if not made:
                 made.append(build(sent.value, window))
             for batch in batches:
@@ -138,6 +139,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
                         out.append((k, body, np.packbits(hit).tobytes() if n_hit else hits, sorted(names)))
                 to = shape if last else middle
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([],) * len(to), to.types, strict=True)], schema=to)
+            give_back()
 
         return run
 
@@ -157,10 +159,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
         made: list = []
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            drop_held()
             if not made:
                 made.append(build(sent.value, window))
             for batch in batches:
                 yield batch.filter(pa.array([not scan(made[0], body.as_py() or "")[1].any() for body in batch.column(at)], pa.bool_()))
+            give_back()
 
         return run
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_map, components, distinct_sorted, documents, materialize, mix, shingle_hashes, texts, word_hashes
+from .common import bit_map, components, distinct_sorted, documents, drop_held, give_back, materialize, mix, shingle_hashes, texts, word_hashes
 
 REGISTERS, BANDS, ROWS = 128, 32, 4
 BASE = 1.001
@@ -115,11 +115,13 @@ def sketch_documents(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, th (the text's hash), fp, n, bands."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         for batch in batches:
             for lo, hi, values, starts in _sets(batch, k):
                 keys = band_keys(registers(values, starts))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(_prints(values, starts), pa.binary()), pa.array(np.diff(starts), pa.int64()), bands], names=["doc_id", "th", "fp", "n", "bands"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, fp binary, n long, bands array<long>")
 
@@ -131,6 +133,7 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     sent = bit_map(wanted.select(F.shiftright(place, 32 - bits).alias("place")), bits)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         for batch in batches:
             for _, _, values, starts in _sets(batch, k):
                 found: dict[bytes, int] = {}
@@ -139,6 +142,7 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                     if (int(sent.value[at >> 6]) >> (at & 63)) & 1 and starts[i + 1] > starts[i]:
                         found.setdefault(fp, i)
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([values[starts[i] : starts[i + 1]].tobytes() for i in found.values()], pa.binary())], names=["fp", "set"])
+        give_back()
 
     got = docs.select("doc_id", "text").mapInArrow(run, "fp binary, set binary")
     return got.join(wanted.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("set").alias("set"))

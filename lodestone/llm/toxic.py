@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, steady_heap
+from .common import documents, drop_held, give_back, steady_heap
 
 #: Labelled rows that are learnt from: of the toxic ones, and of the others.
 SAMPLE = (2000, 4000)
@@ -290,9 +290,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE,
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steady_heap()
+        drop_held()
         rows = sorted({(x.as_py() or "", y.as_py()) for batch in batches for x, y in zip(*batch.columns, strict=True)})
         model = fit(rows)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.words, model.four, model.five, model.weights, model.bias, model.trans))], pa.binary())], names=["model"])
+        del rows, model
+        give_back()
 
     found = got.repartition(1).mapInArrow(run, "model binary").collect()
     return Field(*pickle.loads(found[0]["model"])) if found else Field()
@@ -305,12 +308,14 @@ def toxic_scores(docs: DataFrame, model: Field, columns: tuple[str, ...] = ("doc
     n = len(columns)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         field_ = sent.value
         for batch in batches:
             got = [field_.score(x.as_py() or "", with_spans) for x in batch.column(n)]
             score = pa.array([s for s, _ in got], pa.float64())
             spans = pa.array([s for _, s in got], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], score, spans], names=[*columns, "score", "spans"])
+        give_back()
 
     shape = slim.drop("_text").schema.add("score", "double").add("spans", T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType())))
     return slim.mapInArrow(run, shape)
@@ -322,9 +327,11 @@ def drop_toxic(docs: DataFrame, model: Field, threshold: float = THRESHOLD, text
     at = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         for batch in batches:
             keep = [sent.value.score(x.as_py() or "", False)[0] < threshold for x in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

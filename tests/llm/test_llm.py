@@ -650,3 +650,20 @@ def test_line_keys_are_few_and_cover_shifts_either_way(spark):
     found = lines._keyed(lines._lines(spark.createDataFrame(docs, "doc_id long, text string")), 5).where("place >= 0").collect()
     keys = [{r.key for r in found if r.dk == d} for d, _ in docs]
     assert n > 170 and all(len(x) == 12 for x in keys) and all(keys[2 * i] & keys[2 * i + 1] for i in range(len(pairs)))
+
+
+def test_workers_drop_what_other_operators_keep(spark):
+    """A worker that comes from a BPE stage does not hold its tokenizer beside the work of other stages."""
+
+    class Frame:
+        columns, schema, sparkSession = ["doc_id", "text"], None, spark
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    for run in (toxic.drop_toxic(Frame(), toxic.Field()), setsketch.sketch_documents(Frame(), 5)):
+        bpe._loaded["spec"] = object()
+        assert list(run(iter([]))) == [] and not bpe._loaded
